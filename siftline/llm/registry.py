@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
 from .simhash import op10_simhash
 
-QUERIES = {"op10_simhash": op10_simhash}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash}
 ORACLE_SQL: dict[str, str] = {}
