@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op1_decontaminate
 from .shard import op8_shard
 from .simhash import op10_simhash
+from .token_store import op7_token_store
 
-QUERIES = {"op8_shard": op8_shard, "op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash}
+QUERIES = {"op7_token_store": op7_token_store, "op8_shard": op8_shard, "op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash}
 ORACLE_SQL: dict[str, str] = {}
