@@ -19,6 +19,7 @@ def expect(docs):
 
 def test_chunks_encode_as_whole_texts():
     odd = ["It's we'll  don't", " ́é é ́x", "a b\x85c\x1cd﻿e", "ΑΣ ΑΣ. İ ǅ", "12 345\t<|endoftext|> 6", "", None, "  x", "日本 語\r\nが ｶ", "A" * 5000, "x​y ퟿", "ᄀ ᅡ 가"]
+    odd += ["ÉÀ café, x-y_z (a1b22c) ß ÿ Ø! a|b `q` ~", "e\u0301 Éa", "naïve don't x", "<|startoftext|>a<|endoftext|>", "Ǆ ĳ ŉ x", "µ ª º 1º", "ﬁ ﬂ", "a×b÷c"]
     tok = Tokenizer.from_file(PATH)
     for t, ids in zip(odd, ts.Encoder(PATH, None).encode(odd), strict=True):
         assert ids.tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)
