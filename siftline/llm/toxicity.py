@@ -10,8 +10,8 @@ evidence.
 
 Search uses an inverted index with block maxima: examples are cut into blocks, a
 term's postings know their largest weight in each block, so a query bounds every
-block's best score, visits blocks in the order of the bounds and stops when no
-block left can enter the k best.  The result is exact.
+block's best score, scores the most promising blocks first and then only those
+that can still enter the k best.  The result is exact.
 
 The index is fitted on at most ``max_examples`` labelled rows in expectation (a
 documented bound; the hash of the id decides, at equal rates within a class) and
@@ -21,7 +21,7 @@ Edge cases: a null or empty text, or one without known terms, gets the prior's
 calibrated score; null labels are no examples; without examples of both classes
 the score is the share of label 1 (0 without labels); repeated rows and ids are
 scored row by row; an empty table gives an empty result; equal similarities are
-ordered by the example's id; other columns are carried and may have any name but
+ordered by the example's place in the index; other columns are carried and may have any name but
 those of the result.
 """
 
@@ -71,25 +71,43 @@ class BlockMaxIndex:
             for b in np.flatnonzero(np.diff(cut)):
                 self.best[t, b] = w[cut[b] : cut[b + 1]].max()
 
+    def _scores(self, terms: list[int], query: dict[int, float], lo: int, hi: int) -> np.ndarray:
+        """Products with all vectors of blocks lo to hi."""
+        scores = np.zeros(min(hi * BLOCK, self.n) - lo * BLOCK)
+        for t in terms:
+            s, e = self.cuts[t][lo], self.cuts[t][hi]
+            if e > s:
+                scores[self.where[t][s:e] - lo * BLOCK] += query[t] * self.weight[t][s:e]
+        return scores
+
     def top(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k largest positive products as (product, vector), best first, ties by vector."""
-        found: list[tuple[float, int]] = []
-        if not query:
-            return found
+        """The k largest positive products as (product, vector), best first, ties by vector.
+
+        Neighbouring blocks hold like vectors, so the blocks whose bound reaches
+        the k-th product near the best block make one short range.
+        """
+        if not query or not self.n:
+            return []
         terms = list(query)
         bound = np.array([query[t] for t in terms]) @ self.best[terms]
-        for b in np.argsort(-bound, kind="stable"):
-            # bounds are sums in another order than the products: allow for the last bits
-            if bound[b] <= 0 or (len(found) == k and bound[b] * (1 + 1e-12) < found[-1][0]):
-                break
-            scores = np.zeros(min(BLOCK, self.n - b * BLOCK))
-            for t in terms:
-                s, e = self.cuts[t][b], self.cuts[t][b + 1]
-                if e > s:
-                    scores[self.where[t][s:e] - b * BLOCK] += query[t] * self.weight[t][s:e]
-            hits = np.flatnonzero(scores > 0)
-            found = sorted([*found, *((float(scores[i]), int(b * BLOCK + i)) for i in hits)], key=lambda x: (-x[0], x[1]))[:k]
-        return found
+        first = max(0, int(bound.argmax()) - 1)
+        lo, hi = first, min(self.blocks, first + 3)
+        scores = self._scores(terms, query, lo, hi)
+        least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+        # bounds are sums in another order than the products: allow for the last bits
+        alive = np.flatnonzero((bound > 0) & (bound * (1 + 1e-12) >= least))
+        if not len(alive):
+            return []
+        if alive[0] < lo or alive[-1] >= hi:
+            lo, hi = int(alive[0]), int(alive[-1]) + 1
+            scores = self._scores(terms, query, lo, hi)
+        if len(scores) > k:
+            near = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+        else:
+            near = np.arange(len(scores))
+        near = near[scores[near] > 0]
+        near = near[np.argsort(-scores[near], kind="stable")][:k]
+        return [(float(scores[i]), lo * BLOCK + int(i)) for i in near]
 
 
 class Model:
@@ -159,7 +177,7 @@ def unit(v: dict[int, float]) -> dict[int, float]:
     return {t: w / norm for t, w in v.items()} if norm else {}
 
 
-def fit(examples: DataFrame, text_col: str = "text", label_col: str = "toxic", name_col: str = "doc_id", max_examples: int = 8000, max_terms: int = 4096, min_docs: int = 4, min_chi2: float = 15.0, k: int = 15, prior_weight: float = 0.1, rest: float = 1.5) -> Model:
+def fit(examples: DataFrame, text_col: str = "text", label_col: str = "toxic", name_col: str = "doc_id", max_examples: int = 8000, max_terms: int = 4096, min_docs: int = 4, min_chi2: float = 20.0, k: int = 15, prior_weight: float = 0.1, rest: float = 1.5) -> Model:
     """Fit on a sample of labelled rows: terms, index, and the calibration of votes with each example left out."""
     rows = examples.select(F.col(name_col).cast("string").alias("name"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -201,7 +219,8 @@ def fit(examples: DataFrame, text_col: str = "text", label_col: str = "toxic", n
     # at most max_examples rows of at most max_terms + 1 terms
     points = kept.select("name", "text", "y").mapInArrow(embed, "name string, y int, terms array<int>, weights array<double>").collect()
     points.sort(key=lambda r: (r.name or "", r.y, r.terms))
-    own = [r for r in points if r.terms]
+    # like vectors side by side: by the weight of the length, which falls as known terms gather
+    own = sorted((r for r in points if r.terms), key=lambda r: -dict(zip(r.terms, r.weights, strict=True)).get(len(vocab), 0.0))
     model = Model(vocab, idf, [dict(zip(r.terms, r.weights, strict=True)) for r in own], [r.y for r in own], [r.name for r in own], prior, k, prior_weight, rest)
     votes = np.full(len(points), prior)
     for i, r in enumerate(own):
