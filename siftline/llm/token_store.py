@@ -27,20 +27,30 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import new_path
+from ..plans.storage import new_path, stored
 
 SCHEMA = "doc_id long, ids array<int>, file int"
 #: What the tokeniser never joins: chunks between white space and, in plain texts, runs of letters and of other characters.
 _CHUNKS = re.compile(r"[^ \t\n\r]+")
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^ \t\n\ra-zß-öø-ÿ]+")
 #: Texts with other characters than these aren't plain: their letters may combine, change by case or make contractions.
-_NOT_PLAIN = re.compile(r"[^ \t\n\r!-&(-~À-ÖØ-öø-ÿ]|<\|")
+_PLAIN = bytes(c for c in range(256) if c in b" \t\n\r" or 0x21 <= c <= 0x7E and c != 0x27 or c >= 0xC0 and c not in (0xD7, 0xF7))
+_WORD = re.compile(r"[a-zß-öø-ÿ]+")
 #: Characters a task encodes at a time, and pieces it keeps ids of.
 _BATCH_CHARS = 1 << 20
 _CACHE = 600_000
+WORD_END = "</w>"
+
+
+def _is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
 
 
 class Encoder:
@@ -53,19 +63,37 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.end = b"" if end_id is None else end_id.to_bytes(4, "little")
         self.cache: dict[str, bytes] = {}
+        size = self.tok.get_vocab_size()
+        ends = np.array([(self.tok.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
+        #: Tokens that end a word; without such a mark words are encoded one by one.
+        self.ends = ends if ends.any() else None
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Put the ids of the pieces into the cache; words go many to a call."""
+        words = [w for w in pieces if _WORD.fullmatch(w)] if self.ends is not None else []
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(part):
+                raise ValueError("the tokeniser does not mark each word's end once")
+            raw = ids.tobytes()
+            self.cache.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        rest = [w for w in pieces if w not in self.cache] if words else pieces
+        for at in range(0, len(rest), 1000):
+            part = rest[at : at + 1000]
+            self.cache.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [_CHUNKS.findall(t) if _NOT_PLAIN.search(t) else _RUNS.findall(t.lower()) for t in (x or "" for x in texts)]
+        split = [_RUNS.findall(t.lower()) if _is_plain(t) else _CHUNKS.findall(t) for t in (x or "" for x in texts)]
         cache = self.cache
         new = {c for pieces in split for c in pieces if c not in cache}
         if len(cache) + len(new) > _CACHE:
             cache.clear()
             new = {c for pieces in split for c in pieces}
-        new = list(new)
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            cache.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        return [np.frombuffer(b"".join([cache[c] for c in pieces]) + self.end, "<i4") for pieces in split]
+        self._learn(list(new))
+        ids_of = cache.__getitem__
+        return [np.frombuffer(b"".join(map(ids_of, pieces)) + self.end, "<i4") for pieces in split]
 
 
 @functools.lru_cache(maxsize=2)
@@ -87,7 +115,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         encoder, number = _encoder(tokenizer, end_id), TaskContext.get().partitionId()
         for b in batches:
             texts = b.column(1)
-            size = np.cumsum([0, *(len(t.as_py() or "") for t in texts)])
+            size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0))))
             at = 0
             while at < b.num_rows:
                 to = max(at + 1, int(np.searchsorted(size, size[at] + _BATCH_CHARS, "right")) - 1)
@@ -109,7 +137,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).orc(path)
 
 
-def token_index(stored: DataFrame) -> DataFrame:
+def token_index(tokens: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of the documents read by ``read_tokens``."""
 
     def run(batches):
@@ -120,7 +148,7 @@ def token_index(stored: DataFrame) -> DataFrame:
             crc = [zlib.crc32(raw[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.record_batch([b.column(0), b.column(2), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "file", "n_tokens", "ids_crc32"])
 
-    rows = stored.select("doc_id", "ids", "file").mapInArrow(run, "doc_id long, file int, n_tokens long, ids_crc32 long")
+    rows = stored(tokens.select("doc_id", "ids", "file").mapInArrow(run, "doc_id long, file int, n_tokens long, ids_crc32 long"), "index")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     files = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     upto = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0))
