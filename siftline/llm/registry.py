@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
+from .embedding import op9_embedding
 from .language import op4_language
 from .mixing import op2_mixing
 from .shard import op8_shard
@@ -10,5 +11,5 @@ from .simhash import op10_simhash
 from .token_store import op7_token_store
 from .toxicity import op5_toxicity
 
-QUERIES = {"op4_language": op4_language, "op2_mixing": op2_mixing, "op5_toxicity": op5_toxicity, "op7_token_store": op7_token_store, "op8_shard": op8_shard, "op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash}
+QUERIES = {"op9_embedding": op9_embedding, "op4_language": op4_language, "op2_mixing": op2_mixing, "op5_toxicity": op5_toxicity, "op7_token_store": op7_token_store, "op8_shard": op8_shard, "op1_decontaminate": op1_decontaminate, "op10_simhash": op10_simhash}
 ORACLE_SQL: dict[str, str] = {}
