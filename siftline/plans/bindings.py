@@ -1,42 +1,8 @@
-"""The queries that bind operators to the driver's tables, with their oracle SQL."""
+"""All queries that bind the engine's operators to the driver's tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import queries_boxes, queries_curation, queries_detection, queries_selection  # noqa: F401
+from .base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query, and its oracle where SQL can express it."""
-
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return keep
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-@query(
-    "exact_dup_leakage",
-    """WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'val' ELSE 'test' END AS split FROM documents),
-    g AS (SELECT sha256(text) AS sha, count(*) AS members, max(CASE WHEN split='train' THEN 1 ELSE 0 END) AS tr, max(CASE WHEN split='val' THEN 1 ELSE 0 END) AS va, max(CASE WHEN split='test' THEN 1 ELSE 0 END) AS te FROM d GROUP BY 1 HAVING count(*) > 1)
-    SELECT CASE WHEN tr=1 AND te=1 THEN 1 ELSE 0 END AS train_test, CASE WHEN tr=1 AND va=1 THEN 1 ELSE 0 END AS train_val, CASE WHEN va=1 AND te=1 THEN 1 ELSE 0 END AS val_test, count(*) AS n_groups, CAST(sum(members) AS BIGINT) AS n_members FROM g GROUP BY 1,2,3""",
-)
-def exact_dup_leakage(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha"), F.expr("case when doc_id % 10 < 6 then 'train' when doc_id % 10 < 8 then 'val' else 'test' end").alias("split"))
-    has = lambda s: F.max(F.when(F.col("split") == s, 1).otherwise(0))
-    g = d.groupBy("sha").agg(F.count("*").alias("members"), has("train").alias("tr"), has("val").alias("va"), has("test").alias("te")).where("members > 1")
-    both = lambda a, b: F.when((F.col(a) == 1) & (F.col(b) == 1), 1).otherwise(0)
-    g = g.select("members", both("tr", "te").alias("train_test"), both("tr", "va").alias("train_val"), both("va", "te").alias("val_test"))
-    return g.groupBy("train_test", "train_val", "val_test").agg(F.count("*").alias("n_groups"), F.sum("members").alias("n_members"))
+__all__ = ["ORACLE_SQL", "QUERIES"]
