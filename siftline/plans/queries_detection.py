@@ -1,3 +1,281 @@
-"""Label parsing, audit, sanitizing and inventory of boxes."""
+"""Matching, evaluation, ensembles, mining and calibration."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geometry as g
+from ..functions import scoring as s
+from ..operators import calibrate, ensemble, evaluate, matching, mining
+from .base import SQL_BOX, boxes, docs, query, read, sql_iou
+
+_FO = f"with {SQL_BOX}, a as (select * from box where side = 'F'), b as (select * from box where side = 'O')"
+_TH = [0.10, 0.25, 0.50, 0.75]
+
+
+def _sides(spark, sf_dir):
+    b = boxes(spark, sf_dir).withColumnRenamed("bid", "id")
+    return b.where("side = 'F'"), b.where("side = 'O'")
+
+
+_BEST = f"{_FO}, best as (select a.bid, a.cls, a.share, max(coalesce({sql_iou()}, 0.0)) as best_iou from a left join b on a.img = b.img and a.cls = b.cls group by 1, 2, 3)"
+
+
+@query("best_iou_per_gt", f"{_BEST} select bid as id, round(best_iou, 8) as best_iou from best")
+def best_iou_per_gt(spark, sf_dir):
+    gts, preds = _sides(spark, sf_dir)
+    return matching.best_iou(gts, preds, ["img", "cls"]).select("id", F.round("best_iou", 8).alias("best_iou"))
+
+
+@query("best_iou_recall", f"{_BEST} select cls, case when share < 0.005 then 'small' when share < 0.05 then 'medium' else 'large' end as size, count(*) as gt, count(*) filter (where best_iou >= 0.5) as tp, round(count(*) filter (where best_iou >= 0.5) / count(*), 8) as recall from best group by 1, 2")
+def best_iou_recall(spark, sf_dir):
+    gts, preds = _sides(spark, sf_dir)
+    best = matching.best_iou(gts, preds, ["img", "cls"]).join(gts.select("id", g.size_bucket("share").alias("size")), "id")
+    return best.groupBy("cls", "size").agg(F.count("*").alias("gt"), F.count_if(F.col("best_iou") >= 0.5).alias("tp")).withColumn("recall", F.round(s.ratio("tp", "gt"), 8))
+
+
+_GREEDY = f"""{_FO}, p as (select *, row_number() over (partition by img, cls order by conf desc, bid) as i from b),
+    cand as (select p.img, p.cls, p.i, p.bid as pred_id, p.conf, a.bid as gt_id, {sql_iou("a", "p")} as iou from p join a on a.img = p.img and a.cls = p.cls), good as (select * from cand where iou >= 0.5),
+    walk(img, cls, i, used, pred_id, gt_id, iou) as (select distinct img, cls, cast(0 as bigint), cast([] as bigint[]), cast(null as bigint), cast(null as bigint), cast(null as double) from good
+    union all select w.img, w.cls, n.i, case when n.gt_id is null then w.used else list_append(w.used, n.gt_id) end, n.pred_id, n.gt_id, n.iou from walk w, lateral (select g.i, g.pred_id, g.gt_id, g.iou from (select q.i, q.pred_id, q.gt_id, q.iou from good q where q.img = w.img and q.cls = w.cls and q.i > w.i and not list_contains(w.used, q.gt_id) order by q.i, q.iou desc, q.gt_id limit 1) g) n)"""
+
+
+def _matches(spark, sf_dir):
+    gts, preds = _sides(spark, sf_dir)
+    return gts, preds, matching.match_detections(gts, preds, ["img", "cls"])
+
+
+@query("box_match_greedy", f"{_GREEDY.replace('with box', 'with recursive box', 1)} select pred_id, gt_id, round(iou, 8) as iou from walk where gt_id is not null")
+def box_match_greedy(spark, sf_dir):
+    _, _, m = _matches(spark, sf_dir)
+    return m.where("gt_id is not null and pred_id is not null").select("pred_id", "gt_id", F.round("iou", 8).alias("iou"))
+
+
+@query("size_aware_recall", f"""{_GREEDY.replace('with box', 'with recursive box', 1)}, t as (select unnest([0.1::double, 0.25, 0.5, 0.75]) as threshold), hit as (select w.gt_id, w.pred_id, b.conf from walk w join b on b.bid = w.pred_id where w.gt_id is not null),
+    gs as (select a.bid, a.cls, case when a.share < 0.005 then 'small' when a.share < 0.05 then 'medium' else 'large' end as size, hit.conf as mc from a left join hit on hit.gt_id = a.bid), l as (select threshold, cls, size, count(*) as gt, count(*) filter (where mc >= threshold) as tp, avg(mc) filter (where mc >= threshold) as mean from gs, t group by 1, 2, 3),
+    ps as (select b.cls, case when b.share < 0.005 then 'small' when b.share < 0.05 then 'medium' else 'large' end as size, b.conf from b where b.bid not in (select pred_id from hit)), r as (select threshold, cls, size, count(*) as fp from ps, t where conf >= threshold group by 1, 2, 3)
+    select coalesce(l.threshold, r.threshold) as threshold, coalesce(l.cls, r.cls) as cls, coalesce(l.size, r.size) as size, coalesce(gt, 0) as gt, coalesce(tp, 0) as tp, coalesce(gt, 0) - coalesce(tp, 0) as fn, coalesce(fp, 0) as prediction_fp, round(mean, 8) as tp_mean_conf from l full join r on l.threshold = r.threshold and l.cls = r.cls and l.size = r.size""")
+def size_aware_recall(spark, sf_dir):
+    gts, preds, m = _matches(spark, sf_dir)
+    sized = lambda x: x.withColumn("size", g.size_bucket("share"))
+    out = evaluate.size_aware(m, sized(gts), sized(preds), _TH)
+    return out.select("threshold", "cls", "size", "gt", "tp", "fn", "prediction_fp", F.round("tp_mean_conf", 8).alias("tp_mean_conf"))
+
+
+@query("box_match_global")
+def box_match_global(spark, sf_dir):
+    gts, preds = _sides(spark, sf_dir)
+    a = matching.per_image(gts, ["img"], [F.col("id")], ["id", "cls", "box"], "a")
+    b = matching.per_image(preds, ["img"], [F.col("id")], ["id", "cls", "box"], "b")
+    m = a.join(b, "img").withColumn("m", matching.global_match(F.col("a"), F.col("b"), 0.3))
+    return m.select("img", matching.match_summary(F.col("a"), F.col("b"), F.col("m")).alias("s")).select("img", "s.*")
+
+
+@query("nms")
+def nms(spark, sf_dir):
+    b = boxes(spark, sf_dir).withColumnRenamed("bid", "id")
+    arrays = matching.per_image(b, ["img", "cls"], [-F.col("conf"), F.col("id")], ["id", "conf", "box"], "boxes")
+    return arrays.select("img", "cls", F.explode(matching.nms(F.col("boxes"), 0.5)).alias("k")).select("img", "cls", "k.id", "k.conf")
+
+
+def _detections(spark, sf_dir):
+    name = F.element_at(F.array(F.lit("n"), F.lit("s"), F.lit("m")), F.col("model") + 1)
+    return boxes(spark, sf_dir, numbered=False).where("side = 'O' and w > 0 and h > 0").select(F.col("img").alias("image"), name.alias("model"), "cls", "conf", "box")
+
+
+@query("consensus_clusters")
+def consensus_clusters(spark, sf_dir):
+    c = ensemble.clusters(_detections(spark, sf_dir), "image")
+    return c.groupBy("cls", "votes").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"))
+
+
+@query("weighted_consensus")
+def weighted_consensus(spark, sf_dir):
+    return ensemble.consensus(_detections(spark, sf_dir), "image").groupBy("cls", "votes").agg(F.count("*").alias("n"), F.round(F.sum("mean_conf"), 6).alias("conf"))
+
+
+@query("risk_features")
+def risk_features(spark, sf_dir):
+    gts = boxes(spark, sf_dir, numbered=False).where("side = 'F' and w > 0 and h > 0").select(F.col("img").alias("image"), "cls", "box")
+    images = gts.groupBy("image").agg(s.category(F.bool_or(F.col("cls") == 0), F.bool_or(F.col("cls") == 1)).alias("category"))
+    found = ensemble.clusters(_detections(spark, sf_dir), "image")
+    return ensemble.risk_features(images, gts, found).withColumn("reason", s.reason())
+
+
+@query("annotation_scores")
+def annotation_scores(spark, sf_dir):
+    gts = boxes(spark, sf_dir, numbered=False).where("side = 'F'").groupBy(F.col("img").alias("image")).agg(F.collect_list(F.struct("cls", "box")).alias("truths"))
+    agreed = ensemble.consensus(_detections(spark, sf_dir), "image").groupBy("image").agg(F.collect_list(F.struct("cls", "box")).alias("found"))
+    return ensemble.score_annotations(gts.join(agreed, "image"), "truths", "found").select("image", "annotation.*")
+
+
+_RUN = f"with {SQL_BOX}, x as (select bid, img, cls, conf, case when bid % 50 = 0 then 0 else 1 end as same from box where w > 0 and h > 0 and bid % 5 = 0)"
+
+
+@query("run_agreement", f"""{_RUN} select count(*) as n_a, count(*) as n_b, cast(sum(same) as bigint) as matched, round(sum(same) / count(*), 8) as match_rate, 1.0::double as mean_iou, round(max(case when same = 1 then bid % 3 / 1000000.0 end), 8) as max_conf_delta from x""")
+def run_agreement(spark, sf_dir):
+    a = boxes(spark, sf_dir).where("w > 0 and h > 0 and bid % 5 = 0").withColumnRenamed("bid", "id")
+    # run b: the same boxes, every tenth moved away, confidences a little off; each box is an image of its own
+    away = F.struct(*((F.col(f"box.{c}") + 9).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    b = a.withColumns({"box": F.when(F.col("id") % 50 == 0, away).otherwise(F.col("box")), "conf": F.col("conf") + (F.col("id") % 3) / 1_000_000})
+    keyed = lambda d: d.withColumn("one", F.col("id"))
+    out = evaluate.agreement(keyed(a), keyed(b), ["one"])
+    return out.select("n_a", "n_b", "matched", F.round("match_rate", 8).alias("match_rate"), F.round("mean_iou", 8).alias("mean_iou"), F.round("max_conf_delta", 8).alias("max_conf_delta"))
+
+
+@query("equivalence_gate", "select true as counts_equal, true as delta_small, 'PASS' as verdict, 0.0::double as max_delta")
+def equivalence_gate(spark, sf_dir):
+    m = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").cast("double").alias("n"), F.round(F.avg("value"), 6).alias("v"))
+    delta = evaluate.largest_delta(m, m, ["event_type"], ["n", "v"])
+    return delta.select(*evaluate.gate({"counts_equal": F.lit(True), "delta_small": F.col("max_delta") <= 1e-6}), "max_delta")
+
+
+_AL = [25.0, 50.0, 100.0, 150.0, 250.0]
+
+
+def _alerts(spark, sf_dir):
+    kind = F.when(F.col("event_type").isin("click", "view"), 0).otherwise(1)
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("image"), "event_type", kind.alias("cls"), F.col("value").alias("conf"))
+
+
+_ALERT = """with t as (select unnest([25.0::double, 50.0, 100.0, 150.0, 250.0]) as threshold), n as (select count(distinct user_id) as images from events), u as (select user_id, max(value) as m, max(value) filter (where event_type in ('click','view')) as f, max(value) filter (where event_type not in ('click','view')) as s from events group by 1),
+    b as (select threshold, count(*) filter (where value >= threshold) as boxes from events, t group by 1), r as (select threshold, count(*) filter (where m >= threshold) as alert_images, count(*) filter (where f >= threshold) as fire_alert_images, count(*) filter (where s >= threshold) as smoke_alert_images from u, t group by 1)"""
+
+
+@query("alert_rates", f"{_ALERT} select threshold, alert_images, fire_alert_images, smoke_alert_images, cast(boxes as bigint) as alert_boxes, images, round(alert_images / images, 8) as image_rate from r join b using (threshold), n")
+def alert_rates(spark, sf_dir):
+    a = _alerts(spark, sf_dir)
+    out = mining.alert_rates(a, a.select("image").distinct().count(), _AL)
+    return out.select("threshold", "alert_images", "fire_alert_images", "smoke_alert_images", "alert_boxes", "images", F.round("image_rate", 8).alias("image_rate"))
+
+
+@query("alert_rate_pivot", "with t as (select unnest([25.0, 100.0]) as threshold), u as (select event_type, user_id, max(value) as m from events group by 1, 2), r as (select event_type, threshold, count(*) filter (where m >= threshold) as k from u, t group by 1, 2) select event_type, max(k) filter (where threshold = 25) as \"2500\", max(k) filter (where threshold = 100) as \"10000\" from r group by 1")
+def alert_rate_pivot(spark, sf_dir):
+    r = mining.alert_rates(_alerts(spark, sf_dir), 1, [25.0, 100.0], by=["event_type"])
+    return mining.by_threshold(r, ["event_type"], "alert_images", [25.0, 100.0])
+
+
+@query("relative_reduction", """with t as (select unnest([25.0::double, 50.0, 100.0]) as threshold), u as (select event_type, user_id, max(value) as m from events group by 1, 2), r as (select event_type, threshold, count(*) filter (where m >= threshold) as k from u, t group by 1, 2)
+    select r.event_type, r.threshold, r.k as alert_images, b.k as baseline, r.k - b.k as delta, round((b.k - r.k) / nullif(b.k, 0), 8) as reduction from r left join r b on b.event_type = 'view' and b.threshold = r.threshold and r.threshold < 100""")
+def relative_reduction(spark, sf_dir):
+    r = mining.alert_rates(_alerts(spark, sf_dir), 1, [25.0, 50.0, 100.0], by=["event_type"]).select("event_type", "threshold", "alert_images")
+    base = r.where("event_type = 'view' and threshold < 100")
+    return mining.relative_reduction(r, base, "threshold", "alert_images").withColumn("reduction", F.round("reduction", 8))
+
+
+@query("negative_severity", "with u as (select user_id, max(value) / 300.0 as c from events group by 1) select case when c >= 0.75 then 'EXTREME' when c >= 0.5 then 'HARD' when c >= 0.25 then 'MODERATE' when c >= 0.1 then 'LOW' else 'NONE' end as severity, count(*) as n from u group by 1")
+def negative_severity(spark, sf_dir):
+    u = read(spark, sf_dir, "events").groupBy("user_id").agg((F.max("value") / 300).alias("c"))
+    return u.groupBy(s.severity("c").alias("severity")).agg(F.count("*").alias("n"))
+
+
+_MODELS = {"n": "view", "s": "click", "m": "error"}
+_EV = """with c as (select user_id as image, event_type, least(1.0, value / 300.0) as conf, cast(event_id % 2 as int) as cls from events), q as (select image, event_type, coalesce(max(conf) filter (where cls=0), 0) as f, coalesce(max(conf) filter (where cls=1), 0) as s from c group by 1, 2),
+    p as (select image, event_type, greatest(f, s) as top, case when greatest(f, s) <= 0 then 'none' when f >= s then 'fire' else 'smoke' end as tc from q),
+    m as (select n.image, [n.top, s.top, m.top] as confs, [n.tc, s.tc, m.tc] as tcs from p n join p s on s.image = n.image and s.event_type = 'click' join p m on m.image = n.image and m.event_type = 'error' where n.event_type = 'view'),
+    v as (select image, confs, len(list_filter(confs, lambda x: x >= 0.1)) as votes_010, len(list_filter(confs, lambda x: x >= 0.25)) as votes_025, len(list_filter(confs, lambda x: x >= 0.5)) as votes_050, list_max(confs) as max_conf, list_sum(confs)/3 as mean_conf,
+    len(list_filter(list_zip(confs, tcs), lambda x: x[1] >= 0.25 and x[2] = 'fire')) as fire_votes, len(list_filter(list_zip(confs, tcs), lambda x: x[1] >= 0.25 and x[2] = 'smoke')) as smoke_votes from m)"""
+
+
+def _votes(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("image"), "event_type", F.least(F.lit(1.0), F.col("value") / 300).alias("conf"), (F.col("event_id") % 2).cast("int").alias("cls"))
+    each = {m: mining.prediction_summary(e.where(F.col("event_type") == t), e.where(F.col("event_type") == t)) for m, t in _MODELS.items()}
+    return mining.classify(mining.merge_models(each), list(_MODELS))
+
+
+@query("ensemble_votes", f"""{_EV} select image, votes_010, votes_025, votes_050, fire_votes, smoke_votes, case when fire_votes = 0 and smoke_votes = 0 then 'none' when fire_votes > smoke_votes then 'fire' when smoke_votes > fire_votes then 'smoke' else 'mixed' end as consensus_class,
+    case when votes_025 = 3 or votes_050 >= 2 then 'EXTREME' when votes_025 >= 2 or max_conf >= 0.75 then 'HARD' when votes_025 = 1 or votes_010 >= 1 then 'MODERATE' else 'EASY' end as severity, round(0.30*mean_conf + 0.25*(votes_025/3) + 0.25*(votes_050/3) + 0.20*max_conf, 8) as hardness from v""")
+def ensemble_votes(spark, sf_dir):
+    v = _votes(spark, sf_dir)
+    long = ("votes_010", "votes_025", "votes_050")
+    return v.select("image", *(F.col(c).cast("long").alias(c) for c in long), F.col("fire_votes").cast("long").alias("fire_votes"), F.col("smoke_votes").cast("long").alias("smoke_votes"), "consensus_class", "severity", F.round("hardness", 8).alias("hardness"))
+
+
+_SAMPLES = """x as (select d.doc_id, n_chars, l.quality = 0 as positive, (n_chars % 1000) / 50.0 as score, case d.lang when 'en' then 'stable' when 'fr' then 'fire_only' else 'smoke_only' end as grp, d.doc_id % 3 as votes, (n_chars % 300) / 100.0 as support, d.doc_id % 2 = 0 as present from documents d join labels l using (doc_id))"""
+_RATIOS = "case when tp+fp=0 then 0 else tp/(tp+fp) end as precision, case when tp+fn=0 then 0 else tp/(tp+fn) end as recall, (tp+tn)/(tp+fp+tn+fn) as accuracy"
+_F2 = "case when 4*precision+recall=0 then 0 else 5*precision*recall/(4*precision+recall) end as f_beta"
+
+
+def _samples(spark, sf_dir):
+    d = docs(spark, sf_dir, "doc_id", "n_chars", "lang").join(read(spark, sf_dir, "labels"), "doc_id")
+    grp = F.when(F.col("lang") == "en", "stable").when(F.col("lang") == "fr", "fire_only").otherwise("smoke_only")
+    return d.select("doc_id", (F.col("quality") == 0).alias("positive"), ((F.col("n_chars") % 1000) / 50).alias("score"), grp.alias("grp"), (F.col("doc_id") % 3).alias("votes"), ((F.col("n_chars") % 300) / 100).alias("support"), (F.col("doc_id") % 2 == 0).alias("present"))
+
+
+_CONF = "count(*) filter (where {f} and positive) as tp, count(*) filter (where {f} and not positive) as fp, count(*) filter (where not {f} and not positive) as tn, count(*) filter (where not {f} and positive) as fn"
+_CURVE = f"with {_SAMPLES}, t as (select i as grid_index, i * 0.5::double as threshold from range(0, 40) r(i)), c as (select grid_index, threshold, {_CONF.format(f='(score >= threshold)')} from x, t group by 1, 2), m as (select *, {_RATIOS} from c), f as (select *, {_F2} from m)"
+
+
+@query("threshold_curve", f"{_CURVE} select grid_index, threshold, tp, fp, tn, fn, round(precision, 8) as precision, round(recall, 8) as recall, round(f_beta, 8) as f_beta from f")
+def threshold_curve(spark, sf_dir):
+    t = calibrate.grid(spark, threshold=[i * 0.5 for i in range(40)])
+    c = calibrate.cumulative(_samples(spark, sf_dir), t, "score")
+    return c.select("grid_index", "threshold", "tp", "fp", "tn", "fn", *(F.round(x, 8).alias(x) for x in ("precision", "recall", "f_beta")))
+
+
+@query("threshold_calibration", f"{_CURVE} select grid_index, threshold, tp, fp, tn, fn, round(f_beta, 8) as f_beta from f order by f.f_beta desc, f.recall desc, f.precision desc, grid_index limit 1")
+def threshold_calibration(spark, sf_dir):
+    t = calibrate.grid(spark, threshold=[i * 0.5 for i in range(40)])
+    c = calibrate.on_grid(_samples(spark, sf_dir), t, F.col("score") >= F.col("threshold"))
+    best = calibrate.best(c, [F.col("f_beta"), F.col("recall"), F.col("precision")])
+    return best.select("grid_index", "threshold", "tp", "fp", "tn", "fn", F.round("f_beta", 8).alias("f_beta"))
+
+
+@query("ensemble_rule_grid", f"with {_SAMPLES}, g as (select i * 6 + j as grid_index, i * 0.4::double as add, j * 0.3::double as keep from range(0, 6) a(i), range(0, 6) b(j)), c as (select grid_index, add, keep, {_CONF.format(f='(case when present then support < keep else votes >= 2 and support >= add end)')} from x, g group by 1, 2, 3), m as (select *, {_RATIOS} from c), f as (select *, {_F2} from m) select grid_index, round(add, 6) as add, round(keep, 6) as keep, tp, fp, tn, fn, round(f_beta, 8) as f_beta from f")
+def ensemble_rule_grid(spark, sf_dir):
+    grid = calibrate.grid(spark, add=[i * 0.4 for i in range(6)], keep=[j * 0.3 for j in range(6)])
+    out = calibrate.ensemble_rule(_samples(spark, sf_dir), grid)
+    return out.select("grid_index", F.round("add", 6).alias("add"), F.round("keep", 6).alias("keep"), "tp", "fp", "tn", "fn", F.round("f_beta", 8).alias("f_beta"))
+
+
+_GROUPED = f"""with {_SAMPLES}, t as (select i, i * 0.5::double as threshold from range(0, 42) r(i)), p as (select grp, i, threshold, {_CONF.format(f='(score >= threshold)')} from x, t group by 1, 2, 3),
+    j as (select a.i * 42 * 42 + b.i * 42 + c.i as grid_index, a.threshold as t_fire_only, b.threshold as t_smoke_only, c.threshold as t_stable, a.tp+b.tp+c.tp as tp, a.fp+b.fp+c.fp as fp, a.tn+b.tn+c.tn as tn, a.fn+b.fn+c.fn as fn from p a, p b, p c where a.grp = 'fire_only' and b.grp = 'smoke_only' and c.grp = 'stable'),
+    m as (select *, {_RATIOS} from j), f as (select *, {_F2} from m), k as (select *, recall >= 0.85 and precision >= 0.35 as on_target from f)
+    select grid_index, t_fire_only, t_smoke_only, t_stable, tp, fp, tn, fn, on_target from k order by on_target desc, f_beta desc, case when on_target then precision else recall end desc, case when on_target then accuracy else precision end desc, case when on_target then recall else accuracy end desc, grid_index limit 1"""
+
+
+@query("grouped_calibration", _GROUPED)
+def grouped_calibration(spark, sf_dir):
+    t = calibrate.grid(spark, threshold=[i * 0.5 for i in range(42)])
+    out = calibrate.grouped_search(_samples(spark, sf_dir), t, "grp", "score", ["fire_only", "smoke_only", "stable"])
+    return out.select("grid_index", "t_fire_only", "t_smoke_only", "t_stable", "tp", "fp", "tn", "fn", "on_target")
+
+
+@query("latency_summary", "select event_type, count(*) as n, round(avg(value), 8) as mean, round(median(value), 8) as median, round(quantile_cont(value, 0.95), 8) as p95, round(quantile_cont(value, 0.99), 8) as p99, min(value) as min, max(value) as max from events group by 1")
+def latency_summary(spark, sf_dir):
+    out = evaluate.latency(read(spark, sf_dir, "events"), "value", ["event_type"])
+    return out.select("event_type", "n", *(F.round(c, 8).alias(c) for c in ("mean", "median", "p95", "p99")), "min", "max")
+
+
+@query("model_ranking", "with m as (select event_type, round(avg(value), 4) as score from events group by 1) select event_type, score, rank() over (order by score desc) as rank from m")
+def model_ranking(spark, sf_dir):
+    m = read(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("score"))
+    return evaluate.ranked(m, "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("json_predictions", "with j as (select event_type, cast(json_extract(props, '$.k') as bigint) as k, value from events) select event_type, count(*) filter (where k is not null) as parsed, cast(sum(k) as bigint) as total, count(*) filter (where value >= 25) as strong from j group by 1")
+def json_predictions(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_type", F.from_json("props", "k bigint").alias("p"), "value")
+    return e.groupBy("event_type").agg(F.count("p.k").alias("parsed"), F.sum("p.k").alias("total"), F.count_if(F.col("value") >= 25).alias("strong"))
+
+
+@query("class_mapping_vote", "with c as (select source, lang, count(*) as n from documents group by 1, 2), r as (select *, row_number() over (partition by source order by n desc, lang desc) as k, sum(n) over (partition by source) as total from c) select source, lang, n as votes, cast(total as bigint) as total, round(n / total, 8) as share from r where k = 1")
+def class_mapping_vote(spark, sf_dir):
+    c = docs(spark, sf_dir, "source", "lang").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return evaluate.majority_mapping(c, "source", "lang").withColumn("share", F.round("share", 8))
+
+
+@query("macro_recall", f"{_BEST}, r as (select cls, count(*) filter (where best_iou >= 0.3) / count(*) as recall from best group by 1) select round(avg(recall), 8) as macro_recall from r")
+def macro_recall(spark, sf_dir):
+    gts, preds = _sides(spark, sf_dir)
+    r = matching.best_iou(gts, preds, ["img", "cls"]).groupBy("cls").agg((F.count_if(F.col("best_iou") >= 0.3) / F.count("*")).alias("recall"))
+    return evaluate.macro_recall(r, [], "recall").select(F.round("macro_recall", 8).alias("macro_recall"))
+
+
+@query("negative_rate", """with neg as (select distinct l_orderkey as img from lineitem group by 1 having bool_and(l_linestatus = 'O')), p as (select l_orderkey as img, l_suppkey % 2 as cls, (l_extendedprice % 1000)/1000.0 as conf from lineitem join neg on neg.img = l_orderkey), u as (select img, max(conf) as m, max(conf) filter (where cls = 0) as f, max(conf) filter (where cls = 1) as s from p group by 1), t as (select unnest([0.1::double, 0.25, 0.5, 0.75]) as threshold)
+    select threshold, count(*) as images, count(*) filter (where m >= threshold) as alert_images, count(*) filter (where f >= threshold) as fire_alert_images, count(*) filter (where s >= threshold) as smoke_alert_images from u, t group by 1""")
+def negative_rate(spark, sf_dir):
+    b = boxes(spark, sf_dir, numbered=False)
+    empty = b.groupBy("img").agg(F.bool_and(F.col("side") == "O").alias("e")).where("e").select(F.col("img").alias("image"))
+    preds = b.select(F.col("img").alias("image"), "cls", "conf")
+    return evaluate.negative_rate(empty, preds, _TH).select("threshold", "images", "alert_images", "fire_alert_images", "smoke_alert_images")
