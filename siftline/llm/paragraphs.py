@@ -4,11 +4,11 @@ A paragraph is a line of at least ``min_words`` words (lower-cased runs of lette
 and digits).  Equal paragraphs meet by a 64-bit hash.  Distinct ones are compared
 by MinHash over shingles of five words, in bands that are tuned so that a pair at
 the similarity limit collides with the probability asked for.  Colliding
-paragraphs are joined into candidate groups; within a group every pair is verified
-by the exact Jaccard similarity of the shingle sets, in blocks of bounded size that
-are spread over tasks (a pair already known to be in one class is not checked
-again, and a block returns a spanning set of links, never all pairs).  Verified
-links are clustered into components.  Of each class the first paragraph, by
+paragraphs are joined into candidate groups, which are verified by the exact
+Jaccard similarity of the shingle sets: in blocks against each other and the
+group's most repeated paragraphs, then whatever is outside the largest class
+against all other classes, so classes come out as if all pairs had been compared.
+Verified links are clustered into components.  Of each class the first paragraph, by
 document id and position, stays; the others are removals.
 
 Shingles are taken as 64-bit hashes in signatures and in verification.
@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -35,6 +35,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 MIN_WORDS = 20
 BLOCK = 64
+PIVOTS = 16
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _STEP = 1 << 15
 
@@ -158,59 +159,84 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
 
 
 def _verified(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Spanning links ``a, b`` among the pairs of each group with Jaccard >= similarity."""
+    """Links ``a, b`` that connect the members (component, h, n) of each group as all pairs with Jaccard >= similarity do.
+
+    First, blocks of a group compare their own members and all pivots of the group
+    (its most repeated paragraphs): work in proportion to the group.  What is then
+    outside the group's largest class is compared with every member of another
+    class, in blocks, so no link between classes is missed.
+    """
     sizes = members.groupBy("component").agg(F.count("*").alias("m"))
-    m = stored(members.join(sizes, "component").join(sets, "h"), "members")
-    # at most 64 blocks a group, so a row is copied a bounded number of times
-    blocks = F.least(F.lit(64), F.ceil(F.col("m") / BLOCK)).cast("int")
-    m = m.select("component", "h", "shingles", blocks.alias("b"), F.pmod(F.xxhash64("h"), blocks).cast("int").alias("own"))
-    pair = F.explode(F.expr("transform(sequence(0, b - 1), x -> struct(least(own, x) as i, greatest(own, x) as j))"))
-    dealt = m.select("component", "own", "h", "shingles", pair.alias("p")).select("component", "p.i", "p.j", "own", "h", "shingles")
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "own", "h")
-
-    def links(group):
-        """``group``: (block, h, shingles); pairs within a block only in its own task."""
-        (i, j), rows = group[0][:2], group[1]
-        parent = {h: h for _, h, _ in rows}
+    m = members.join(sizes, "component").join(sets, "h").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+    m = stored(m.withColumn("blk", F.pmod(F.xxhash64("h"), F.col("nb")).cast("int")), "members")
+    order = Window.partitionBy("component").orderBy(F.desc("n"), "h")
+    pivots = m.where("nb > 1").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= PIVOTS)
+    pivots = pivots.select("component", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("blk"), "h", "shingles")
+    first = m.select("component", "blk", "h", "shingles").unionByName(pivots)
+    near = stored(_links(first.select("component", "blk", F.lit(0).alias("part"), F.lit(True).alias("ask"), F.col("h").alias("label"), "h", "shingles"), similarity), "near")
+
+    label = connected_components(near, "a", "b").withColumnRenamed("node", "h").withColumnRenamed("component", "label")
+    big = m.where("nb > 1").join(label, "h", "left").withColumn("label", F.coalesce("label", "h"))
+    big = stored(big.select("component", "blk", "nb", "label", "h"), "labelled")
+    most = big.groupBy("component", "label").agg(F.count("*").alias("k")).groupBy("component").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    most = stored(most, "main")
+    rest = stored(big.join(most, "component").where("label <> main").select("component", "nb", "label", "h"), "rest")
+    parts = rest.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("np"))
+    parts = stored(parts, "parts")
+    texts = m.select("h", "shingles")
+    part = F.pmod(F.xxhash64("h", F.lit(1)), F.col("np")).cast("int")
+    asking = rest.join(parts, "component").join(texts, "h").withColumn("part", part).select("component", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("blk"), "part", F.lit(True).alias("ask"), "label", "h", "shingles")
+    others = big.join(parts, "component").join(texts, "h").select("component", "blk", F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("part"), F.lit(False).alias("ask"), "label", "h", "shingles")
+    return near.unionByName(_links(asking.unionByName(others), similarity))
+
+
+def _links(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Spanning links ``a, b`` of each group (component, blk, part): rows that ask are compared with all others, unless of one label."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "component", "blk", "part").sortWithinPartitions("component", "blk", "part", "ask", "h")
+
+    def links(rows):
+        parent: dict[int, int] = {}
 
         def find(x):
-            while parent[x] != x:
+            while parent.setdefault(x, x) != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
-        sets = {h: frozenset(s) for _, h, s in rows}
-        left = [h for o, h, _ in rows if o == i]
-        right = left if i == j else [h for o, h, _ in rows if o == j]
-        for x in dict.fromkeys(left):
+        sets, label, asks = {}, {}, {}
+        for ask, of, h, s in rows:
+            sets[h], label[h], asks[h] = frozenset(s), of, ask or asks.get(h, False)
+        everyone = list(sets)
+        for x in everyone:
+            if not asks[x]:
+                continue
             a = sets[x]
-            for y in dict.fromkeys(right):
-                if y == x or find(x) == find(y):
+            for y in everyone:
+                if find(label[x]) == find(label[y]):
                     continue
                 c = sets[y]
                 if min(len(a), len(c)) < similarity * max(len(a), len(c)):
                     continue
                 both = len(a & c)
                 if both >= similarity * (len(a) + len(c) - both):
-                    parent[find(x)] = find(y)
+                    parent[find(label[x])] = find(label[y])
                     yield x, y
 
     def run(batches):
         key, rows = None, []
         for b in batches:
             out: list = []
-            columns = [b.column(i).to_pylist() for i in range(5)]
-            shingles = b.column(5)
-            for at, (c, i, j, own, h) in enumerate(zip(*columns, strict=True)):
-                if (c, i, j) != key:
-                    if rows:
-                        out += links(((key[1], key[2]), rows))
-                    key, rows = (c, i, j), []
-                rows.append((own, h, shingles[at].values.to_numpy()))
+            columns = [b.column(i).to_pylist() for i in range(6)]
+            shingles = b.column(6)
+            for at, (c, blk, part, ask, of, h) in enumerate(zip(*columns, strict=True)):
+                if (c, blk, part) != key:
+                    out += links(rows)
+                    key, rows = (c, blk, part), []
+                rows.append((ask, of, h, shingles[at].values.to_numpy()))
             if out:
                 yield edges(out)
-        if rows and (out := [*links(((key[1], key[2]), rows))]):
+        if rows and (out := [*links(rows)]):
             yield edges(out)
 
     def edges(out):
@@ -229,9 +255,9 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "para")
     distinct = stored(every.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("keys").alias("keys")), "distinct")
     group = _candidate_groups(distinct.select("h", "keys")).withColumnRenamed("node", "h")
-    members = stored(group.join(distinct.select("h", F.col("first.doc_id").alias("doc")), "h"), "candidates")
+    members = stored(group.join(distinct.select("h", "n", F.col("first.doc_id").alias("doc")), "h"), "candidates")
     sets = _shingle_sets(docs, members.select("h", "doc"), id_col, text_col, min_words).dropDuplicates(["h"])
-    linked = connected_components(_verified(members.select("h", "component"), sets, similarity), "a", "b").withColumnRenamed("node", "h")
+    linked = connected_components(_verified(members.select("h", "n", "component"), sets, similarity), "a", "b").withColumnRenamed("node", "h")
     named = distinct.select("h", "n", "first").join(linked, "h", "left").select("h", "n", "first", F.coalesce("component", "h").alias("component"))
     named = stored(named, "named")
     classes = named.groupBy("component").agg(F.sum("n").alias("n_members"), F.min("first").alias("keeper")).where("n_members > 1")

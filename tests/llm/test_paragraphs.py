@@ -83,3 +83,10 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(d + "/documents.parquet").collect()]
     assert got(pg.op6_paragraphs(spark, d)) == brute(docs, pg.MIN_WORDS)
     assert pg.paragraph_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_chain_of_paragraphs_is_one_class(spark):
+    words = [f"w{i}" for i in range(700)]
+    docs = [(i, " ".join(words[2 * i : 2 * i + 60])) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(pg.paragraph_classes(df)) == brute(docs, pg.MIN_WORDS)
