@@ -12,8 +12,8 @@ node keeps its best ``k``.
 
 A node all of whose k neighbours reach the threshold is saturated: its list may
 be too short.  Its component's lists are enlarged to the whole component, exactly:
-the members are compared in blocks of ``block`` rows, each pair of blocks a task,
-and only counts leave it.  An audit then counts the links of a sample of nodes by
+the members are compared in blocks (of ``block`` rows, or of a 64th of the
+component), every pair of blocks a group of its own, and only counts leave it.  An audit then counts the links of a sample of nodes by
 brute force; while the graph has found less than ``recall`` of them, another round
 of tables and refinement is added.
 
@@ -165,7 +165,8 @@ def _enlarged(nodes: DataFrame, members: DataFrame, dim: int, threshold: float,
     """``c, n_linked``: for the members of saturated components, their links within it, counted in blocks."""
     sizes = members.groupBy("component").agg(F.count("*").alias("m"))
     m = stored(members.join(sizes, "component").join(nodes, "c"), "members")
-    blocks = F.ceil(F.col("m") / block).cast("int")
+    # at most 64 blocks a component, so a row is copied a bounded number of times
+    blocks = F.least(F.lit(64), F.ceil(F.col("m") / block)).cast("int")
     m = m.select("c", "component", "v", "n", blocks.alias("b"), F.pmod(F.xxhash64("c"), blocks).cast("int").alias("own"))
     every = F.explode(F.expr("sequence(0, b - 1)"))
     left = m.select("component", F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("left"), "c", "v", "n")
@@ -240,7 +241,7 @@ def _links_of(nodes: DataFrame, dim: int, threshold: float, k: int, recall: floa
     return counts, label, reached
 
 
-def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, k: int = 8, recall: float = 0.98, rounds: int = 3, block: int = 1024) -> DataFrame:
+def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, k: int = 8, recall: float = 0.98, rounds: int = 3, block: int = 128) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
     spark = rows.sparkSession
