@@ -19,8 +19,8 @@ Every document is predicted in one pass without a shuffle.
 Edge cases: a null text or one without a letter is ``und`` with score 0; so is
 every text if no row is labelled; null languages and null texts teach nothing;
 repeated rows are predicted alike; ties go to the language first by name; an empty
-table gives an empty result; other columns are carried by ``identify`` and may
-have any name but those of the result.
+table gives an empty result; other columns are carried by ``identify``, and one
+named like a result column gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..plans.storage import stored
+from .columns import free_name, make_room
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -146,10 +147,10 @@ def fit(examples: DataFrame, text_col: str = "text", lang_col: str = "lang", nam
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs``, its text aside, with lang_pred, score and all chosen languages."""
-    clash = {"lang_pred", "score", "languages"} & {*docs.columns} - {text_col}
-    if clash:
-        raise ValueError(f"docs has columns {sorted(clash)}: rename them")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    plain = free_name(docs, "text")
+    docs = make_room(docs.withColumnRenamed(text_col, plain), "lang_pred", "score", "languages")
+    text_col = plain
     at = docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 

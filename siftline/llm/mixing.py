@@ -159,7 +159,8 @@ def mix(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", **options)
     """
     taken = rates(docs, labelled, id_col=id_col, **options).groupBy("doc_id").agg(F.min("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
     joined = docs.join(taken, docs[id_col].eqNullSafe(taken["_id"]))
-    return joined.select(docs["*"], F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    row = joined.select(F.struct(docs["*"]).alias("row"), F.explode(F.sequence(F.lit(1), taken["_copies"])).alias("copy"))
+    return row.select("row.*")
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

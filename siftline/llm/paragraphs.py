@@ -270,11 +270,12 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the lines that ``paragraph_classes`` marks as removed."""
     gone = paragraph_classes(docs, id_col, text_col, **options).where("removed")
-    per_doc = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("para").alias("_gone"))
-    joined = docs.join(per_doc, docs[id_col].cast("long").eqNullSafe(per_doc["_gone_id"]), "left")
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
-    return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    per_doc = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("para").alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    joined = rows.join(per_doc, rows["key"].eqNullSafe(per_doc["gone_id"]), "left")
+    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    return joined.select(*((text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op6_paragraphs(spark, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ range.  DataFrame functions only.
 Edge cases: size is the text's UTF-8 bytes plus 8 (a null text has none, and the
 checksum of no bytes); null ids sort first; repeated rows are told apart by a row
 number and each get a slot; fewer rows than shards leave shards empty; an empty
-table gives an empty result; other columns are kept by ``shard`` and may have any
-name.
+table gives an empty result; other columns are kept by ``shard``, and one named
+like a result column gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import stored
+from .columns import make_room
 
 OVERHEAD = 8
 _PREFIX_BITS = 12
@@ -96,9 +97,7 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
     """All rows of ``docs`` with their shard and their place in it."""
-    for c in (shard_col, slot_col):
-        if c in docs.columns:
-            raise ValueError(f"docs has a column {c}: name another one")
+    docs = make_room(docs, shard_col, slot_col)
     placed = assign(docs, shards, id_col, text_col).select(F.col("h").alias("_h"), F.col("doc_id").alias("_id"), F.col("shard").alias(shard_col), F.col("slot").alias(slot_col), "tie")
     # rows with equal text and id are interchangeable: the k-th of them takes the k-th place
     twin = Window.partitionBy("_h", "_id").orderBy("tie")

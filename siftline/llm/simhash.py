@@ -120,12 +120,12 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are reduced to one.
     """
     groups = stored(simhash_groups(docs, id_col, text_col, size, radius), "groups")
-    kept = groups.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_keep_id"), F.col("component_id").alias("_keep_class"))
-    out = docs.join(kept.where("_keep_id is not null").distinct(), docs[id_col].cast("long") == F.col("_keep_id"), "left_semi")
-    repeated = kept.where("_keep_id is not null").groupBy("_keep_id").count().where("count > 1").limit(1).count()
-    if repeated:
+    kept = groups.where("component_id is null or doc_id = component_id").select("doc_id")
+    named = kept.where("doc_id is not null").distinct()
+    out = docs.join(named, docs[id_col].cast("long") == named["doc_id"], "left_semi")
+    if kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(F.col(id_col).isNull())) if kept.where("_keep_id is null").limit(1).count() else out
+    return out.unionByName(docs.where(docs[id_col].isNull())) if kept.where("doc_id is null").limit(1).count() else out
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -21,8 +21,8 @@ Edge cases: a null or empty text, or one without known terms, gets the prior's
 calibrated score; null labels are no examples; without examples of both classes
 the score is the share of label 1 (0 without labels); repeated rows and ids are
 scored row by row; an empty table gives an empty result; equal similarities are
-ordered by the example's place in the index; other columns are carried and may have any name but
-those of the result.
+ordered by the example's place in the index; other columns are carried; one named like a
+result column gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..plans.storage import stored
+from .columns import free_name, make_room
 from .decontaminate import words_of
 
 PREFIXES = (4, 5, 6, 7)
@@ -233,7 +234,12 @@ def fit(examples: DataFrame, text_col: str = "text", label_col: str = "toxic", n
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, keep: str = "all", evidence: int = 3) -> DataFrame:
     """``docs`` with score, predicted and evidence; ``keep="clean"``: instead, the rows of ``docs`` not predicted toxic."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    at, only_clean = docs.columns.index(text_col), keep == "clean"
+    only_clean = keep == "clean"
+    if not only_clean:
+        plain = free_name(docs, "text")
+        docs = make_room(docs.withColumnRenamed(text_col, plain), "score", "predicted", "evidence")
+        text_col = plain
+    at = docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("example", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def run(batches):
@@ -252,9 +258,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
 
     if only_clean:
         return docs.mapInArrow(run, docs.schema)
-    clash = {"score", "predicted", "evidence"} & {*docs.columns} - {text_col}
-    if clash:
-        raise ValueError(f"docs has columns {sorted(clash)}: rename them")
     return docs.mapInArrow(run, StructType([*(f for f in docs.schema.fields if f.name != text_col), *StructType.fromDDL(RESULT).fields]))
 
 
