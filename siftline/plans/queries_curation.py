@@ -110,10 +110,11 @@ _HASHES = """h as (select vec_id, label, list_transform(embedding, lambda v: cas
 def sign_hashes(spark, sf_dir):
     """64-bit hashes of embeddings: bit i is set where the i-th value exceeds the median of all but the first."""
     e = read(spark, sf_dir, "embeddings")
-    rest = F.array_sort(F.slice("embedding", 2, 63))
-    median = rest[31]
-    bits = F.transform("embedding", lambda v: (v > median).cast("int"))
-    return e.select("vec_id", "label", _pack(bits).alias("h"))
+    median = F.array_sort(F.slice("embedding", 2, 63))[31]
+    # inside a lambda over one struct, so that the median is taken once a row and not once a value
+    one = F.array(F.struct(F.col("embedding").alias("e"), median.alias("m")))
+    packed = F.transform(one, lambda x: _pack(F.transform(x["e"], lambda v: (v > x["m"]).cast("int"))))
+    return e.select("vec_id", "label", packed[0].alias("h"))
 
 
 def _pack(bits):
