@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import drop_stored, stored
+from ..plans.storage import drop_stored, scratch, stored
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -17,23 +17,24 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     can be split by the skew join and are pre-aggregated before they move.
     Null ends and self-loops are ignored.
     """
-    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    label = stored(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
-    for _ in range(max_rounds):
-        # the smallest label next to each node
-        near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        offers = near.join(label.withColumnRenamed("node", "u"), "u").where("m < label")
-        # a better label is offered to the node and to the root it hangs on
-        offers = offers.select(F.explode(F.array("u", "label")).alias("node"), F.col("m").alias("label"))
-        hooked = stored(label.unionByName(offers).groupBy("node").agg(F.min("label").alias("label")), "labels")
-        up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        short = stored(hooked.join(up, "label", "left").select("node", F.least("label", "up").alias("label")), "labels")
-        done = short.join(label.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count() == 0
-        drop_stored(hooked)
-        drop_stored(label)
-        label = short
-        if done:
-            return label.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    with scratch() as keep:
+        e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
+        e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        label = stored(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
+        for _ in range(max_rounds):
+            # the smallest label next to each node
+            near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
+            offers = near.join(label.withColumnRenamed("node", "u"), "u").where("m < label")
+            # a better label is offered to the node and to the root it hangs on
+            offers = offers.select(F.explode(F.array("u", "label")).alias("node"), F.col("m").alias("label"))
+            hooked = stored(label.unionByName(offers).groupBy("node").agg(F.min("label").alias("label")), "labels")
+            up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
+            short = stored(hooked.join(up, "label", "left").select("node", F.least("label", "up").alias("label")), "labels")
+            done = short.join(label.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count() == 0
+            drop_stored(hooked)
+            drop_stored(label)
+            label = short
+            if done:
+                return keep(label).select("node", F.col("label").alias("component"))
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")

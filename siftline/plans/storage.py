@@ -12,11 +12,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = f"siftline-{uuid.uuid4().hex[:12]}"
 _own: dict[str, str] = {}
+#: Tables written inside each open ``scratch`` block, innermost last.
+_open: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,9 +48,37 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_path = path
+    if _open:
+        _open[-1].append(back)
     return back
 
 
+@contextmanager
+def scratch():
+    """Drop the tables stored inside the block when it ends, but for those handed to ``keep``.
+
+    Use it where everything a result reads is stored and kept: what was dropped
+    can't be read again.
+    """
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        made = _open.pop()
+        ids = {id(k) for k in kept}
+        for df in made:
+            if id(df) not in ids:
+                drop_stored(df)
+            elif _open:
+                _open[-1].append(df)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table made by ``stored``; nothing may read it afterwards."""
     path = getattr(df, "_stored_path", None)

@@ -30,3 +30,20 @@ def test_components_match_union_find(spark):
 
 def test_components_of_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_scratch_drops_what_is_not_kept(spark):
+    import pytest
+
+    from siftline.plans.storage import scratch, stored
+
+    with scratch() as keep:
+        a = stored(spark.range(3))
+        b = keep(stored(spark.range(4)))
+        with scratch() as inner:
+            c = inner(stored(spark.range(5)))
+        assert a.count() == 3 and c.count() == 5
+    assert b.count() == 4
+    for gone in (a, c):
+        with pytest.raises(Exception):  # noqa: B017
+            gone.collect()
