@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..plans.storage import stored
+from ..plans.storage import scratch, stored
 
 THRESHOLD = 0.95
 _SPAN = 32
@@ -243,28 +243,29 @@ def _links_of(nodes: DataFrame, dim: int, threshold: float, k: int, recall: floa
 
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, k: int = 8, recall: float = 0.98, rounds: int = 3, block: int = 128) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
-    spark = rows.sparkSession
-    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    good = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", number) & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = stored(rows.withColumn("ok", good), "vectors")
-    grouped = rows.where("ok").groupBy("v").agg(F.count("*").alias("n"), F.min("vec_id").alias("rep"))
-    nodes = stored(grouped.select(F.monotonically_increasing_id().alias("c"), "v", "n", "rep"), "nodes")
-    dims = [r[0] for r in nodes.select(F.size("v")).distinct().collect()]
-    counts = spark.createDataFrame([], "c long, n_linked long")
-    label = spark.createDataFrame([], "c long, component long")
-    for d in dims:
-        own = nodes.where(F.size("v") == d)
-        found, named, _ = _links_of(own, d, threshold, k, recall, rounds, block)
-        counts, label = counts.unionByName(found), label.unionByName(named.select("c", "component"))
-    named = nodes.select("c", "rep").join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    named = stored(named, "named")
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = nodes.join(named.select("c", "component"), "c").join(smallest, "component").join(counts, "c", "left")
-    classes = stored(classes.select("v", (F.coalesce("n_linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "classes")
-    linked = rows.where("ok").join(classes, "v").select("vec_id", "n_links", "component_id")
-    alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    with scratch() as keep:
+        rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
+        spark = rows.sparkSession
+        number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+        good = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", number) & F.exists("v", lambda x: x != 0), F.lit(False))
+        rows = keep(stored(rows.withColumn("ok", good), "vectors"))
+        grouped = rows.where("ok").groupBy("v").agg(F.count("*").alias("n"), F.min("vec_id").alias("rep"))
+        nodes = stored(grouped.select(F.monotonically_increasing_id().alias("c"), "v", "n", "rep"), "nodes")
+        dims = [r[0] for r in nodes.select(F.size("v")).distinct().collect()]
+        counts = spark.createDataFrame([], "c long, n_linked long")
+        label = spark.createDataFrame([], "c long, component long")
+        for d in dims:
+            own = nodes.where(F.size("v") == d)
+            found, named, _ = _links_of(own, d, threshold, k, recall, rounds, block)
+            counts, label = counts.unionByName(found), label.unionByName(named.select("c", "component"))
+        named = nodes.select("c", "rep").join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
+        named = stored(named, "named")
+        smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+        classes = nodes.join(named.select("c", "component"), "c").join(smallest, "component").join(counts, "c", "left")
+        classes = keep(stored(classes.select("v", (F.coalesce("n_linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "classes"))
+        linked = rows.where("ok").join(classes, "v").select("vec_id", "n_links", "component_id")
+        alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op9_embedding(spark, sf_dir: str) -> DataFrame:

@@ -81,7 +81,6 @@ class Model:
         share = counts / np.maximum(counts.sum(0), 1)
         mean = share.mean(1, keepdims=True) + 1e-3 / BUCKETS
         self.likely = (counts + strength * mean) / (counts.sum(0) + strength * mean.sum())
-        self.log = np.log(self.likely)
 
     def select(self, text: str | None) -> list[tuple[str, float]]:
         """The chosen languages with their proportions, largest first."""
@@ -91,7 +90,7 @@ class Model:
         if not len(where):
             return []
         likely, size = self.likely[where], counts.sum() / _OVERLAP
-        single = counts @ self.log[where]
+        single = counts @ np.log(likely)
         chosen = [int(single.argmax())]
         share, best = np.ones(1), float(single[chosen[0]])
         bar = _OVERLAP * self.penalty * np.log(size + 2)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..plans.storage import stored
+from ..plans.storage import scratch, stored
 from .decontaminate import words_of
 
 SHINGLE = 5
@@ -250,21 +250,22 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     ``start`` and ``end`` are code points of the text; ``component_id`` names the class.
     """
-    bands, rows = tune_bands(similarity, recall)
-    every = stored(paragraphs(docs, id_col, text_col, min_words, bands, rows), "paragraphs")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "para")
-    distinct = stored(every.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("keys").alias("keys")), "distinct")
-    group = _candidate_groups(distinct.select("h", "keys")).withColumnRenamed("node", "h")
-    members = stored(group.join(distinct.select("h", "n", F.col("first.doc_id").alias("doc")), "h"), "candidates")
-    sets = _shingle_sets(docs, members.select("h", "doc"), id_col, text_col, min_words).dropDuplicates(["h"])
-    linked = connected_components(_verified(members.select("h", "n", "component"), sets, similarity), "a", "b").withColumnRenamed("node", "h")
-    named = distinct.select("h", "n", "first").join(linked, "h", "left").select("h", "n", "first", F.coalesce("component", "h").alias("component"))
-    named = stored(named, "named")
-    classes = named.groupBy("component").agg(F.sum("n").alias("n_members"), F.min("first").alias("keeper")).where("n_members > 1")
-    classes = stored(named.select("h", "component").join(classes, "component"), "classes")
-    out = every.drop("keys").join(classes, "h")
-    stays = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("para") == F.col("keeper.para"))
-    return out.select("doc_id", "para", "start", "end", "n_words", F.col("component").alias("component_id"), F.col("keeper.doc_id").alias("keeper_doc"), F.col("keeper.para").alias("keeper_para"), "n_members", (~stays).alias("removed"))
+    with scratch() as keep:
+        bands, rows = tune_bands(similarity, recall)
+        every = keep(stored(paragraphs(docs, id_col, text_col, min_words, bands, rows), "paragraphs"))
+        place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "para")
+        distinct = stored(every.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("keys").alias("keys")), "distinct")
+        group = _candidate_groups(distinct.select("h", "keys")).withColumnRenamed("node", "h")
+        members = stored(group.join(distinct.select("h", "n", F.col("first.doc_id").alias("doc")), "h"), "candidates")
+        sets = _shingle_sets(docs, members.select("h", "doc"), id_col, text_col, min_words).dropDuplicates(["h"])
+        linked = connected_components(_verified(members.select("h", "n", "component"), sets, similarity), "a", "b").withColumnRenamed("node", "h")
+        named = distinct.select("h", "n", "first").join(linked, "h", "left").select("h", "n", "first", F.coalesce("component", "h").alias("component"))
+        named = stored(named, "named")
+        classes = named.groupBy("component").agg(F.sum("n").alias("n_members"), F.min("first").alias("keeper")).where("n_members > 1")
+        classes = keep(stored(named.select("h", "component").join(classes, "component"), "classes"))
+        out = every.drop("keys").join(classes, "h")
+        stays = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("para") == F.col("keeper.para"))
+        return out.select("doc_id", "para", "start", "end", "n_words", F.col("component").alias("component_id"), F.col("keeper.doc_id").alias("keeper_doc"), F.col("keeper.para").alias("keeper_para"), "n_members", (~stays).alias("removed"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..plans.storage import stored
+from ..plans.storage import scratch, stored
 
 BITS = 64
 SEED = 42
@@ -100,12 +100,13 @@ def _links(points: DataFrame, radius: int) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
     """``doc_id, fp, component_id``: every row with its fingerprint and the smallest id reachable by links."""
-    digest = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    points = stored(digest.groupBy("fp").agg(F.min("doc_id").alias("id")), "points")
-    named = points.where("id is not null")
-    label = connected_components(_links(named, radius), "a", "b")
-    classes = stored(points.join(label.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")), "classes")
-    return digest.join(classes, "fp").select("doc_id", "fp", "component_id")
+    with scratch() as keep:
+        digest = keep(stored(fingerprints(docs, id_col, text_col, size), "fingerprints"))
+        points = stored(digest.groupBy("fp").agg(F.min("doc_id").alias("id")), "points")
+        named = points.where("id is not null")
+        label = connected_components(_links(named, radius), "a", "b")
+        classes = keep(stored(points.join(label.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")), "classes"))
+        return digest.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp) -> "F.Column":
