@@ -279,5 +279,13 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"), "spans", "items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"),
     )
+
+
+SQL_WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP1_SQL = f"""with d as (select doc_id, coalesce({SQL_WORDS.format("text")}, []) as w from documents), i as (select item_id, {SQL_WORDS.format("text")} as w from benchmark where text is not null), ik as (select item_id, w, least(13, len(w)) as k from i where len(w) > 0),
+    ig as (select distinct item_id, k, array_to_string(w[j:j+k-1], ' ') as g from (select item_id, w, k, unnest(range(1, len(w)-k+2)) as j from ik)), ks as (select distinct k from ig),
+    dg as (select doc_id, k, j, array_to_string(w[j:j+k-1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w)-k+2)) as j from d, ks where len(w) >= k)), m as (select doc_id, j, dg.k, item_id from dg join ig on dg.g = ig.g and dg.k = ig.k),
+    h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(j, j+k)) as p from m) group by 1), t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from m group by 1)
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join h using (doc_id) left join t using (doc_id)"""

@@ -270,3 +270,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
 def op9_embedding(spark, sf_dir: str) -> DataFrame:
     return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP9_SQL = """with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings), p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+    walk(node, seen) as (select a, a from p union select w.node, p.b from walk w join p on p.a = w.seen), c as (select node, min(seen) as component from walk group by 1), n as (select a, count(*) as n from p group by 1)
+    select vec_id, coalesce(n, 0) as n_links, coalesce(component, vec_id) as component_id, vec_id = coalesce(component, vec_id) as kept from embeddings left join n on n.a = vec_id left join c on c.node = vec_id"""

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..plans.storage import scratch, stored
-from .decontaminate import words_of
+from .decontaminate import SQL_WORDS, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -280,4 +280,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op6_paragraphs(spark, sf_dir: str) -> DataFrame:
-    return paragraph_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Classes are named by their keeper, so that they can be told without the hash."""
+    return paragraph_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("component_id")
+
+
+OP6_SQL = f"""with recursive l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents),
+    s as (select doc_id, cast(k - 1 as int) as para, line, sum(length(line) + 1) over (partition by doc_id order by k) - length(line) - 1 as start, {SQL_WORDS.format("line")} as w from l), q as (select *, row_number() over (order by doc_id, para) as id, array_to_string(w, ' ') as norm from s where len(w) >= {MIN_WORDS}),
+    u as (select norm, any_value(w) as w, min(id) as rep from q group by norm), g as (select distinct rep, array_to_string(w[j:j+4], ' ') as sh from (select rep, w, unnest(range(1, len(w) - 3)) as j from u)), n as (select rep, count(*) as n from g group by 1),
+    b as (select x.rep as a, y.rep as b, count(*) as inter from g x join g y on x.sh = y.sh and x.rep <> y.rep group by 1, 2), e as (select b.a, b.b from b join n x on x.rep = b.a join n y on y.rep = b.b where inter >= {SIMILARITY} * (x.n + y.n - inter)),
+    walk(node, seen) as (select a, a from e union select w.node, e.b from walk w join e on e.a = w.seen), c as (select node, min(seen) as c from walk group by 1), z as (select q.*, coalesce(c.c, u.rep) as comp from q join u using (norm) left join c on c.node = u.rep),
+    t as (select comp, count(*) as n_members from z group by 1 having count(*) > 1) select z.doc_id, z.para, cast(z.start as bigint) as start, cast(z.start + length(z.line) as bigint) as "end", cast(len(z.w) as int) as n_words, k.doc_id as keeper_doc, k.para as keeper_para, n_members, z.id <> k.id as removed from z join t using (comp) join q k on k.id = z.comp"""
