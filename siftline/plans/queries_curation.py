@@ -280,3 +280,15 @@ def adjudicate(spark, sf_dir):
     c = c.withColumns({"a": (F.col("id_a") % 10) / 10, "b": (F.col("id_b") % 10) / 10, "consensus": (F.col("id_a") + F.col("id_b")) % 5})
     c = c.withColumn("decision", s.adjudicate("relation", "result", "a", "b", "consensus"))
     return c.select("id_a", "id_b", "decision", s.recovery_eligible("relation", "decision").alias("eligible"))
+
+
+@query("curated_layers")
+def curated_layers(spark, sf_dir):
+    """The whole curation: exact duplicates by annotation, then leakage against test and val."""
+    from .curation import layered_manifest
+
+    d = docs(spark, sf_dir, "doc_id", "split")
+    e = _edges(spark, sf_dir)
+    for x in "ab":
+        e = e.join(d.select(F.col("doc_id").alias(x), F.col("split").alias(f"split_{x}")), x)
+    return layered_manifest(d, _compared(spark, sf_dir), e, "doc_id").groupBy("layer", "split").agg(F.count("*").alias("n"))

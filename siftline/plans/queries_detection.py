@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import scoring as s
-from ..operators import calibrate, ensemble, evaluate, matching, mining
+from ..operators import calibrate, dedup, ensemble, evaluate, lookup, matching, mining
+from ..sources.sinks import union_of_columns
+from . import curation
 from .base import SQL_BOX, boxes, docs, query, read, sql_iou
 
 _FO = f"with {SQL_BOX}, a as (select * from box where side = 'F'), b as (select * from box where side = 'O')"
@@ -62,16 +64,25 @@ def size_aware_recall(spark, sf_dir):
     return out.select("threshold", "cls", "size", "gt", "tp", "fn", "prediction_fp", F.round("tp_mean_conf", 8).alias("tp_mean_conf"))
 
 
-@query("box_match_global")
+_GLOBAL = f"""with recursive {SQL_BOX}, a as (select * from box where side = 'F'), b as (select * from box where side = 'O'), na as (select img, count(*) as n from a group by 1), nb as (select img, count(*) as n from b group by 1),
+    ai as (select *, row_number() over (partition by img order by bid) - 1 as pos from a), bi as (select *, row_number() over (partition by img order by bid) - 1 as pos from b), c as (select ai.img, ai.pos as ia, bi.pos as ib, {sql_iou("ai", "bi")} as iou from ai join bi on ai.img = bi.img and ai.cls = bi.cls),
+    r as (select *, row_number() over (partition by img order by iou desc, ia desc, ib desc) as k from c where iou >= 0.3), w(img, k, ua, ub, n, total) as (select distinct img, cast(0 as bigint), cast([] as bigint[]), cast([] as bigint[]), cast(0 as int), cast(0 as double) from r
+    union all select w.img, r.k, case when f then list_append(ua, ia) else ua end, case when f then list_append(ub, ib) else ub end, case when f then n + 1 else n end, case when f then total + iou else total end from w join (select * from r) r on r.img = w.img and r.k = w.k + 1, lateral (select not list_contains(w.ua, r.ia) and not list_contains(w.ub, r.ib) as f) q),
+    last as (select img, max_by(n, k) as n, max_by(total, k) as total from w group by 1)"""
+
+
+@query("box_match_global", f"{_GLOBAL} select na.img, coalesce(l.n, 0) as matched, round(coalesce(l.n, 0) / na.n, 8) as coverage_a, round(coalesce(l.n, 0) / nb.n, 8) as coverage_b, round(case when coalesce(l.n, 0) = 0 then 0.0 else l.total / l.n end, 8) as mean_iou from na join nb on na.img = nb.img left join last l on l.img = na.img")
 def box_match_global(spark, sf_dir):
     gts, preds = _sides(spark, sf_dir)
     a = matching.per_image(gts, ["img"], [F.col("id")], ["id", "cls", "box"], "a")
     b = matching.per_image(preds, ["img"], [F.col("id")], ["id", "cls", "box"], "b")
     m = a.join(b, "img").withColumn("m", matching.global_match(F.col("a"), F.col("b"), 0.3))
-    return m.select("img", matching.match_summary(F.col("a"), F.col("b"), F.col("m")).alias("s")).select("img", "s.*")
+    return m.select("img", matching.match_summary(F.col("a"), F.col("b"), F.col("m")).alias("s")).select("img", "s.*").withColumns({x: F.round(x, 8) for x in ("coverage_a", "coverage_b", "mean_iou")})
 
 
-@query("nms")
+@query("nms", f"""with recursive {SQL_BOX}, o as (select *, row_number() over (partition by img, cls order by conf desc, bid) as i from box), cf as (select b.bid, list(a.bid) as l from o a join o b on a.img = b.img and a.cls = b.cls and a.i < b.i and {sql_iou()} > 0.5 group by b.bid),
+    w(img, cls, i, kept) as (select img, cls, i, [bid] from o where i = 1 union all select w.img, w.cls, o.i, case when cf.l is not null and len(list_intersect(w.kept, cf.l)) > 0 then w.kept else list_append(w.kept, o.bid) end from w join o on o.img = w.img and o.cls = w.cls and o.i = w.i + 1 left join cf on cf.bid = o.bid),
+    last as (select img, cls, max_by(kept, i) as kept from w group by 1, 2), k as (select img, cls, unnest(kept) as id from last) select k.img, k.cls, k.id, box.conf from k join box on box.bid = k.id""")
 def nms(spark, sf_dir):
     b = boxes(spark, sf_dir).withColumnRenamed("bid", "id")
     arrays = matching.per_image(b, ["img", "cls"], [-F.col("conf"), F.col("id")], ["id", "conf", "box"], "boxes")
@@ -279,3 +290,60 @@ def negative_rate(spark, sf_dir):
     empty = b.groupBy("img").agg(F.bool_and(F.col("side") == "O").alias("e")).where("e").select(F.col("img").alias("image"))
     preds = b.select(F.col("img").alias("image"), "cls", "conf")
     return evaluate.negative_rate(empty, preds, _TH).select("threshold", "images", "alert_images", "fire_alert_images", "smoke_alert_images")
+
+
+@query("detections_by_category", f"""with {SQL_BOX}, c as (select img, case when bool_or(cls=0) and bool_or(cls=1) then 'fire_smoke' when bool_or(cls=0) then 'fire_only' else 'smoke_only' end as category from box where side='F' group by 1), d as (select img, count(*) as n, count(*) filter (where conf >= 0.25) as strong from box where side = 'O' and w > 0 and h > 0 group by 1)
+    select category, count(*) as images, cast(sum(coalesce(n,0)) as bigint) as detections, cast(sum(coalesce(strong,0)) as bigint) as strong, count(*) filter (where strong > 0) as images_with_strong from c left join d using (img) group by 1""")
+def detections_by_category(spark, sf_dir):
+    gts = boxes(spark, sf_dir, numbered=False).where("side = 'F'")
+    images = gts.groupBy(F.col("img").alias("image")).agg(s.category(F.bool_or(F.col("cls") == 0), F.bool_or(F.col("cls") == 1)).alias("category"))
+    return lookup.sums_by_category(_detections(spark, sf_dir), images)
+
+
+@query("review_index", "with u as (select user_id, max(value) / 300.0 as conf from events group by 1) select user_id, row_number() over (order by conf desc, user_id) as index from u where conf >= 0.25")
+def review_index(spark, sf_dir):
+    u = read(spark, sf_dir, "events").groupBy("user_id").agg((F.max("value") / 300).alias("top_conf"))
+    review, _ = mining.residual_split(u)
+    return dedup.with_rank(review, [F.desc("top_conf"), F.col("user_id")], "index").select("user_id", "index")
+
+
+@query("residual_split", "with u as (select user_id, max(value) / 300.0 as c from events group by 1) select count(*) filter (where c >= 0.25) as review, count(*) filter (where not c >= 0.25) as remaining from u")
+def residual_split(spark, sf_dir):
+    u = read(spark, sf_dir, "events").groupBy("user_id").agg((F.max("value") / 300).alias("top_conf"))
+    review, rest = mining.residual_split(u)
+    return review.agg(F.count("*").alias("review")).crossJoin(F.broadcast(rest.agg(F.count("*").alias("remaining"))))
+
+
+@query("split_lookup", "with s as (select doc_id, lang from documents where doc_id % 4 <> 0) select coalesce(s.lang, 'unknown') as lang, count(*) as n from labels left join s using (doc_id) group by 1")
+def split_lookup(spark, sf_dir):
+    known = docs(spark, sf_dir, "doc_id", "lang").where("doc_id % 4 <> 0")
+    return lookup.with_default(read(spark, sf_dir, "labels"), known, "doc_id", "lang").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("pair_lookup_failures", "with p as (select doc_id as a, doc_id + 7 as b from documents where doc_id % 3 = 0) select count(*) as pairs, count(*) filter (where x.doc_id is null or y.doc_id is null) as failures from p left join labels x on x.doc_id = a left join labels y on y.doc_id = b")
+def pair_lookup_failures(spark, sf_dir):
+    pairs = docs(spark, sf_dir, "doc_id").where("doc_id % 3 = 0").select(F.col("doc_id").alias("doc_id_a"), (F.col("doc_id") + 7).alias("doc_id_b"))
+    return lookup.failures(lookup.both_sides(pairs, read(spark, sf_dir, "labels"), "doc_id", ["quality"]))
+
+
+@query("archive_mapping_votes", "with n as (select doc_id, lang as name from documents union all select doc_id, 'x' from documents where doc_id % 9 = 0), c as (select doc_id, cast(length(lang) + doc_id % 2 as int) as cls from documents), s as (select doc_id, min(name) as name from n group by 1 having count(distinct name) = 1) select cls, name, count(*) as n from s join c using (doc_id) group by 1, 2")
+def archive_mapping_votes(spark, sf_dir):
+    d = docs(spark, sf_dir, "doc_id", "lang")
+    names = d.select("doc_id", F.col("lang").alias("name")).unionByName(d.where("doc_id % 9 = 0").select("doc_id", F.lit("x").alias("name")))
+    numbers = d.select("doc_id", (F.length("lang") + F.col("doc_id") % 2).cast("int").alias("cls"))
+    return lookup.mapping_votes(names, numbers, "doc_id")
+
+
+@query("report_union", "with a as (select event_type as model, count(*) as n, cast(null as double) as mean from events where event_type = 'view' group by 1), b as (select event_type as model, cast(null as bigint) as n, round(avg(value), 8) as mean from events where event_type = 'click' group by 1) select * from a union all select * from b")
+def report_union(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumnRenamed("event_type", "model")
+    a = e.where("model = 'view'").groupBy("model").agg(F.count("*").alias("n"))
+    b = e.where("model = 'click'").groupBy("model").agg(F.round(F.avg("value"), 8).alias("mean"))
+    return union_of_columns([a, b], first="model")
+
+
+@query("final_evaluation")
+def final_evaluation(spark, sf_dir):
+    b = boxes(spark, sf_dir).withColumnsRenamed({"bid": "id", "img": "image"})
+    gts, preds = b.where("side = 'F'"), b.where("side = 'O' and conf >= 0.25")
+    return curation.final_evaluation(gts, preds, b.select("image").distinct())
