@@ -282,7 +282,15 @@ def adjudicate(spark, sf_dir):
     return c.select("id_a", "id_b", "decision", s.recovery_eligible("relation", "decision").alias("eligible"))
 
 
-@query("curated_layers")
+_LAYERS = f"""{_DECIDED.replace("with docs", "with docs", 1)}, gone as (select doc_id, split, max(role) as role from (select e.role, e.doc_id, x.split from e join docs x on x.doc_id = e.doc_id where role <> 'keep') group by 1, 2), clean as (select doc_id, split from docs where doc_id not in (select doc_id from gone)),
+    pre as (select doc_id, split, text as k from docs union all select doc_id, split, left(text, 60) from docs), fst as (select *, min(doc_id) over (partition by k) as f from pre), ed as (select distinct f as a, doc_id as b from fst where f <> doc_id),
+    s as (select ed.a, ed.b, x.split as sa, y.split as sb from ed join clean x on x.doc_id = ed.a join clean y on y.doc_id = ed.b), t1 as (select sb as split, b as doc_id from s where sa='test' and sb<>'test' union select sa, a from s where sb='test' and sa<>'test'),
+    alive as (select * from s where a not in (select doc_id from t1) and b not in (select doc_id from t1)), t2 as (select b as doc_id from alive where sa='val' and sb not in ('val','test') union select a from alive where sb='val' and sa not in ('val','test')),
+    c1 as (select * from clean where doc_id not in (select doc_id from t1)), c2 as (select * from c1 where doc_id not in (select doc_id from t2)),
+    u as (select 'original' as layer, split from docs union all select 'exclude_exact', split from gone where role='exclude' union all select 'quarantine_exact', split from gone where role='quarantine' union all select 'clean_exact', split from clean union all select 'clean_test_protected', split from c1 union all select 'frozen', split from c2)"""
+
+
+@query("curated_layers", f"{_LAYERS} select layer, split, count(*) as n from u group by 1, 2")
 def curated_layers(spark, sf_dir):
     """The whole curation: exact duplicates by annotation, then leakage against test and val."""
     from .curation import layered_manifest

@@ -342,8 +342,14 @@ def report_union(spark, sf_dir):
     return union_of_columns([a, b], first="model")
 
 
-@query("final_evaluation")
+_FINAL = f"""{_GREEDY.replace('with box', 'with recursive box', 1).replace("where side = 'O')", "where side = 'O' and conf >= 0.25)", 1)}, hit as (select gt_id from walk where gt_id is not null), rc as (select a.cls, count(hit.gt_id) / count(*) as recall from a left join hit on hit.gt_id = a.bid group by 1),
+    neg as (select distinct img from box where img not in (select img from a)), al as (select b.img, b.cls from b join neg on neg.img = b.img), n as (select count(*) as n from neg)"""
+
+
+@query("final_evaluation", f"{_FINAL} select cast(0 as bigint) as foreign_predictions, round((select recall from rc where cls = 0), 8) as recall_fire, round((select recall from rc where cls = 1), 8) as recall_smoke, round((select avg(recall) from rc), 8) as macro_recall, (select n from n) as negative_images, (select count(distinct img) from al) as alert_images, round((select count(distinct img) from al) / (select n from n), 8) as image_rate, round((select count(distinct img) from al where cls = 0) / (select n from n), 8) as fire_image_rate")
 def final_evaluation(spark, sf_dir):
     b = boxes(spark, sf_dir).withColumnsRenamed({"bid": "id", "img": "image"})
     gts, preds = b.where("side = 'F'"), b.where("side = 'O' and conf >= 0.25")
-    return curation.final_evaluation(gts, preds, b.select("image").distinct())
+    out = curation.final_evaluation(gts, preds, b.select("image").distinct())
+    rounded = lambda c, name: F.round(c, 8).alias(name)
+    return out.select("foreign_predictions", rounded(F.col("recall")[0], "recall_fire"), rounded(F.col("recall")[1], "recall_smoke"), rounded("macro_recall", "macro_recall"), "negative_images", "alert_images", rounded("image_rate", "image_rate"), rounded("fire_image_rate", "fire_image_rate"))
