@@ -11,18 +11,24 @@ SAFE = ("exact_annotation", "equivalent_annotation")
 
 
 def hash_groups(items: DataFrame, key: str, content: str, size: str | None = None, split: str = "split") -> DataFrame:
-    """Groups of equal content: ``digest, n, members, splits, signature``.
+    """Groups of equal content: ``digest, n, first, splits, signature``; ``first`` is the smallest key.
 
-    With a ``size`` column only items whose size repeats are hashed at all.
+    With a ``size`` column only items whose size repeats are hashed at all.  A
+    group is counted, never gathered; ``group_members`` lists its rows.
     """
     rows = items
     if size:
         repeated = items.groupBy(size).agg(F.count("*").alias("_n")).where("_n > 1").select(size)
         rows = items.join(repeated, size, "left_semi")
     rows = rows.withColumn("digest", F.sha2(content, 256))
-    grouped = rows.groupBy("digest").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col(split).alias("split")))).alias("members"))
-    grouped = grouped.where("n > 1").withColumn("splits", F.array_sort(F.array_distinct(F.transform("members", lambda m: m["split"]))))
-    return grouped.withColumn("signature", F.array_join("splits", "+"))
+    grouped = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(key).alias("first"), F.array_sort(F.collect_set(split)).alias("splits"))
+    return grouped.where("n > 1").withColumn("signature", F.array_join("splits", "+"))
+
+
+def group_members(items: DataFrame, groups: DataFrame, key: str, content: str, split: str = "split") -> DataFrame:
+    """``digest, key, split`` of every member of the groups."""
+    rows = items.select(F.sha2(content, 256).alias("digest"), key, split)
+    return rows.join(groups.select("digest"), "digest", "left_semi")
 
 
 def numbered(groups: DataFrame) -> DataFrame:
@@ -30,7 +36,7 @@ def numbered(groups: DataFrame) -> DataFrame:
 
     The order is global: Spark sorts by range and then counts on within it.
     """
-    return with_rank(groups, [F.desc("n"), F.col("members")[0]["key"]], "group_id")
+    return with_rank(groups, [F.desc("n"), F.col("first")], "group_id")
 
 
 def with_rank(df: DataFrame, order: list, name: str) -> DataFrame:
@@ -50,6 +56,23 @@ def with_rank(df: DataFrame, order: list, name: str) -> DataFrame:
     return placed.withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).drop("_part", "_before")
 
 
+def rank_within(df: DataFrame, by: list[str], order: list, name: str, size: str | None = None) -> DataFrame:
+    """A gapless number from 1 within each group, and the group's size if asked for.
+
+    The groups are ranked in one global order, so that a group with most of the
+    rows is spread over tasks as any other rows are.
+    """
+    ranked = with_rank(df, [*map(F.col, by), *order], "_g")
+    groups = ranked.groupBy(*(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by))).agg(F.min("_g").alias("_first"), F.count("*").alias("_size"))
+    match = F.lit(True)
+    for i, c in enumerate(by):
+        match = match & ranked[c].eqNullSafe(groups[f"_by_{i}"])
+    out = ranked.join(groups, match).withColumn(name, F.col("_g") - F.col("_first") + 1)
+    if size:
+        out = out.withColumn(size, F.col("_size"))
+    return out.drop("_g", "_first", "_size", *(f"_by_{i}" for i in range(len(by))))
+
+
 def leakage_flags(groups: DataFrame, splits: str = "splits") -> DataFrame:
     """Which pairs of splits a group joins."""
     has = lambda *s: F.array_contains(splits, s[0]) & F.array_contains(splits, s[1])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import ratio
+from .dedup import rank_within, with_rank
 from .matching import match_detections
 
 
@@ -70,8 +71,26 @@ def gate(checks: dict) -> list:
 
 def latency(rows: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """Mean, median, p95, p99, smallest and largest; percentiles are exact and interpolated."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.min(value).alias("min"), F.max(value).alias("max"))
+    plain = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    exact = percentiles(rows, value, by, {"median": 0.5, "p95": 0.95, "p99": 0.99})
+    both = plain.join(exact, by) if by else plain.crossJoin(F.broadcast(exact))  # one row without groups
+    return both.select(*by, "n", "mean", "median", "p95", "p99", "min", "max")
+
+
+def percentiles(rows: DataFrame, value: str, by: list[str], wanted: dict[str, float]) -> DataFrame:
+    """Exact, interpolated percentiles per group by rank: only the values beside each percentile are gathered."""
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value))
+    if by:
+        ranked = rank_within(known, list(by), [F.col(value)], "_i", size="_n")
+    else:
+        ranked = with_rank(known, [F.col(value)], "_i").withColumn("_n", F.lit(known.count()))
+    at = {name: (F.col("_n") - 1) * F.lit(q) for name, q in wanted.items()}
+    place = F.col("_i") - 1
+    near = F.lit(False)
+    for x in at.values():
+        near = near | (place == F.floor(x)) | (place == F.ceil(x))
+    cut = {name: F.max(F.when(place == F.floor(x), F.col(value))) + (F.max(F.when(place == F.ceil(x), F.col(value))) - F.max(F.when(place == F.floor(x), F.col(value)))) * F.max(x - F.floor(x)) for name, x in at.items()}
+    return ranked.where(near).groupBy(*by).agg(*(c.alias(n) for n, c in cut.items()))
 
 
 def ranked(rows: DataFrame, value: str, name: str = "rank") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import stable_rank
+from .dedup import rank_within, with_rank
 
 
 def top_k(rows: DataFrame, by: list[str], order: list, k) -> DataFrame:
@@ -46,7 +49,7 @@ def hamilton_split(rows: DataFrame, strata: list[str], share: float, key: str, s
     sizes = rows.groupBy(*strata).agg(F.count("*").alias("n"))
     total = F.bround(F.col("_all") * share)
     targets = hamilton_targets(sizes, total, strata).drop("n")
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy(stable_rank(key, salt=salt), key)))
+    ranked = rank_within(rows, strata, [stable_rank(key, salt=salt), F.col(key)], "_rank")
     return ranked.join(F.broadcast(targets), strata).withColumn("held_out", F.col("_rank") <= F.col("target")).drop("_rank", "target")
 
 
@@ -55,8 +58,7 @@ def evenly_spaced(rows: DataFrame, by: str, order: list, count: int, truncate: b
 
     Steps are rounded half to even, or cut down with ``truncate``.
     """
-    w = Window.partitionBy(by)
-    rows = rows.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
+    rows = rank_within(rows, [by], order, "_i", size="_n").withColumn("_i", F.col("_i") - 1)
     if count == 1:
         return rows.where(F.col("_i") == F.floor(F.col("_n") / 2)).drop("_i", "_n")
     step = (F.col("_n") - 1) / F.lit(float(count - 1))
@@ -87,7 +89,8 @@ def top_up(rows: DataFrame, chosen: DataFrame, by: str, digest: str, order: list
     free = rows.join(chosen.select(digest), digest, "left_anti")
     first = free.withColumn("_d", F.row_number().over(Window.partitionBy(digest).orderBy(by_order, *order))).where("_d = 1").drop("_d")
     turn = first.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return turn.orderBy("_k", by_order).limit(needed).drop("_k")
+    # no group can give more than all that is needed
+    return turn.where(F.col("_k") <= needed).orderBy("_k", by_order).limit(needed).drop("_k")
 
 
 def replay(rows: DataFrame, strata: list[tuple[str, Column, int | None, int]], order: list) -> DataFrame:
@@ -99,15 +102,15 @@ def replay(rows: DataFrame, strata: list[tuple[str, Column, int | None, int]], o
     for n, when, k, r in strata:
         name, most, times = name.when(when, n), most.when(when, F.lit(k if k is not None else 2**62)), times.when(when, r)
     rows = rows.withColumns({"stratum": name.otherwise(None), "_most": most.otherwise(0), "_times": times.otherwise(0)}).where("stratum is not null")
-    kept = rows.withColumn("_r", F.row_number().over(Window.partitionBy("stratum").orderBy(*order))).where("_r <= _most")
+    kept = rank_within(rows, ["stratum"], order, "_r").where("_r <= _most")
     return kept.withColumn("repeat", F.explode(F.sequence(F.lit(1), "_times"))).drop("_r", "_most", "_times")
 
 
 def group_hold_out(rows: DataFrame, group: str, share: float | None = None, count: int | None = None, salt: str = "42:") -> DataFrame:
     """``rows`` with ``held_out`` for whole groups: the first by hash."""
     groups = rows.select(group).distinct()
-    ranked = groups.withColumns({"_r": F.row_number().over(Window.orderBy(stable_rank(group, salt=salt), group)), "_n": F.count("*").over(Window.partitionBy())})
-    most = F.lit(count) if count is not None else F.floor(F.col("_n") * share)
+    most = count if count is not None else math.floor(groups.count() * share)
+    ranked = with_rank(groups, [stable_rank(group, salt=salt), F.col(group)], "_r")
     return rows.join(ranked.select(group, (F.col("_r") <= most).alias("held_out")), group)
 
 
@@ -117,4 +120,4 @@ def hash_sample(rows: DataFrame, by: list[str], k: int, key: str, salt: str) ->
 
 
 def running_index(rows: DataFrame, by: str, order: list, name: str = "index") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
+    return rank_within(rows, [by], order, name).withColumn(name, F.col(name) - 1)

@@ -24,7 +24,7 @@ _GROUPS = f"""{SQL_DOCS}, g as (select sha256(text) as digest, count(*) as n, mi
 @query("exact_dup_groups", f"with {_GROUPS} select row_number() over (order by n desc, first_id) as group_id, n, first_id, signature from g")
 def exact_dup_groups(spark, sf_dir):
     groups = dedup.hash_groups(docs(spark, sf_dir, "doc_id", "text", "split"), "doc_id", "text")
-    return dedup.numbered(groups).select("group_id", "n", F.col("members")[0]["key"].alias("first_id"), "signature")
+    return dedup.numbered(groups).select("group_id", "n", F.col("first").alias("first_id"), "signature")
 
 
 @query("group_size_distribution", f"with {_GROUPS} select n, count(*) as n_groups from g group by n")
