@@ -12,12 +12,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = f"siftline-{uuid.uuid4().hex[:12]}"
 _own: dict[str, str] = {}
+_cleared: set[str] = set()
 #: Tables written inside each open ``scratch`` block, innermost last.
 _open: list[list[DataFrame]] = []
 
@@ -38,7 +39,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str = "table") -> str:
-    return f"{shared_folder(spark)}/{_FOLDER}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{_FOLDER}"
+    if folder not in _cleared:
+        _cleared.add(folder)
+        atexit.register(_clear, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _clear(spark: SparkSession, folder: str) -> None:
+    """At the driver's end, when no DataFrame can read the tables any more."""
+    with suppress(Exception):  # the session may have ended before
+        remove(spark, folder)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
