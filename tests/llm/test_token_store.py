@@ -36,6 +36,21 @@ def test_round_trip(spark):
     assert found[0].ids == Tokenizer.from_file(PATH).encode("Some text", add_special_tokens=False).ids + [2]
 
 
+def test_files_have_indexes_and_bloom_filters(spark):
+    path = ts.new_path(spark, "t")
+    df = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    ts.write_tokens(df, path, PATH, partitions=2, index_rows=1000)
+    file = ts.read_tokens(spark, path).inputFiles()[0]
+    orc, conf = spark._jvm.org.apache.orc.OrcFile, spark.sparkContext._jsc.hadoopConfiguration()
+    reader = orc.createReader(spark._jvm.org.apache.hadoop.fs.Path(file), orc.readerOptions(conf))
+    footer = reader.rows().readStripeFooter(reader.getStripes().get(0))
+    kinds = {s.getKind().toString() for s in footer.getStreamsList() if s.getColumn() == 1}
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds and reader.getRowIndexStride() == 1000
+    assert footer.getColumnsList()[3].getKind().toString() == "DIRECT_V2"
+    plan = ts.read_tokens(spark, path).where("doc_id = 77")._jdf.queryExecution().toString()
+    assert "EqualTo(doc_id,77)" in plan
+
+
 def test_empty_table(spark):
     path = ts.new_path(spark, "t")
     ts.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
