@@ -198,7 +198,13 @@ def fit(examples: DataFrame, text_col: str = "text", label_col: str = "toxic", n
                 found = terms_of(t.as_py())
                 terms += found
                 ys += [y] * len(found)
-            yield pa.record_batch([pa.array(terms, pa.binary()), pa.array(ys, pa.int32())], names=["term", "y"])
+                if len(terms) > 100_000:
+                    yield pairs(terms, ys)
+                    ys, terms = [], []
+            yield pairs(terms, ys)
+
+    def pairs(terms, ys):
+        return pa.record_batch([pa.array(terms, pa.binary()), pa.array(ys, pa.int32())], names=["term", "y"])
 
     seen = kept.select("text", "y").mapInArrow(explode, "term binary, y int")
     df1 = F.sum("y")
