@@ -179,7 +179,7 @@ def _passes(docs: DataFrame, text_col: str, benchmark: DataFrame, item_id: str,
     """Stream ``docs`` through one automaton after another.
 
     Each pass but the last adds the marks so far and writes the table, so a task
-    never holds more than one automaton; ``finish(batch, texts, words, spans,
+    never holds more than one automaton; ``finish(batch, texts, n_words, spans,
     items)`` makes the result's batch of the last.
     """
     spark, names = docs.sparkSession, docs.columns
@@ -197,11 +197,12 @@ def _passes(docs: DataFrame, text_col: str, benchmark: DataFrame, item_id: str,
             automaton = shipped.value
             for b in batches:
                 before = b.column(len(names)).to_pylist() if b.num_columns > len(names) else repeat(None)
-                texts, words, spans, items = [], [], [], []
+                texts, n_words, spans, items = [], [], [], []
                 for t, old in zip(b.column(at), before, strict=False):
                     texts.append(t.as_py())
-                    words.append(words_of(texts[-1]))
-                    hit, found = automaton.scan(words[-1])
+                    words = words_of(texts[-1])
+                    n_words.append(len(words))
+                    hit, found = automaton.scan(words)
                     if old:
                         hit = _merged(hit + [(x["start"], x["end"]) for x in old["spans"]])
                         found |= set(old["items"])
@@ -209,7 +210,7 @@ def _passes(docs: DataFrame, text_col: str, benchmark: DataFrame, item_id: str,
                     items.append(sorted(x for x in found if x is not None))
                 b = b.select(range(len(names)))
                 if last:
-                    yield finish(b, texts, words, spans, items)
+                    yield finish(b, texts, n_words, spans, items)
                 else:
                     marks = pa.StructArray.from_arrays([pa.array([_structs(x) for x in spans], _SPANS), pa.array(items, pa.list_(pa.string()))], ["spans", "items"])
                     yield pa.record_batch([*b.columns, marks], names=[*names, carried])
@@ -229,9 +230,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     """``doc_id, n_words, n_hit, spans, items``: hit word spans and item ids (strings, sorted) of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def finish(b, texts, words, spans, items):
+    def finish(b, texts, n_words, spans, items):
         n_hit = [sum(e - s for s, e in x) for x in spans]
-        columns = [b.column(0), pa.array(map(len, words), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([_structs(x) for x in spans], _SPANS), pa.array(items, pa.list_(pa.string()))]
+        columns = [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([_structs(x) for x in spans], _SPANS), pa.array(items, pa.list_(pa.string()))]
         return pa.record_batch(columns, names=["doc_id", "n_words", "n_hit", "spans", "items"])
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, spans {_SPANS_SQL}, items array<string>"
@@ -251,9 +252,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, share:
     """
     at = docs.columns.index(text_col)
 
-    def finish(b, texts, words, spans, items):
+    def finish(b, texts, n_words, spans, items):
         n = [sum(e - s for s, e in x) for x in spans]
-        keep = [not h or share * h < len(w) for h, w in zip(n, words, strict=True)]
+        keep = [not h or share * h < w for h, w in zip(n, n_words, strict=True)]
         left = [cut_spans(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
         columns = list(b.columns)
         columns[at] = pa.array(left, b.schema.field(at).type)
