@@ -10,6 +10,10 @@ from .dedup import rank_within, with_rank
 from .matching import match_detections
 
 
+#: Values that an exact percentile may hold in one task.
+GATHERED = 1_000_000
+
+
 def size_aware(matches: DataFrame, gts: DataFrame, preds: DataFrame, thresholds: list[float], by: list[str] = ("cls", "size")) -> DataFrame:
     """Per threshold, class and size: truths found and missed, predictions right and wrong.
 
@@ -73,13 +77,22 @@ def latency(rows: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """Mean, median, p95, p99, smallest and largest; percentiles are exact and interpolated."""
     plain = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
     exact = percentiles(rows, value, by, {"median": 0.5, "p95": 0.95, "p99": 0.99})
-    both = plain.join(exact, by) if by else plain.crossJoin(F.broadcast(exact))  # one row without groups
-    return both.select(*by, "n", "mean", "median", "p95", "p99", "min", "max")
+    match = F.lit(True)
+    for c in by:
+        match = match & plain[c].eqNullSafe(exact[c])
+    both = plain.join(exact, match) if by else plain.crossJoin(F.broadcast(exact))  # one row without groups
+    return both.select(*(plain[c] for c in by), "n", "mean", "median", "p95", "p99", "min", "max")
 
 
 def percentiles(rows: DataFrame, value: str, by: list[str], wanted: dict[str, float]) -> DataFrame:
-    """Exact, interpolated percentiles per group by rank: only the values beside each percentile are gathered."""
+    """Exact, interpolated percentiles per group.
+
+    Up to ``GATHERED`` values, which is checked, an aggregate gathers them; beyond,
+    the values are ranked and only those beside each percentile are looked at.
+    """
     known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value))
+    if known.limit(GATHERED + 1).count() <= GATHERED:
+        return known.groupBy(*by).agg(*(F.percentile(value, F.lit(q)).alias(name) for name, q in wanted.items()))
     if by:
         ranked = rank_within(known, list(by), [F.col(value)], "_i", size="_n")
     else:

@@ -178,6 +178,18 @@ def test_label_comparison_and_decisions(spark):
     assert ok.holds and not bad.holds and (bad.n_lost, bad.n_overlap) == (1, 1)
 
 
+def test_percentiles_by_rank_are_those_of_the_aggregate(spark, monkeypatch):
+    from siftline.operators import evaluate
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.random() * 100])) for _ in range(300)] + [("one", 5.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    read = lambda by: sorted(((*(r[c] or "" for c in by), *(round(r[c], 9) for c in ("n", "mean", "median", "p95", "p99", "min", "max"))) for r in evaluate.latency(df, "v", by).collect()))
+    plain = read(["k"]), read([])
+    monkeypatch.setattr(evaluate, "GATHERED", 0)
+    assert (read(["k"]), read([])) == plain and len(plain[0]) == 4
+
+
 def test_geometry(spark):
     df = spark.createDataFrame([(0.1, 0.5, 0.4, 0.2)], "xc double, yc double, w double, h double").withColumn("b", g.corners("xc", "yc", "w", "h"))
     r = df.select(g.overflow("b").alias("o"), g.centre(g.clipped("b")).alias("c"), g.iou("b", "b").alias("i"), g.size_bucket(F.lit(0.005)).alias("z"), g.aspect_difference(F.lit(2.0), F.lit(1.0)).alias("a"), s.relation(F.lit("test"), F.lit("train")).alias("r"), s.component_type(F.array(F.lit("val"), F.lit("train"))).alias("t")).first()
