@@ -11,11 +11,12 @@ its neighbours, both those it lists and those that list it, are compared, and a
 node keeps its best ``k``.
 
 A node all of whose k neighbours reach the threshold is saturated: its list may
-be too short.  Its component's lists are enlarged to the whole component, exactly:
-the members are compared in blocks (of ``block`` rows, or of a 64th of the
-component), every pair of blocks a group of its own, and only counts leave it.  An audit then counts the links of a sample of nodes by
-brute force; while the graph has found less than ``recall`` of them, another round
-of tables and refinement is added.
+be too short, and links to other components may be missing from it.  So the members of all
+components with a saturated node are compared with each other, exactly and in blocks (pieces of components
+too far apart for a link, by their centres and radii, are passed over); links between two
+components join them.  An audit then counts the links of a sample of nodes by
+brute force; while less than ``recall`` of them is found, another round
+of tables and refinement is added, and after the last round all nodes are compared with all.
 
 Cosines are computed in double precision from the vectors as given; a link has
 cosine >= threshold.
@@ -42,6 +43,8 @@ from ..plans.storage import scratch, stored
 THRESHOLD = 0.95
 _SPAN = 32
 _AUDIT = 512
+#: Blocks of an exact comparison at least, and nodes that a block holds at most on average.
+_DEAL, _DEALT = 16, 16384
 
 
 def _matrix(vectors: pa.ListArray, dim: int) -> np.ndarray:
@@ -161,32 +164,74 @@ def _refine(nodes: DataFrame, graph: DataFrame, dim: int, k: int) -> DataFrame:
     return joined.mapInArrow(compare, "c long, w long, sim double")
 
 
-def _enlarged(nodes: DataFrame, members: DataFrame, dim: int, threshold: float, block: int) -> DataFrame:
-    """``c, n_linked``: for the members of saturated components, their links within it, counted in blocks."""
+def _pieces(x: np.ndarray, component: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the pieces of sorted rows start and end, their centres, and the largest angle to a centre."""
+    first = np.flatnonzero(np.r_[True, (component[1:] != component[:-1]) | (piece[1:] != piece[:-1])])
+    ends = np.r_[first, len(x)]
+    centre = np.add.reduceat(x, first)
+    length = np.sqrt((centre * centre).sum(1))
+    centre = centre / np.maximum(length, 1e-300)[:, None]
+    angle = np.arccos(np.clip((x * np.repeat(centre, np.diff(ends), axis=0)).sum(1), -1, 1))
+    return ends, centre, np.where(length > 1e-9, np.maximum.reduceat(angle, first), math.pi)
+
+
+def _exact(nodes: DataFrame, members: DataFrame, dim: int, threshold: float, block: int) -> DataFrame:
+    """All links among ``members`` (``c, component``): rows ``c, n_linked``, and rows ``component, other`` for links between two components.
+
+    Components are cut into pieces of about ``block`` nodes; pieces are dealt to blocks, and each pair of blocks is compared.
+    Pieces are passed over only where their centres and radii leave no room for a link.
+    """
     sizes = members.groupBy("component").agg(F.count("*").alias("m"))
     m = stored(members.join(sizes, "component").join(nodes, "c"), "members")
-    # at most 64 blocks a component, so a row is copied a bounded number of times
-    blocks = F.least(F.lit(64), F.ceil(F.col("m") / block)).cast("int")
-    m = m.select("c", "component", "v", "n", blocks.alias("b"), F.pmod(F.xxhash64("c"), blocks).cast("int").alias("own"))
-    every = F.explode(F.expr("sequence(0, b - 1)"))
-    left = m.select("component", F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("left"), "c", "v", "n")
-    right = m.select("component", every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), "c", "v", "n")
-
-    def count(table: pa.Table) -> pa.Table:
+    blocks = max(_DEAL, math.ceil(m.count() / _DEALT))
+    piece = F.pmod(F.xxhash64("c"), F.ceil(F.col("m") / block))
+    m = m.select("c", "component", "v", "n", piece.alias("piece")).withColumn("own", F.pmod(F.xxhash64("component", "piece"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = m.select(F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("left"), "c", "component", "piece", "v", "n")
+    right = m.select(every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), "c", "component", "piece", "v", "n")
+    reach = math.acos(min(1.0, max(-1.0, threshold))) + 1e-6
+
+    def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        is_left = table["left"].to_numpy()
-        x = _matrix(table["v"].combine_chunks(), dim)
-        ids, n = table["c"].to_numpy(), table["n"].to_numpy()
-        mine, others = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        total = np.zeros(len(mine), np.int64)
-        for at in range(0, len(mine), 256):
-            part = mine[at : at + 256]
-            near = (x[part] @ x[others].T >= threshold) & (ids[part][:, None] != ids[others][None, :])
-            total[at : at + 256] = near @ n[others]
-        return pa.table({"c": ids[mine], "n_linked": total})
-
-    counted = left.unionByName(right).groupBy("component", "i", "j").applyInArrow(count, "c long, n_linked long")
-    return counted.groupBy("c").agg(F.sum("n_linked").alias("n_linked"))
+        ids, n, component, piece = (table[x].to_numpy() for x in ("c", "n", "component", "piece"))
+        order = np.lexsort((piece, component))
+        is_left = table["left"].to_numpy()[order]
+        mine, others = order[is_left], order[~is_left]
+        total, joins = np.zeros(len(mine), np.int64), set()
+        if len(mine) and len(others):
+            unit = _matrix(table["v"].combine_chunks(), dim)
+            x, y = unit[mine], unit[others]
+            cuts, centre, radius = _pieces(x, component[mine], piece[mine])
+            other_cuts, other_centre, other_radius = _pieces(y, component[others], piece[others])
+            widths = np.diff(other_cuts)
+            for p, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                apart = np.arccos(np.clip(other_centre @ centre[p], -1, 1))
+                to = np.flatnonzero(np.repeat(apart <= radius[p] + other_radius + reach, widths))
+                if not len(to):
+                    continue
+                for at in range(s, e, 256):
+                    rows = slice(at, min(e, at + 256))
+                    near = (x[rows] @ y[to].T >= threshold) & (ids[mine[rows]][:, None] != ids[others[to]][None, :])
+                    total[rows] = near @ n[others[to]]
+                    here = component[mine[s]]
+                    joins.update((here, c) for c in np.unique(component[others[to[near.any(0)]]]).tolist() if c < here)
+        pairs = np.array(sorted(joins), np.int64).reshape(-1, 2)
+        none = lambda k: pa.nulls(k, pa.int64())
+        columns = ([pa.array(ids[mine]), none(len(pairs))], [pa.array(total), none(len(pairs))], [none(len(mine)), pa.array(pairs[:, 0])], [none(len(mine)), pa.array(pairs[:, 1])])
+        return pa.table([pa.chunked_array(c) for c in columns], names=["c", "n_linked", "component", "other"])
+
+    return stored(left.unionByName(right).groupBy("i", "j").applyInArrow(compare, "c long, n_linked long, component long, other long"), "compared")
+
+
+def _joined(label: DataFrame, compared: DataFrame) -> DataFrame:
+    """``c, component`` with the components joined that links between them tie together."""
+    joins = compared.where("component is not null").select("component", "other").distinct()
+    names = connected_components(joins, "component", "other").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return stored(label.join(names, "component", "left").select("c", F.coalesce("whole", "component").alias("component")), "labels")
+
+
+def _counted(compared: DataFrame) -> DataFrame:
+    return compared.where("c is not null").groupBy("c").agg(F.sum("n_linked").alias("n_linked"))
 
 
 def _audit(nodes: DataFrame, linked: DataFrame, dim: int, threshold: float, seed: int) -> float:
@@ -231,14 +276,17 @@ def _links_of(nodes: DataFrame, dim: int, threshold: float, k: int, recall: floa
         full = linked.groupBy("c").count().where(F.col("count") >= k).select("c")
         dense = stored(label.join(full, "c", "left_semi").select("component").distinct(), "dense")
         members = stored(label.join(dense, "component", "left_semi").select("c", "component"), "members")
-        exact = _enlarged(nodes, members, dim, threshold, block)
+        compared = _exact(nodes, members, dim, threshold, block)
         sizes = nodes.select(F.col("c").alias("w"), "n")
         loose = both.join(members, "c", "left_anti").join(sizes, "w").groupBy("c").agg(F.sum("n").alias("n_linked"))
-        counts = stored(loose.unionByName(exact), "counts")
+        counts = stored(loose.unionByName(_counted(compared)), "counts")
         reached = _audit(nodes, counts, dim, threshold, seed=5 + turn)
         if reached >= recall:
-            break
-    return counts, label, reached
+            return counts, _joined(label.select("c", "component"), compared), reached
+    # lists that stay under the recall: every node against every other
+    alone = nodes.select("c").join(label.select("c", "component"), "c", "left").select("c", F.coalesce("component", "c").alias("component"))
+    compared = _exact(nodes, stored(alone, "members"), dim, threshold, block)
+    return _counted(compared), _joined(alone, compared), 1.0
 
 
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, k: int = 8, recall: float = 0.98, rounds: int = 3, block: int = 128) -> DataFrame:

@@ -61,3 +61,24 @@ def test_recall_on_the_table(spark):
 
 def test_empty(spark):
     assert em.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_close_groups_larger_than_a_list_are_joined(spark):
+    rng = np.random.default_rng(8)
+    rows, c = [], 0.97
+    for pair in range(3):
+        one, two = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        for centre in (one, c * one + math.sqrt(1 - c * c) * two):
+            rows += [(len(rows) + j, [float(x) for x in centre + 0.0005 * rng.standard_normal(64)]) for j in range(20)]
+    want = brute(rows)
+    assert {w[1] for w in want} == {39} and len({w[2] for w in want}) == 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert result(em.embedding_links(df, block=8)) == want
+
+
+def test_lists_under_the_recall_give_way_to_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.repeat(rng.standard_normal((40, 8)), 5, axis=0) + 0.1 * rng.standard_normal((200, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    # a recall that no audit can reach
+    assert result(em.embedding_links(df, recall=1.1, rounds=1, block=16)) == brute(rows)
