@@ -1,23 +1,23 @@
 """Toxicity by nearest labelled examples.
 
-Labelled rows are examples.  Their terms (words, and the first bytes of longer
-words, which carry over to forms not seen) are tested against the label; those
-that tell classes apart span a TF-IDF space.  A document's score comes from its k
+Labelled rows are examples.  A text's vector has three parts: its length, the TF-IDF vector of all its words, scaled
+to the same weight, and extra weight on terms (words, and the first bytes of longer
+words, which carry over to forms not seen) that tell classes apart when tested against
+the label.  A document's score comes from its k
 nearest examples by exact cosine in that space: votes are weighted by similarity,
 a prior stands for what no example says, and a logistic curve calibrates the vote;
 it is fitted on the votes that the other examples cast on each example.  The nearest examples are returned as
 evidence.
 
-Search uses an inverted index with block maxima: examples are cut into blocks, a
-term's postings know their largest weight in each block, so a query bounds every
-block's best score, scores the most promising blocks first and then only those
-that can still enter the k best.  The result is exact.
+Search uses an inverted index of all words of the examples; every posting of the query's
+terms is added up, so the result is exact.
 
 The index is fitted on at most ``max_examples`` labelled rows in expectation (a
-documented bound; the hash of the id decides, at equal rates within a class) and
-``max_terms`` terms.  Every document is scored whole, one pass, no shuffle.
+documented bound; the hash of the id decides, at equal rates within a class), with all their
+words; at most ``max_terms`` tested terms get extra weight.  Words that no example has count in a document's length
+only.  Every document is scored whole, one pass, no shuffle.
 
-Edge cases: a null or empty text, or one without known terms, gets the prior's
+Edge cases: a null or empty text, or one without a word of any example, gets the prior's
 calibrated score; null labels are no examples; without examples of both classes
 the score is the share of label 1 (0 without labels); repeated rows and ids are
 scored row by row; an empty table gives an empty result; equal similarities are
@@ -41,7 +41,6 @@ from .columns import free_name, make_room
 from .decontaminate import words_of
 
 PREFIXES = (4, 5, 6, 7)
-BLOCK = 64
 THRESHOLD = 0.7
 RESULT = "score double, predicted int, evidence array<struct<example:string,similarity:double,label:int>>"
 
@@ -54,95 +53,97 @@ def terms_of(text: str | None) -> Counter:
     return out
 
 
-class BlockMaxIndex:
+class TermIndex:
     """Exact top-k by inner product over sparse unit vectors."""
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        by_term: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                by_term[t].append((i, w))
-        self.where = [np.array([i for i, _ in p], np.int32) for p in by_term]
-        self.weight = [np.array([w for _, w in p], np.float64) for p in by_term]
-        edges = np.arange(self.blocks + 1) * BLOCK
-        self.cuts = [np.searchsorted(p, edges) for p in self.where]
-        self.best = np.zeros((n_terms, self.blocks))
-        for t, (cut, w) in enumerate(zip(self.cuts, self.weight, strict=True)):
-            for b in np.flatnonzero(np.diff(cut)):
-                self.best[t, b] = w[cut[b] : cut[b + 1]].max()
-
-    def _scores(self, terms: list[int], query: dict[int, float], lo: int, hi: int) -> np.ndarray:
-        """Products with all vectors of blocks lo to hi."""
-        scores = np.zeros(min(hi * BLOCK, self.n) - lo * BLOCK)
-        for t in terms:
-            s, e = self.cuts[t][lo], self.cuts[t][hi]
-            if e > s:
-                scores[self.where[t][s:e] - lo * BLOCK] += query[t] * self.weight[t][s:e]
-        return scores
+        sizes = np.array([len(v) for v in vectors], np.int64)
+        terms = np.fromiter((t for v in vectors for t in v), np.int32)
+        weights = np.fromiter((w for v in vectors for w in v.values()), np.float64)
+        self._fill(sizes, terms, weights, n_terms)
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> "TermIndex":
+        """From the vectors' entries one after another."""
+        index = cls.__new__(cls)
+        index._fill(sizes, terms, weights, n_terms)
+        return index
+
+    def _fill(self, sizes, terms, weights, n_terms) -> None:
+        self.n = len(sizes)
+        order = np.argsort(terms, kind="stable")
+        self.where = np.repeat(np.arange(self.n), sizes)[order]
+        self.weight = weights[order]
+        self.starts = np.r_[0, np.cumsum(np.bincount(terms, minlength=n_terms))]
 
     def top(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k largest positive products as (product, vector), best first, ties by vector.
-
-        Neighbouring blocks hold like vectors, so the blocks whose bound reaches
-        the k-th product near the best block make one short range.
-        """
+        """The k largest positive products as (product, vector), best first, ties by vector."""
         if not query or not self.n:
             return []
-        terms = list(query)
-        bound = np.array([query[t] for t in terms]) @ self.best[terms]
-        first = max(0, int(bound.argmax()) - 1)
-        lo, hi = first, min(self.blocks, first + 3)
-        scores = self._scores(terms, query, lo, hi)
-        least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        # bounds are sums in another order than the products: allow for the last bits
-        alive = np.flatnonzero((bound > 0) & (bound * (1 + 1e-12) >= least))
-        if not len(alive):
-            return []
-        if alive[0] < lo or alive[-1] >= hi:
-            lo, hi = int(alive[0]), int(alive[-1]) + 1
-            scores = self._scores(terms, query, lo, hi)
-        if len(scores) > k:
+        s, e = self.starts[[*query]].tolist(), self.starts[[t + 1 for t in query]].tolist()
+        spans = [slice(*x) for x in zip(s, e, strict=True)]
+        weights = np.repeat(np.fromiter(query.values(), np.float64, len(query)), [x.stop - x.start for x in spans])
+        weights *= np.concatenate([self.weight[x] for x in spans])
+        scores = np.bincount(np.concatenate([self.where[x] for x in spans]), weights, self.n)
+        if self.n > k:
             near = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
         else:
-            near = np.arange(len(scores))
+            near = np.arange(self.n)
         near = near[scores[near] > 0]
         near = near[np.argsort(-scores[near], kind="stable")][:k]
-        return [(float(scores[i]), lo * BLOCK + int(i)) for i in near]
+        return [(float(scores[i]), int(i)) for i in near]
+
+
+BlockMaxIndex = TermIndex  # its name before
 
 
 class Model:
-    def __init__(self, vocab: dict[bytes, int], idf: np.ndarray, vectors, labels, names, prior: float, k: int, prior_weight: float, rest: float):
+    def __init__(self, vocab: dict[bytes, int], idf: np.ndarray, known: dict[bytes, int], known_idf: np.ndarray, unseen_idf: float, prior: float, k: int, prior_weight: float, rest: float):
         self.vocab, self.idf, self.k, self.prior, self.prior_weight = vocab, idf, k, prior, prior_weight
         self.words = {t for t in vocab if t[:1] != b"^"}
         self.heads = [(n, {t[1:]: i for t, i in vocab.items() if t[:1] == b"^" and len(t) == n + 1}) for n in PREFIXES]
-        self.labels, self.names = labels, names
-        #: The last dimension stands for all words, so that a few known terms in a long text weigh little.
+        #: All words of the examples: their dimensions follow those of the tested terms.
+        self.known, self.known_idf, self.unseen_idf = known, known_idf, unseen_idf
+        #: Weight of the length and of all words together, so that a few tested terms in a long text weigh little.
         self.rest = rest
-        self.index = BlockMaxIndex(vectors, len(vocab) + 1)
-        self.only_rest = None
+        self.marks = {w: m for w in known if (m := self.tested(w))}
+        self.n_terms = len(vocab) + len(known) + 1  # the last one is the length
+        self.labels, self.names, self.index = [], [], TermIndex([], self.n_terms)
         self.slope, self.offset = 1.0, 0.0
         self.calibrated = False
 
+    def teach(self, index: TermIndex, labels: list, names: list) -> None:
+        self.index, self.labels, self.names = index, labels, names
+
+    def tested(self, word: bytes) -> list[int]:
+        """The tested terms that a word holds."""
+        own = [self.vocab[word]] if word in self.words else []
+        return own + [head[p] for n, head in self.heads if len(word) > n and (p := word[:n]) in head]
+
     def vector(self, text: str | None) -> dict[int, float]:
         words = words_of(text)
-        count = Counter(self.vocab[w] for w in words if w in self.words)
-        for n, head in self.heads:
-            if head:
-                count.update(head[p] for w in words if (p := w[:n]) in head and len(w) > n)
-        out = {t: (1 + math.log(c)) * self.idf[t] for t, c in count.items()}
-        if words:
-            out[len(self.vocab)] = self.rest * (1 + math.log(len(words)))
-        return unit(out)
+        if not words:
+            return {}
+        out, whole, square, first = Counter(), {}, 0.0, len(self.vocab)
+        for w, c in Counter(words).items():
+            i = self.known.get(w)
+            x = self.unseen_idf if i is None else self.known_idf[i]
+            if c > 1:
+                x *= 1 + math.log(c)
+            square += x * x
+            if i is not None:
+                whole[first + i] = x
+            for t in self.tested(w) if i is None else self.marks.get(w, ()):
+                out[t] += c
+        out = {t: (1 + math.log(c)) * self.idf[t] for t, c in out.items()}
+        length = self.rest * (1 + math.log(len(words)))
+        norm = math.sqrt(sum(x * x for x in out.values()) + 2 * length * length)
+        out[self.n_terms - 1] = length
+        scale = length / math.sqrt(square) / norm
+        return {t: x / norm for t, x in out.items()} | {t: x * scale for t, x in whole.items()}
 
     def vote(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        query = self.vector(text)
-        if [*query] == [len(self.vocab)]:  # the most common query by far
-            if self.only_rest is None:
-                self.only_rest = self.index.top(query, self.k)
-            near = self.only_rest
-        else:
-            near = self.index.top(query, self.k)
+        near = self.index.top(self.vector(text), self.k)
         return self.tally(near), near
 
     def tally(self, near: list[tuple[float, int]]) -> float:
@@ -208,32 +209,42 @@ def fit(examples: DataFrame, text_col: str = "text", label_col: str = "toxic", n
 
     seen = kept.select("text", "y").mapInArrow(explode, "term binary, y int")
     df1 = F.sum("y")
-    stats = seen.groupBy("term").agg(F.count("*").alias("n"), df1.alias("n1")).where(F.col("n") >= min_docs)
+    every = stored(seen.groupBy("term").agg(F.count("*").alias("n"), df1.alias("n1")), "terms")
+    stats = every.where(F.col("n") >= min_docs)
     a, m = F.col("n1").cast("double"), F.col("n").cast("double")
     gap = a * (n - m - n1 + a) - (m - a) * (n1 - a)
     chi2 = n * gap * gap / F.greatest(m * (n - m) * float(n1) * float(n0), F.lit(1.0))
     chosen = stats.select("term", "n", chi2.alias("chi2")).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
     vocab = {bytes(r.term): i for i, r in enumerate(chosen)}
     idf = np.array([math.log((1 + n) / (1 + r.n)) + 1 for r in chosen])
-    blank = Model(vocab, idf, [], [], [], prior, k, prior_weight, rest)
+    words = every.where("substring(term, 1, 1) <> X'5E'").select("term", "n").orderBy("term").toArrow()
+    known = {w: i for i, w in enumerate(words["term"].to_pylist())}
+    known_idf = (np.log((1 + n) / (1 + words["n"].to_numpy())) + 1).tolist()
+    model = Model(vocab, idf.tolist(), known, known_idf, math.log(1 + n) + 1, prior, k, prior_weight, rest)
 
     def embed(batches):
         for b in batches:
-            vectors = [blank.vector(t.as_py()) for t in b.column(1)]
+            vectors = [model.vector(t.as_py()) for t in b.column(1)]
             columns = [b.column(0), b.column(2), pa.array([list(v) for v in vectors], pa.list_(pa.int32())), pa.array([list(v.values()) for v in vectors], pa.list_(pa.float64()))]
             yield pa.record_batch(columns, names=["name", "y", "terms", "weights"])
 
-    # at most max_examples rows of at most max_terms + 1 terms
-    points = kept.select("name", "text", "y").mapInArrow(embed, "name string, y int, terms array<int>, weights array<double>").collect()
-    points.sort(key=lambda r: (r.name or "", r.y, r.terms))
-    # like vectors side by side: by the weight of the length, which falls as known terms gather
-    own = sorted((r for r in points if r.terms), key=lambda r: -dict(zip(r.terms, r.weights, strict=True)).get(len(vocab), 0.0))
-    model = Model(vocab, idf, [dict(zip(r.terms, r.weights, strict=True)) for r in own], [r.y for r in own], [r.name for r in own], prior, k, prior_weight, rest)
-    votes = np.full(len(points), prior)
-    for i, r in enumerate(own):
-        near = [x for x in model.index.top(dict(zip(r.terms, r.weights, strict=True)), k + 1) if x[1] != i][:k]
+    # at most max_examples rows, with their distinct words
+    points = kept.select("name", "text", "y").mapInArrow(embed, "name string, y int, terms array<int>, weights array<double>").toArrow().combine_chunks()
+    names, labels = points["name"].to_pylist(), points["y"].to_pylist()
+    column = lambda c: points[c].combine_chunks() if n else pa.array([], pa.list_(pa.float64()))
+    ends = np.asarray(column("terms").offsets)
+    terms, weights = column("terms").flatten().to_numpy().astype(np.int32), column("weights").flatten().to_numpy()
+    spans = [slice(s - ends[0], e - ends[0]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+    order = sorted(range(len(names)), key=lambda i: (names[i] or "", labels[i], terms[spans[i]].tobytes()))
+    spans = [spans[i] for i in order]
+    chain = lambda values: np.concatenate([values[x] for x in spans] or [values])
+    labels = [labels[i] for i in order]
+    model.teach(TermIndex.of(np.array([x.stop - x.start for x in spans], np.int64), chain(terms), chain(weights), model.n_terms), labels, [names[i] for i in order])
+    votes = np.zeros(len(spans))
+    for i, x in enumerate(spans):
+        near = [p for p in model.index.top(dict(zip(terms[x].tolist(), weights[x].tolist(), strict=True)), k + 1) if p[1] != i][:k]
         votes[i] = model.tally(near)
-    model.calibrate(votes, np.array([r.y for r in own] + [r.y for r in points if not r.terms]))
+    model.calibrate(votes, np.array(labels))
     return model
 
 

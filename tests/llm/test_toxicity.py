@@ -43,3 +43,14 @@ def test_odd_rows(spark):
     none = tx.fit(ex.limit(0))
     assert all(r.score == 0 for r in tx.score(docs, none).collect())
     assert tx.score(docs.limit(0), model).count() == 0
+
+
+def test_every_word_counts(spark):
+    rare = [(1000 + i, f"slur{i} aimed at somebody{i}", 1) for i in range(5)]
+    rows = [(i, "vile foul text" if i % 4 == 0 else f"kind text {i}", int(i % 4 == 0)) for i in range(80)]
+    model = tx.fit(spark.createDataFrame(rows + rare, "doc_id long, text string, toxic int"))
+    assert not any(w in model.words for _, t, _ in rare for w in tx.words_of(t))
+    got = {r.doc_id: r.evidence for r in tx.score(spark.createDataFrame([x[:2] for x in rare] + [(2000, "a slur3 in other words")], "doc_id long, text string"), model).collect()}
+    for i, _, _ in rare:
+        assert got[i][0].example == str(i) and abs(got[i][0].similarity - 1) < 1e-9 and got[i][0].label == 1
+    assert got[2000][0].example == "1003"
