@@ -9,8 +9,8 @@ a prior stands for what no example says, and a logistic curve calibrates the vot
 it is fitted on the votes that the other examples cast on each example.  The nearest examples are returned as
 evidence.
 
-Search uses an inverted index of all words of the examples; every posting of the query's
-terms is added up, so the result is exact.
+Search uses a block-max inverted index of all words of the examples: blocks of examples whose
+bound is below the k-th best similarity are not scored, so the result is exact.
 
 The index is fitted on at most ``max_examples`` labelled rows in expectation (a
 documented bound; the hash of the id decides, at equal rates within a class), with all their
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +54,15 @@ def terms_of(text: str | None) -> Counter:
     return out
 
 
-class TermIndex:
-    """Exact top-k by inner product over sparse unit vectors."""
+class BlockMaxIndex:
+    """Exact top-k by inner product over sparse unit vectors.
+
+    Vectors are dealt to blocks of alike ones.  Frequent terms stand in a table with each block's maxima; the others have
+    posting lists, which a query adds up whole.  What these give, and the maxima of the frequent terms, bound every block;
+    blocks are scored from the best bound down, and those whose bound is below the k-th best score never are.
+    """
+
+    BLOCK, FREQUENT, SHARE = 32, 512, 0.1
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int):
         sizes = np.array([len(v) for v in vectors], np.int64)
@@ -63,7 +71,7 @@ class TermIndex:
         self._fill(sizes, terms, weights, n_terms)
 
     @classmethod
-    def of(cls, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> "TermIndex":
+    def of(cls, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> "BlockMaxIndex":
         """From the vectors' entries one after another."""
         index = cls.__new__(cls)
         index._fill(sizes, terms, weights, n_terms)
@@ -71,48 +79,87 @@ class TermIndex:
 
     def _fill(self, sizes, terms, weights, n_terms) -> None:
         self.n = len(sizes)
-        order = np.argsort(terms, kind="stable")
-        self.where = np.repeat(np.arange(self.n), sizes)[order]
-        self.weight = weights[order]
-        self.starts = np.r_[0, np.cumsum(np.bincount(terms, minlength=n_terms))]
-
-    def top(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
+        held = np.bincount(terms, minlength=n_terms)
+        often = np.argsort(-held, kind="stable")[: self.FREQUENT]
+        often = often[held[often] >= max(1, self.SHARE * self.n)]
+        #: Column of a frequent term in the table, else -1.
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        whose, column = np.repeat(np.arange(self.n), sizes), self.column[terms]
+        table = np.zeros((self.n, len(often)))
+        table[whose[column >= 0], column[column >= 0]] = weights[column >= 0]
+        order = self._alike(table)
+        self.blocks = -(-self.n // self.BLOCK)
+        #: The vector at each place of the blocks; -1 fills the last one.
+        self.vector = np.r_[order, np.full(self.blocks * self.BLOCK - self.n, -1)].astype(np.int64)
+        self.table = np.zeros((self.blocks, self.BLOCK, len(often)))
+        self.table.reshape(self.blocks * self.BLOCK, len(often))[: self.n] = table[order]
+        self.most = self.table.max(1) if self.n else np.zeros((0, len(often)))
+        place = np.empty(self.n, np.int64)
+        place[order] = np.arange(self.n)
+        rare = np.flatnonzero(column < 0)
+        rare = rare[np.argsort(terms[rare], kind="stable")]
+        self.where, self.weight = place[whose[rare]].astype(np.int32), weights[rare]
+        self.starts = np.r_[0, np.cumsum(np.bincount(terms[rare], minlength=n_terms))]
+
+    @staticmethod
+    def _alike(table: np.ndarray) -> np.ndarray:
+        """An order in which vectors with the same leading direction, and of them those of like weight there, are neighbours."""
+        if not table.size:
+            return np.arange(len(table))
+        _, _, axes = np.linalg.svd(table[:: max(1, len(table) // 1000)], full_matrices=False)
+        along = np.abs(table @ axes[:6].T)
+        return np.lexsort((along.max(1), along.argmax(1)))
+
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k largest positive products as (product, vector), best first, ties by vector."""
-        if not query or not self.n:
+        if not len(terms) or not self.n:
             return []
-        s, e = self.starts[[*query]].tolist(), self.starts[[t + 1 for t in query]].tolist()
-        spans = [slice(*x) for x in zip(s, e, strict=True)]
-        weights = np.repeat(np.fromiter(query.values(), np.float64, len(query)), [x.stop - x.start for x in spans])
-        weights *= np.concatenate([self.weight[x] for x in spans])
-        scores = np.bincount(np.concatenate([self.where[x] for x in spans]), weights, self.n)
-        if self.n > k:
-            near = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-        else:
-            near = np.arange(self.n)
-        near = near[scores[near] > 0]
-        near = near[np.argsort(-scores[near], kind="stable")][:k]
-        return [(float(scores[i]), int(i)) for i in near]
-
-
-BlockMaxIndex = TermIndex  # its name before
+        column = self.column[terms]
+        q = np.zeros(self.table.shape[2])
+        q[column[column >= 0]] = weights[column >= 0]
+        rare, w = terms[column < 0], weights[column < 0]
+        start = self.starts[rare]
+        n = self.starts[rare + 1] - start
+        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        base = np.bincount(self.where[at], np.repeat(w, n) * self.weight[at], self.blocks * self.BLOCK).reshape(self.blocks, self.BLOCK)
+        bound = base.max(1) + self.most @ q + 1e-9
+        order = np.argsort(-bound)
+        scores, found, least, done, width = np.zeros(0), np.zeros(0, np.int64), 0.0, 0, 4
+        while done < self.blocks and bound[order[done]] >= least:
+            live = order[done : done + width]
+            live = live[bound[live] >= least]
+            new = np.round((base[live].ravel() + self.table[live].reshape(len(live) * self.BLOCK, len(q)) @ q), 12)
+            near = np.flatnonzero((new > 0) & (new >= least))
+            scores = np.concatenate([scores, new[near]])
+            found = np.concatenate([found, self.vector.reshape(self.blocks, self.BLOCK)[live].ravel()[near]])
+            if len(scores) > k:
+                least = np.partition(scores, -k)[-k]
+                scores, found = scores[scores >= least], found[scores >= least]
+            done += width
+            width *= 2
+        best = np.lexsort((found, -scores))[:k]
+        return list(zip(scores[best].tolist(), found[best].tolist(), strict=True))
 
 
 class Model:
     def __init__(self, vocab: dict[bytes, int], idf: np.ndarray, known: dict[bytes, int], known_idf: np.ndarray, unseen_idf: float, prior: float, k: int, prior_weight: float, rest: float):
-        self.vocab, self.idf, self.k, self.prior, self.prior_weight = vocab, idf, k, prior, prior_weight
+        self.vocab, self.idf, self.k, self.prior, self.prior_weight = vocab, np.asarray(idf, np.float64), k, prior, prior_weight
         self.words = {t for t in vocab if t[:1] != b"^"}
         self.heads = [(n, {t[1:]: i for t, i in vocab.items() if t[:1] == b"^" and len(t) == n + 1}) for n in PREFIXES]
         #: All words of the examples: their dimensions follow those of the tested terms.
-        self.known, self.known_idf, self.unseen_idf = known, known_idf, unseen_idf
+        self.known, self.known_idf, self.unseen_idf = known, np.asarray(known_idf, np.float64), unseen_idf
         #: Weight of the length and of all words together, so that a few tested terms in a long text weigh little.
         self.rest = rest
-        self.marks = {w: m for w in known if (m := self.tested(w))}
+        self.marked = np.zeros(len(known), bool)
+        self.marks = {i: m for w, i in known.items() if (m := self.tested(w))}
+        self.marked[list(self.marks)] = True
         self.n_terms = len(vocab) + len(known) + 1  # the last one is the length
-        self.labels, self.names, self.index = [], [], TermIndex([], self.n_terms)
+        self.labels, self.names, self.index = [], [], BlockMaxIndex([], self.n_terms)
         self.slope, self.offset = 1.0, 0.0
         self.calibrated = False
 
-    def teach(self, index: TermIndex, labels: list, names: list) -> None:
+    def teach(self, index: BlockMaxIndex, labels: list, names: list) -> None:
         self.index, self.labels, self.names = index, labels, names
 
     def tested(self, word: bytes) -> list[int]:
@@ -120,30 +167,34 @@ class Model:
         own = [self.vocab[word]] if word in self.words else []
         return own + [head[p] for n, head in self.heads if len(word) > n and (p := word[:n]) in head]
 
-    def vector(self, text: str | None) -> dict[int, float]:
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a text's unit vector."""
         words = words_of(text)
         if not words:
-            return {}
-        out, whole, square, first = Counter(), {}, 0.0, len(self.vocab)
-        for w, c in Counter(words).items():
-            i = self.known.get(w)
-            x = self.unseen_idf if i is None else self.known_idf[i]
-            if c > 1:
-                x *= 1 + math.log(c)
-            square += x * x
-            if i is not None:
-                whole[first + i] = x
-            for t in self.tested(w) if i is None else self.marks.get(w, ()):
+            return np.zeros(0, np.int64), np.zeros(0)
+        ids = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        ids, n = np.unique(ids, return_counts=True)
+        unseen = Counter(w for w in words if w not in self.known) if ids[0] < 0 else {}
+        ids, n = ids[ids >= 0], n[ids >= 0]
+        whole = self.known_idf[ids] * (1 + np.log(n))
+        out: Counter = Counter()
+        for i, c in zip(ids[self.marked[ids]].tolist(), n[self.marked[ids]].tolist(), strict=True):
+            for t in self.marks[i]:
+                out[t] += c
+        square = float(whole @ whole)
+        for w, c in unseen.items():
+            square += (self.unseen_idf * (1 + math.log(c))) ** 2
+            for t in self.tested(w):
                 out[t] += c
-        out = {t: (1 + math.log(c)) * self.idf[t] for t, c in out.items()}
+        tested = np.array(sorted(out), np.int64)
+        marks = self.idf[tested] * (1 + np.log([out[t] for t in tested.tolist()]))
         length = self.rest * (1 + math.log(len(words)))
-        norm = math.sqrt(sum(x * x for x in out.values()) + 2 * length * length)
-        out[self.n_terms - 1] = length
-        scale = length / math.sqrt(square) / norm
-        return {t: x / norm for t, x in out.items()} | {t: x * scale for t, x in whole.items()}
+        norm = math.sqrt(float(marks @ marks) + 2 * length * length)
+        terms = np.concatenate([tested, ids + len(self.vocab), [self.n_terms - 1]])
+        return terms, np.concatenate([marks, whole * (length / math.sqrt(square)), [length]]) / norm
 
     def vote(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.top(self.vector(text), self.k)
+        near = self.index.top(*self.vector(text), self.k)
         return self.tally(near), near
 
     def tally(self, near: list[tuple[float, int]]) -> float:
@@ -220,12 +271,12 @@ def fit(examples: DataFrame, text_col: str = "text", label_col: str = "toxic", n
     words = every.where("substring(term, 1, 1) <> X'5E'").select("term", "n").orderBy("term").toArrow()
     known = {w: i for i, w in enumerate(words["term"].to_pylist())}
     known_idf = (np.log((1 + n) / (1 + words["n"].to_numpy())) + 1).tolist()
-    model = Model(vocab, idf.tolist(), known, known_idf, math.log(1 + n) + 1, prior, k, prior_weight, rest)
+    model = Model(vocab, idf, known, known_idf, math.log(1 + n) + 1, prior, k, prior_weight, rest)
 
     def embed(batches):
         for b in batches:
             vectors = [model.vector(t.as_py()) for t in b.column(1)]
-            columns = [b.column(0), b.column(2), pa.array([list(v) for v in vectors], pa.list_(pa.int32())), pa.array([list(v.values()) for v in vectors], pa.list_(pa.float64()))]
+            columns = [b.column(0), b.column(2), pa.array([t for t, _ in vectors], pa.list_(pa.int32())), pa.array([w for _, w in vectors], pa.list_(pa.float64()))]
             yield pa.record_batch(columns, names=["name", "y", "terms", "weights"])
 
     # at most max_examples rows, with their distinct words
@@ -239,10 +290,10 @@ def fit(examples: DataFrame, text_col: str = "text", label_col: str = "toxic", n
     spans = [spans[i] for i in order]
     chain = lambda values: np.concatenate([values[x] for x in spans] or [values])
     labels = [labels[i] for i in order]
-    model.teach(TermIndex.of(np.array([x.stop - x.start for x in spans], np.int64), chain(terms), chain(weights), model.n_terms), labels, [names[i] for i in order])
+    model.teach(BlockMaxIndex.of(np.array([x.stop - x.start for x in spans], np.int64), chain(terms), chain(weights), model.n_terms), labels, [names[i] for i in order])
     votes = np.zeros(len(spans))
     for i, x in enumerate(spans):
-        near = [p for p in model.index.top(dict(zip(terms[x].tolist(), weights[x].tolist(), strict=True)), k + 1) if p[1] != i][:k]
+        near = [p for p in model.index.top(terms[x], weights[x], k + 1) if p[1] != i][:k]
         votes[i] = model.tally(near)
     model.calibrate(votes, np.array(labels))
     return model

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 from siftline.llm import toxicity as tx
@@ -13,8 +15,68 @@ def test_block_max_search_is_exact():
         q = tx.unit({rng.randrange(30): rng.random() for _ in range(rng.randrange(6))})
         brute = sorted(((sum(w * v.get(t, 0) for t, w in q.items()), i) for i, v in enumerate(vectors)), key=lambda x: (-round(x[0], 12), x[1]))
         brute = [x for x in brute if x[0] > 0][:9]
-        got = index.top(q, 9)
-        assert np.allclose([s for s, _ in got], [s for s, _ in brute])
+        got = index.top(np.array([*q], np.int64), np.array([*q.values()]), 9)
+        assert [i for _, i in got] == [i for _, i in brute] and np.allclose([s for s, _ in got], [s for s, _ in brute])
+
+
+def test_blocks_under_the_bound_are_skipped():
+    """Without maxima that tell blocks apart nothing could be skipped; here most blocks never reach the table."""
+    rng = random.Random(5)
+    vectors = [tx.unit({g * 10 + t: 1 + rng.random() for t in range(10)} | {100 + rng.randrange(500): 1.0}) for g in range(10) for _ in range(200)]
+    index = tx.BlockMaxIndex(vectors, 600)
+    assert (index.column[:100] >= 0).all()
+    index.table[index.most[:, index.column[5]] == 0] = np.nan  # blocks without the query's group
+    got = index.top(np.arange(10), np.full(10, 10**-0.5), 5)
+    assert len(got) == 5 and all(i < 200 and s > 0.7 for s, i in got)
+
+
+def brute_scores(examples, texts, k=15, prior_weight=0.1, rest=1.5, min_docs=4, min_chi2=20.0, max_terms=4096):
+    """(vote, score) of every text by the definition, with plain dictionaries."""
+    examples = sorted(examples, key=lambda x: x[0])
+    n, n1 = len(examples), sum(y for *_, y in examples)
+    held = [set(tx.terms_of(t)) for _, t, _ in examples]
+    df, pos = Counter(t for h in held for t in h), Counter(t for h, (*_, y) in zip(held, examples, strict=True) if y for t in h)
+    chi = {}
+    for t, m in df.items():
+        a = pos[t]
+        gap = a * (n - m - n1 + a) - (m - a) * (n1 - a)
+        chi[t] = n * gap * gap / max(m * (n - m) * n1 * (n - n1), 1)
+    tested = sorted((t for t, m in df.items() if m >= min_docs and chi[t] >= min_chi2), key=lambda t: (-chi[t], t))[:max_terms]
+    idf = {t: math.log((1 + n) / (1 + m)) + 1 for t, m in df.items()}
+
+    def vector(text):
+        words, terms = Counter(tx.words_of(text)), tx.terms_of(text)
+        if not words:
+            return {}
+        length = rest * (1 + math.log(sum(words.values())))
+        v = {("t", t): (1 + math.log(terms[t])) * idf[t] for t in tested if terms[t]}
+        whole = {w: (1 + math.log(c)) * idf.get(w, math.log(1 + n) + 1) for w, c in words.items()}
+        size = math.sqrt(sum(x * x for x in whole.values()))
+        v |= {("w", w): x * length / size for w, x in whole.items()} | {"length": length}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = [vector(t) for _, t, _ in examples]
+
+    def vote(v, but=None):
+        sims = ((sum(x * u.get(t, 0) for t, x in v.items()), i) for i, u in enumerate(vectors) if i != but)
+        near = sorted(((round(s, 12), -i) for s, i in sims if s > 0), reverse=True)[:k]
+        return (sum(s * examples[-i][2] for s, i in near) + prior_weight * n1 / n) / (prior_weight + sum(s for s, _ in near))
+
+    model = tx.Model({}, [], {}, [], 0.0, n1 / n, k, prior_weight, rest)
+    model.calibrate(np.array([vote(v, i) for i, v in enumerate(vectors)]), np.array([y for *_, y in examples]))
+    return [model.score(vote(vector(t))) for t in texts]
+
+
+def test_scores_match_brute_force(spark):
+    rng = random.Random(6)
+    say = lambda bad, n: " ".join(rng.choice(["vile", "foulness", "scums"]) if bad and rng.random() < 0.3 else f"w{int(rng.random() ** 3 * 80)}" for _ in range(n))
+    rows = [(f"{i:04d}", say(i % 5 == 0, rng.randrange(3, 40)), int(i % 5 == 0)) for i in range(300)]
+    model = tx.fit(spark.createDataFrame(rows, "doc_id string, text string, toxic int"))
+    assert model.calibrated and model.words
+    texts = [say(i % 3 == 0, rng.randrange(1, 60)) for i in range(60)] + ["", None, "entirely unknown words", rows[0][1], "vile"]
+    got = {r.doc_id: r.score for r in tx.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], brute_scores(rows, texts), atol=1e-7)
 
 
 def quality(spark, d):
