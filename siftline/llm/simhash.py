@@ -16,8 +16,10 @@ work is linear in the bucket, exact, and yields the same components.
 
 Edge cases: a null text counts as empty; a text without words has fingerprint
 zero and links like any other; fewer than ``size`` words make one shingle; equal
-rows share a class; a null id stays in the result and never names a class; an
-empty table gives an empty result; other columns are ignored.
+rows share a class; a null id stays in the result, links, and never names a class
+(one without any id has none); rows that repeat an id are told apart by their
+texts, and of rows equal in id and text one stays; an empty table gives an empty
+result; other columns are ignored, or kept by ``simhash_dedup``.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..plans.storage import scratch, stored
+from .columns import free_name
 
 BITS = 64
 SEED = 42
@@ -57,15 +60,19 @@ def fingerprint_text(text: str | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of every row, as a signed 64-bit integer."""
+    """``doc_id, row, fp``: the fingerprint of every row, as a signed 64-bit integer; ``row`` tells rows of one id apart by their texts."""
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint_text(t.as_py(), size) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint_text(t.as_py(), size) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, fp long")
+
+
+def _row(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
 def covering_masks(radius: int = 2) -> list[int]:
@@ -80,32 +87,39 @@ def covering_masks(radius: int = 2) -> list[int]:
 
 
 def _links(points: DataFrame, radius: int) -> DataFrame:
-    """Edges ``a, b`` between ids of distinct fingerprints; their components are those of all links."""
+    """Edges ``a, b`` between distinct fingerprints ``fp``; their components are those of all links."""
+    if radius != 2:
+        raise ValueError("links in large buckets are built for radius 2")
     tables = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)))
-    keyed = points.select("fp", "id", F.posexplode(tables).alias("v", "key"))
+    keyed = points.select("fp", F.posexplode(tables).alias("v", "key"))
     full = stored(keyed.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     hits = stored(keyed.join(full, ["v", "key"]), "bucketed")
-    small = hits.where(F.col("n") <= DIRECT).groupBy("v", "key").agg(F.array_sort(F.collect_list(F.struct("id", "fp"))).alias("g"))
-    near = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: (y["id"] > x["id"]) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius)), lambda y: F.struct(y["id"].alias("a"), x["id"].alias("b")))))
+    small = hits.where(F.col("n") <= DIRECT).groupBy("v", "key").agg(F.array_sort(F.collect_list("fp")).alias("g"))
+    near = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= radius)), lambda y: F.struct(y.alias("a"), x.alias("b")))))
     direct = small.select(F.explode(near).alias("e")).select("e.*")
-    if radius != 2:
-        raise ValueError("links in large buckets are built for radius 2")
     flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < BITS - 1 else -(1 << i))) for i in range(BITS)))
-    ball = hits.where(F.col("n") > DIRECT).select("fp", "id").distinct().select("id", F.explode(flips).alias("z"))
+    ball = hits.where(F.col("n") > DIRECT).select("fp").distinct().select("fp", F.explode(flips).alias("z"))
     # at most 65 distinct fingerprints lie within one bit of z
-    shared = ball.groupBy("z").agg(F.min("id").alias("b"), F.collect_list("id").alias("ids")).where(F.size("ids") > 1)
-    through = shared.select(F.explode("ids").alias("a"), "b").where("a <> b")
+    shared = ball.groupBy("z").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    through = shared.select(F.explode("fps").alias("a"), "b").where("a <> b")
     return direct.unionByName(through).distinct()
 
 
+def _classes(digest: DataFrame, radius: int) -> DataFrame:
+    """``fp, component_id, keeper``: of every fingerprint its class, the smallest id there and the row that stays."""
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    points = stored(digest.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min(first).alias("first")), "points")
+    label = connected_components(_links(points.select("fp"), radius), "a", "b").withColumnRenamed("node", "fp")
+    named = stored(points.join(label, "fp", "left").select("fp", "id", "first", F.coalesce("component", "fp").alias("component")), "named")
+    classes = named.groupBy("component").agg(F.min("id").alias("component_id"), F.min("first").alias("first"))
+    return named.select("fp", "component").join(classes, "component").select("fp", "component_id", F.col("first.row").alias("keeper"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
     """``doc_id, fp, component_id``: every row with its fingerprint and the smallest id reachable by links."""
     with scratch() as keep:
         digest = keep(stored(fingerprints(docs, id_col, text_col, size), "fingerprints"))
-        points = stored(digest.groupBy("fp").agg(F.min("doc_id").alias("id")), "points")
-        named = points.where("id is not null")
-        label = connected_components(_links(named, radius), "a", "b")
-        classes = keep(stored(points.join(label.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")), "classes"))
+        classes = keep(stored(_classes(digest, radius), "classes"))
         return digest.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -115,18 +129,14 @@ def hex_digits(fp) -> "F.Column":
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the row with the smallest id.
-
-    A class in which every id is null keeps its rows; rows that repeat a kept id
-    are reduced to one.
-    """
-    groups = stored(simhash_groups(docs, id_col, text_col, size, radius), "groups")
-    kept = groups.where("component_id is null or doc_id = component_id").select("doc_id")
-    named = kept.where("doc_id is not null").distinct()
-    out = docs.join(named, docs[id_col].cast("long") == named["doc_id"], "left_semi")
-    if kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(docs[id_col].isNull())) if kept.where("doc_id is null").limit(1).count() else out
+    """The rows of ``docs`` that stay: of each class one row, that with the smallest id (rows without id come last, ties go by a hash of the text)."""
+    row = free_name(docs, "row")
+    with scratch() as keep:
+        digest = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
+        kept = keep(stored(_classes(digest, radius).select(F.col("keeper").alias("_keeper")).distinct(), "kept"))
+        twins = digest.join(kept, digest["row"] == kept["_keeper"], "left_semi").count() > kept.count()
+        out = docs.withColumn(row, _row(id_col, text_col)).join(kept, F.col(row) == F.col("_keeper"), "left_semi")
+        return (out.dropDuplicates([row]) if twins else out).drop(row)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

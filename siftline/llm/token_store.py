@@ -4,8 +4,8 @@ Documents are range-partitioned by id and sorted, so file k holds ids below thos
 of file k+1 and a reader can take files and stripes in parallel.  Ids are an ORC
 ``array<int>``, which the writer run-length encodes; row indexes carry minima and
 maxima of ``doc_id`` for groups of rows, and Bloom filters on ``doc_id`` let a
-point lookup skip stripes.  Each row also carries its file's number, so offsets
-in the whole stream need one small sum over files.
+point lookup skip stripes.  Each row also carries its file's number and its place in
+the file, so offsets in the whole stream need one small sum over files.
 
 A chunk between spaces, tabs and line ends is tokenised alike wherever it stands
 (the tokeniser drops white space and never joins across it), and so is a run of
@@ -14,7 +14,8 @@ cache; what it lacks goes to the tokenizers library.  This holds for tokenisers
 that lower case and that split letters from the rest, as word_bpe_49k.json does.
 
 Edge cases: a null text counts as empty and has the end id only; null ids come
-first; repeated rows each get a row, equal ids in order of their text; an empty
+first; repeated rows each get a row, equal ids in order of a hash of their text (so
+that rows of one id need not stand in one file); an empty
 table writes no rows and reads back empty; other columns are not stored.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import new_path, stored
 
-SCHEMA = "doc_id long, ids array<int>, file int"
+SCHEMA = "doc_id long, ids array<int>, file int, place long"
 #: What the tokeniser never joins: chunks between white space and, in plain texts, runs of letters and of other characters.
 _CHUNKS = re.compile(r"[^ \t\n\r]+")
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^ \t\n\ra-zß-öø-ÿ]+")
@@ -107,12 +108,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = (F.col("doc_id"), F.xxhash64("text"))
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, number = _encoder(tokenizer, end_id), TaskContext.get().partitionId()
+        encoder, number, done = _encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         for b in batches:
             texts = b.column(1)
             size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0))))
@@ -122,7 +124,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
                 ids = encoder.encode(texts[at:to].to_pylist())
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.record_batch([b.column(0)[at:to], lists, pa.array(np.full(to - at, number, np.int32))], names=["doc_id", "ids", "file"])
+                yield pa.record_batch([b.column(0)[at:to], lists, pa.array(np.full(to - at, number, np.int32)), pa.array(np.arange(done, done + to - at))], names=["doc_id", "ids", "file", "place"])
+                done += to - at
                 at = to
 
     (
@@ -133,7 +136,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, ids, file`` as written; filters on doc_id prune stripes and row groups."""
+    """``doc_id, ids, file, place`` as written; filters on doc_id prune stripes and row groups."""
     return spark.read.schema(SCHEMA).orc(path)
 
 
@@ -146,12 +149,12 @@ def token_index(tokens: DataFrame) -> DataFrame:
             ends = np.asarray(ids.offsets)
             raw = np.asarray(ids.values, dtype="<u4")
             crc = [zlib.crc32(raw[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "file", "n_tokens", "ids_crc32"])
+            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "file", "place", "n_tokens", "ids_crc32"])
 
-    rows = stored(tokens.select("doc_id", "ids", "file").mapInArrow(run, "doc_id long, file int, n_tokens long, ids_crc32 long"), "index")
+    rows = stored(tokens.select("doc_id", "ids", "file", "place").mapInArrow(run, "doc_id long, file int, place long, n_tokens long, ids_crc32 long"), "index")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     files = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    upto = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     # one row a file: a number the writer fixed
     placed = rows.withColumn("upto", upto).join(F.broadcast(files), "file")
     return placed.select("doc_id", (F.col("before") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")

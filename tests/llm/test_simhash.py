@@ -46,13 +46,14 @@ def test_links_match_brute_force(spark):
     random.seed(5)
     base = [random.getrandbits(64) for _ in range(4)]
     fps = list(dict.fromkeys([*base, *(random.choice(base) ^ (1 << random.randrange(64)) ^ (1 << random.randrange(64)) ^ (random.randrange(2) << random.randrange(64)) for _ in range(300))]))
-    rows = [(f - 2**64 if f >> 63 else f, i) for i, f in enumerate(fps)]
+    fps = sorted(fps, key=lambda f: f - (f >> 63 << 64))
+    rows = [(f - (f >> 63 << 64),) for f in fps]
     from siftline.operators.graph import connected_components
 
-    edges = simhash._links(spark.createDataFrame(rows, "fp long, id long"), 2).collect()
-    assert all((fps[e.a] ^ fps[e.b]).bit_count() <= 2 for e in edges)
+    edges = simhash._links(spark.createDataFrame(rows, "fp long"), 2).collect()
+    assert all(((e.a ^ e.b) % 2**64).bit_count() <= 2 for e in edges)
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
-    assert [got.get(i, i) for i in range(len(fps))] == groups_of(fps)
+    assert [got.get(f, f) for f, in rows] == [rows[i][0] for i in groups_of(fps)]
 
 
 def test_rows_nulls_and_repeats(spark):
@@ -63,3 +64,25 @@ def test_rows_nulls_and_repeats(spark):
     kept = [r.doc_id for r in simhash.simhash_dedup(docs).collect()]
     assert sorted(kept, key=str) == [2, 3, 8, None]
     assert simhash.simhash_groups(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rows = [(1, "one text that stands alone", "a"), (1, "quite another text without likeness", "b"), (2, "one text that stands alone", "c"), (3, "third", "d"), (3, "third", "e"), (None, "no id here", "f"), (None, "no id at all", "g"), (None, "third", "h"), (None, "no id here", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = sorted((str(r.doc_id), r.text) for r in simhash.simhash_dedup(docs).collect())
+    assert kept == [("1", rows[0][1]), ("1", rows[1][1]), ("3", "third"), ("None", "no id at all"), ("None", "no id here")]
+    assert simhash.simhash_dedup(docs).columns == docs.columns
+
+
+def test_query_matches_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    texts = sorted((r.doc_id, r.text) for r in spark.read.parquet(d + "/documents.parquet").collect())
+    fps = [slow_fingerprint(t) for _, t in texts]
+    want = {i: (f"{f:016x}", texts[g][0]) for (i, _), f, g in zip(texts, fps, groups_of(fps), strict=True)}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op10_simhash(spark, d).collect()}
+    assert got == want
+
+
+def test_long_text(spark):
+    words = [f"w{i * i % 977}" for i in range(70_000)]  # beyond one chunk of shingles
+    assert simhash.fingerprint_text(" ".join(words)) == slow_fingerprint(" ".join(words))

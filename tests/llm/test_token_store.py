@@ -36,6 +36,21 @@ def test_round_trip(spark):
     assert found[0].ids == Tokenizer.from_file(PATH).encode("Some text", add_special_tokens=False).ids + [2]
 
 
+def test_repeated_ids_start_where_the_file_has_them(spark):
+    docs = [(1, f"text number {i} " * (i % 7 + 1)) for i in range(60)] + [(None, f"t {i}") for i in range(9)] + [(1, "same")] * 3 + [(0, "x"), (2, None)]
+    path = ts.new_path(spark, "t")
+    ts.write_tokens(spark.createDataFrame(docs, "doc_id long, text string"), path, PATH, partitions=4)
+    tokens = ts.read_tokens(spark, path)
+    assert tokens.where("doc_id = 1").select("file").distinct().count() > 1
+    stream, at = [i for r in sorted(tokens.collect(), key=lambda r: (r.file, r.place)) for i in r.ids], 0
+    rows = ts.token_index(tokens).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == sorted((i for i, _ in docs), key=lambda i: (i is not None, i or 0))
+    for r in rows:
+        ids = stream[at : at + r.n_tokens]
+        assert r.start == at and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        at += r.n_tokens
+
+
 def test_files_have_indexes_and_bloom_filters(spark):
     path = ts.new_path(spark, "t")
     df = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text")
