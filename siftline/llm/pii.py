@@ -5,20 +5,24 @@ overlapping within a kind.  One pass cuts every text, for each rule, into pieces
 "what lies before, what matches"; running sums of their lengths give positions.
 Patterns use possessive repeats only, so time is linear in the text.
 
-Base spans are seeds.  The word before a seed is a lexical pattern; tokens with a
+Base spans are seeds, and so are long tokens that mix letters and digits (of the kind
+``secret``, which has no rule of its own).  The last word with a letter before a seed,
+with the punctuation that stands between (``token =``), is a lexical pattern; tokens with a
 digit or an at sign are instances.  Pattern and instance scores are computed in
 turn on the table of (pattern, instance) counts: a pattern scores, by kind, the
 share of all its occurrences in the corpus, whatever follows, that lead to
 instances believed so far; an instance that is no seed is believed as far as its
 patterns are (noisy or).  After some rounds, tokens behind patterns of high
-confidence and enough support are added as spans of the pattern's kind.  Base spans stay; a
+confidence and enough support are added as spans of the pattern's kind (so a long
+token alone, behind a word like any other, is not).  Base spans stay; a
 match that a rule has rejected by its check digits or ranges isn't added.
 
 DataFrame functions only.  Word counts, graph and scores cover the whole corpus.
 
 Edge cases: a null text counts as empty; rows are told apart by a row number, so
 repeated rows and null ids each get a result; positions are code points, ends
-exclusive; an empty table gives an empty result; other columns are ignored.
+exclusive; a word and its punctuation of more than 64 characters are no pattern; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ from pyspark.sql import functions as F
 from ..plans.storage import stored
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kind that only contexts can find, and the shape of its seeds.
+SECRET = "secret"
+_SECRET_SHAPE = r"^(?=[^0-9]*+[0-9])(?=[^a-z]*+[a-z])[0-9a-z_+/=-]{24,}+$"
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Per kind: group 1 lies before, group 2 matches or is skipped as a whole; the end of the text ends the last piece.
 PIECES = {
@@ -41,7 +48,9 @@ PIECES = {
 #: Texts in which a kind can occur at all.
 _POSSIBLE = {"email": "contains(text, '@')", "ip": "text rlike '[0-9][.][0-9]'", "card": "text rlike '[0-9]'", "phone": "contains(text, '+')", "token": "text rlike '[0-9@]'"}
 _CONTEXT = 64
-_TRIM_LEFT, _TRIM_RIGHT = r"""^["'(<\[{]+""", r"""["')>\]},.;:!?]+$"""
+_TRIM_LEFT, _TRIM_RIGHT = r"""^["'(<\[{]+""", r"""["')>\]},.;:!?#$%&*]+$"""
+#: A word with a letter, and the punctuation behind it.
+_PATTERN = r"(?<!\S)[^\s\p{L}]*+\p{L}\S*+(?:\s++[^\s\p{L}\p{N}@]++(?!\S))?+"
 _CANDIDATE = 5
 
 
@@ -85,24 +94,38 @@ def _occurrences(matches: DataFrame) -> DataFrame:
     """``row, start, end, x, pattern, kind``: identifier-like tokens with the word before; kind where a base span begins there."""
     t = matches.where("kind = 'token'")
     lead, tail = F.length(F.regexp_extract("match", _TRIM_LEFT, 0)), F.length(F.regexp_extract("match", _TRIM_RIGHT, 0))
-    t = t.select("row", (F.col("start") + lead).cast("long").alias("start"), (F.col("end") - tail).cast("long").alias("end"), F.lower(F.regexp_replace(F.regexp_replace("match", _TRIM_LEFT, ""), _TRIM_RIGHT, "")).alias("x"), F.lower(F.regexp_extract("context", r"(\S+)\s*$", 1)).alias("pattern"))
-    t = t.where((F.length("x") >= _CANDIDATE) | F.col("x").startswith("+")).where(F.col("pattern").rlike(r"\p{L}"))
+    t = t.select("row", (F.col("start") + lead).cast("long").alias("start"), (F.col("end") - tail).cast("long").alias("end"), F.lower(F.regexp_replace(F.regexp_replace("match", _TRIM_LEFT, ""), _TRIM_RIGHT, "")).alias("x"), _spaced(F.regexp_extract("context", rf"({_PATTERN})\s*$", 1)).alias("pattern"))
+    t = t.where((F.length("x") >= _CANDIDATE) | F.col("x").startswith("+")).where("pattern <> ''")
     spans = matches.where("kind <> 'token' and (ok or refused)").groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind", "ok", "match")).alias("spans"))
     joined = t.join(spans, "row", "left")
-    over = F.expr("filter(coalesce(spans, array()), s -> s.start < end and s.end > start)")
+    joined = joined.withColumn("shaped", F.col("x").rlike(_SECRET_SHAPE))
+    # what a rule accepted counts where it touches the token, unless inside a long one; what it refused, where it covers the token
+    over = F.expr("filter(coalesce(spans, array()), s -> if(s.ok and not shaped, s.start < end and s.end > start, s.start <= start and s.end >= end))")
     begins = F.expr("filter(over, s -> s.ok and abs(s.start - start) <= 1)")
     joined = joined.withColumn("over", over).withColumn("begins", begins)
     # tokens inside a span, but not at its start, and what a rule refused say nothing
     joined = joined.where((F.size("over") == 0) | (F.size("begins") > 0))
     first = F.when(F.size("begins") > 0, F.col("begins")[0])
     # a seed's instance is the whole span, which may hold several tokens
-    return joined.select("row", "start", "end", F.coalesce(F.lower(first["match"]), "x").alias("x"), "pattern", first["kind"].alias("kind"))
+    return joined.select("row", "start", "end", F.coalesce(F.lower(first["match"]), "x").alias("x"), "pattern", F.coalesce(first["kind"], F.when(F.col("shaped"), SECRET)).alias("kind"))
 
 
-def _pattern_scores(seen: DataFrame, totals: DataFrame, rounds: int, support: int) -> DataFrame:
+def _spaced(pattern):
+    return F.lower(F.regexp_replace(pattern, r"\s+", " "))
+
+
+def _totals(texts, patterns: DataFrame) -> DataFrame:
+    """``pattern, total``: how often the patterns occur in all texts."""
+    every = texts.select(F.explode(F.regexp_extract_all("text", F.lit(_PATTERN), F.lit(0))).alias("p")).select(_spaced(F.col("p")).alias("pattern"))
+    return every.join(patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+
+
+def _pattern_scores(seen: DataFrame, texts: DataFrame, rounds: int, support: int) -> DataFrame:
     """``pattern, kind, score``: the confidence of every supported pattern in its best kind."""
     edges = seen.groupBy("pattern", "x").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
     edges = stored(edges, "edges")
+    # only patterns with as many instances can reach the support
+    totals = stored(_totals(texts, edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("pattern")), "totals")
     seeds = edges.where("kind is not null").groupBy("x").agg(F.max("kind").alias("kind")).select("x", "kind", F.lit(1.0).alias("belief"))
     belief = seeds = stored(seeds, "seeds")
     scores = None
@@ -123,12 +146,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pieces = stored(_pieces(docs, id_col, text_col), "pieces")
     matches = stored(_matches(pieces), "matches")
     seen = stored(_occurrences(matches), "occurrences")
-    words = F.explode(F.split(F.lower(F.col(text_col)), r"\s+"))
-    totals = docs.where(F.col(text_col).isNotNull()).select(words.alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
-    scores = _pattern_scores(seen, totals, rounds, support).where(F.col("score") >= confidence)
-    added = seen.where("kind is null").drop("kind").join(scores, "pattern").select("row", "start", "end", "kind", F.col("x").alias("value"), F.lit(False).alias("base"))
+    scores = _pattern_scores(seen, docs.select(F.col(text_col).alias("text")), rounds, support).where(F.col("score") >= confidence)
+    added = seen.where(F.col("kind").isNull() | (F.col("kind") == SECRET)).drop("kind").join(scores, "pattern").select("row", "start", "end", "kind", F.col("x").alias("value"), F.lit(False).alias("base"))
     base = matches.where("ok and kind <> 'token'").select("row", F.col("start").cast("long"), F.col("end").cast("long"), "kind", F.col("match").alias("value"), F.lit(True).alias("base"))
-    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    place = F.array_position(F.array(*map(F.lit, (*KINDS, SECRET))), F.col("kind"))
     spans = base.unionByName(added).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", place.alias("place"), "end", "kind", "value", "base"))).alias("spans"))
     rows = pieces.where("pos is null or pos = 0").select("row", "doc_id")
     pick = lambda which: F.expr(f"transform(filter(coalesce(spans, array()), s -> {which}), s -> struct(s.start, s.end, s.kind, s.value))")
@@ -142,4 +163,4 @@ def _joined(spans: str) -> "F.Column":
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size("added").cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans"))

@@ -57,6 +57,29 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert not rows[220].added and not rows[3].added
 
 
+def test_contexts_find_a_kind_without_a_rule(spark):
+    digest = lambda i: hashlib.sha256(str(i).encode()).hexdigest()[:40]
+    docs = [(i, f"some words token  = \"{digest(i)}\" more") for i in range(40)]
+    docs += [(100 + i, f"as seen in TOKEN = short{i}x!! yes") for i in range(3)]
+    docs += [(200 + i, f"in {'these' if i % 2 else 'other'} words {digest(1000 + i) if i < 8 else 'nothing'} stands") for i in range(60)]
+    docs += [(300, "token = 4111111111111112 refused"), (301, "token = a@b.cd"), (302, "a token of thanks, token = none")]
+    rows = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i in range(40):
+        assert [(s.kind, s.value, docs[i][1][s.start : s.end]) for s in rows[i].added] == [("secret", digest(i), digest(i))], i
+    assert [s.value for s in rows[101].added] == ["short1x"]  # no shape, but the context
+    assert not any(rows[i].added for i in [*range(200, 260), 300, 301, 302])  # a long token behind a word like any other isn't one
+    assert [s.kind for s in rows[301].base] == ["email"]
+
+
+def test_added_spans_on_the_test_tables(spark):
+    """All added spans stand behind the one context that the tables repeat, and nearly all of its identifiers are found."""
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(d + "/documents.parquet").collect()}
+    found = {(r.doc_id, s.start, s.end) for r in pii.personal_data(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect() for s in r.added}
+    truth = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    assert truth and found == truth
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(d + "/documents.parquet").collect()}
