@@ -92,11 +92,33 @@ def grouped_search(samples: DataFrame, thresholds: DataFrame, group: str, score:
     return best(rows, keys)
 
 
-def ensemble_rule(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Flag an image if two models vote for an absent class with enough confidence in sum, or its present class lacks support.
-
-    ``samples``: present, votes, support (sum of confidences) and positive;
-    ``thresholds``: add (for absent classes) and keep (for present ones).
+def ensemble_rule(samples: DataFrame, thresholds: DataFrame, classes: int = 2) -> DataFrame:
+    """Confusion of the rule that flags an image whose annotation an ensemble of models contradicts.
+
+    ``samples``: present (array: is the class annotated), confs (array of the models'
+    confidences for each class), weighted (array of their weighted sums) and positive.
+    ``thresholds``: vote_conf, missing and unsupported.  A class that isn't annotated flags
+    the image if at least two models reach vote_conf and the weighted sum reaches
+    missing; one that is, if the sum stays below unsupported.  Samples alike in what
+    the rule looks at (votes at each vote_conf, sums by threshold) are counted first, so the grid
+    meets bins, not images.
     """
-    flagged = F.when(F.col("present"), F.col("support") < F.col("keep")).otherwise((F.col("votes") >= 2) & (F.col("support") >= F.col("add")))
-    return on_grid(samples, thresholds, flagged)
+    axes = {c: F.array_sort(F.collect_set(c)).alias(f"_{c}") for c in ("vote_conf", "missing", "unsupported")}
+    steps = thresholds.agg(*axes.values())
+    # the grid's values: one row of known size
+    x = samples.crossJoin(F.broadcast(steps))
+    enough = lambda k: F.size(F.filter("_vote_conf", lambda v: F.size(F.filter(F.col("confs")[k], lambda c: c >= v)) >= 2))
+    passed = lambda k, axis: F.size(F.filter(f"_{axis}", lambda t: F.col("weighted")[k] >= t))
+    bins = [F.struct(F.col("present")[k].alias("there"), enough(k).alias("voted"), passed(k, "missing").alias("missed"), passed(k, "unsupported").alias("backed")).alias(f"k{k}") for k in range(classes)]
+    counts = x.groupBy(*bins).agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    grid = thresholds.crossJoin(F.broadcast(steps))
+    nth = lambda axis: F.array_position(f"_{axis}", F.col(axis))
+    grid = grid.select("grid_index", "vote_conf", "missing", "unsupported", nth("vote_conf").alias("i"), nth("missing").alias("j"), nth("unsupported").alias("k"))
+    each = counts.crossJoin(F.broadcast(grid))  # bins and grid are both of known size
+    flagged = F.lit(False)
+    for c in range(classes):
+        q = F.col(f"k{c}")
+        flagged = flagged | F.when(q["there"], q["backed"] < F.col("k")).otherwise((q["voted"] >= F.col("i")) & (q["missed"] >= F.col("j")))
+    total = lambda flag, side, name: F.sum(F.when(flag, F.col(side)).otherwise(0)).alias(name)
+    out = each.groupBy("grid_index", "vote_conf", "missing", "unsupported").agg(total(flagged, "p", "tp"), total(flagged, "n", "fp"), total(~flagged, "n", "tn"), total(~flagged, "p", "fn"))
+    return with_ratios(out)

@@ -11,6 +11,8 @@ from ..plans.storage import drop_stored, scratch, stored
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """``node, component`` for every node of an undirected edge table; a component is named by its smallest node.
 
+    Nodes are of any type that has an order, such as numbers or strings.
+
     Labels sink along edges, hook onto the labels of neighbours and are then
     shortened (pointer jumping), so a path of n nodes takes about log n rounds.
     Each round is joins between stored tables and mergeable minima: a hub's rows
@@ -18,7 +20,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     Null ends and self-loops are ignored.
     """
     with scratch() as keep:
-        e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
+        e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
         e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         label = stored(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")

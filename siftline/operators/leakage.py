@@ -51,11 +51,36 @@ def members(edges: DataFrame, splits: DataFrame, a: str = "a", b: str = "b", key
     return rows.withColumn("direct_test_neighbor", (F.col("test_neighbors") > 0).cast("int"))
 
 
+#: Counts of a component's edges: the column of the edge table and its values.
+EDGE_COUNTS = {
+    "priority": {"VERY_HIGH": "very_high_edges", "HIGH": "high_edges"},
+    "tier": {"EXTREME": "extreme_edges", "ULTRA": "ultra_edges"},
+    "state": {"EXACT": "annotation_exact", "STRONG": "annotation_strong", "MODERATE": "annotation_moderate", "CONFLICT": "annotation_conflict"},
+    "relation": {"train_val": "train_val_edges", "train_test": "train_test_edges", "val_test": "val_test_edges"},
+}
+
+
+def edge_stats(edges: DataFrame, member_rows: DataFrame, a: str = "a") -> DataFrame:
+    """``component`` and the counts of its edges by priority, tier, state and relation; an edge belongs where its end does."""
+    where = member_rows.select(F.col("node").alias(a), "component")
+    counts = [F.count_if(F.col(c) == value).alias(name) for c, names in EDGE_COUNTS.items() for value, name in names.items()]
+    return edges.join(where, a).groupBy("component").agg(*counts)
+
+
+def largest(stats: DataFrame) -> DataFrame:
+    """The row of the component with most nodes; of equal ones that with most edges, then the smallest name."""
+    names = stats.columns
+    order = stats.groupBy().agg(F.max(F.struct("nodes", "edges")).alias("m"))
+    top = stats.join(F.broadcast(order), (F.col("nodes") == F.col("m.nodes")) & (F.col("edges") == F.col("m.edges")))
+    return top.agg(F.min_by(F.struct(*names), "component").alias("r")).where("r is not null").select("r.*")
+
+
 def component_stats(member_rows: DataFrame) -> DataFrame:
     """One row a component: nodes, edges, degrees, density, splits and type."""
     g = member_rows.groupBy("component").agg(
         F.count("*").alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.avg("degree").alias("mean_degree"),
         *(F.count_if(F.col("split") == x).alias(f"n_{x}") for x in s.PRIORITY), F.array_sort(F.collect_set("split")).alias("splits"), F.sum("direct_test_neighbor").alias("direct_test_neighbors"),
+        F.count_if((F.col("direct_test_neighbor") == 1) & (F.col("split") != "test")).alias("direct_non_test_nodes_to_test"),
     )
     full = F.col("nodes") * (F.col("nodes") - 1) / 2
     return g.withColumns({"density": s.ratio(F.col("edges"), full), "type": component_type("splits")})

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import hamming
+from ..functions.geometry import aspect_difference
+from ..functions.scoring import dual_hash_gate, hamming
 
 BANDS, BAND_BITS = 4, 16
 
@@ -52,6 +53,23 @@ def hamming_join(df: DataFrame, hash_col: str, radius: int, key: str, columns: l
     return pairs.select(*swapped, "distance")
 
 
+def near_duplicate_candidates(df: DataFrame, key: str, p: str = "p", d: str = "d", aspect: str = "aspect", primary: int = 10, secondary: int = 20, widest: float = 0.08, columns: list[str] = ()) -> DataFrame:
+    """Pairs ``key_a < key_b`` that are close by one of two hashes, not far by the other, and alike in shape.
+
+    Two Hamming joins at the smaller radius find them, one for each hash; the gate then
+    looks at both distances and the aspects.  ``p_distance, d_distance, aspect_difference``
+    are added.
+    """
+    carried = [p, d, aspect, *columns]
+    found = None
+    for h in (p, d):
+        hits = hamming_join(df, h, primary, key, carried).drop("distance")
+        found = hits if found is None else found.unionByName(hits)
+    pairs = found.dropDuplicates([f"{key}_a", f"{key}_b"])
+    pairs = pairs.withColumns({"p_distance": hamming(f"{p}_a", f"{p}_b"), "d_distance": hamming(f"{d}_a", f"{d}_b"), "aspect_difference": aspect_difference(f"{aspect}_a", f"{aspect}_b")})
+    return pairs.where(dual_hash_gate("p_distance", "d_distance", "aspect_difference", primary, secondary, widest))
+
+
 def exact_hash_pairs(df: DataFrame, on: list[str], key: str) -> DataFrame:
     """Pairs with all hashes equal."""
     a, b = (df.select(*on, F.col(key).alias(f"{key}_{x}")) for x in "ab")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -39,19 +39,18 @@ def docs(spark, sf_dir, *columns: str) -> DataFrame:
 
 
 SQL_BOX = """box as (select *, xc-w/2 as x1, yc-h/2 as y1, xc+w/2 as x2, yc+h/2 as y2, w*h as share from (
-    select row_number() over (order by l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice,l_shipdate)-1 as bid, l_orderkey as img, cast(l_suppkey%2 as int) as cls, l_quantity/50.0 as xc,
+    select l_orderkey * 100000 + row_number() over (partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice,l_shipdate) - 1 as bid, l_orderkey as img, cast(l_suppkey%2 as int) as cls, l_quantity/50.0 as xc,
     abs(l_discount)*10.0 as yc, abs(l_tax)*10.0 as w, (l_partkey%100)/100.0 as h, l_linestatus as side, (l_extendedprice%1000)/1000.0 as conf, cast(l_suppkey%3 as int) as model from lineitem))"""
 
-_BOX_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+_BOX_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
 
 
 def boxes(spark, sf_dir, numbered: bool = True) -> DataFrame:
-    """Boxes made of order lines; the number bid is only taken where it is used, as it needs a global order."""
-    from ..operators.dedup import with_rank
-
+    """Boxes made of order lines; the number bid is the image's and the place within it, so it needs no global order."""
     x = read(spark, sf_dir, "lineitem")
     if numbered:
-        x = with_rank(x, [F.col(c) for c in _BOX_ORDER], "bid").withColumn("bid", F.col("bid") - 1)
+        place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_BOX_ORDER))
+        x = x.withColumn("bid", F.col("l_orderkey") * 100_000 + place - 1)
     b = x.select(
         *(["bid"] if numbered else []), F.col("l_orderkey").alias("img"), (F.col("l_suppkey") % 2).cast("int").alias("cls"), (F.col("l_quantity") / 50).alias("xc"), (F.abs("l_discount") * 10).alias("yc"), (F.abs("l_tax") * 10).alias("w"),
         ((F.col("l_partkey") % 100) / 100).alias("h"), F.col("l_linestatus").alias("side"), ((F.col("l_extendedprice") % 1000) / 1000).alias("conf"), (F.col("l_suppkey") % 3).cast("int").alias("model"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scoring as s
-from ..operators import dedup, graph, leakage, manifest, similarity
+from ..operators import dedup, manifest, similarity
 from .base import SQL_ANN, SQL_DOCS, SQL_DUP, annotations, docs, query, read, relation_sql
 
 
@@ -180,90 +180,6 @@ def filename_sequence(spark, sf_dir):
     return pairs.select("k_a", "k_b", s.filename_sequence("name", "nb").alias("q")).select("k_a", "k_b", "q.*")
 
 
-_TIER = f"""{_METRICS}, t as (select id_a, id_b, case when corr >= 0.55 then 'EXTREME' when corr >= 0.40 then 'ULTRA' else 'OTHER' end as tier, case when label_a = label_b and (id_a+id_b)%4=0 then 'EXACT' when label_a = label_b and (id_a+id_b)%4=1 then 'STRONG' when (id_a+id_b)%4=2 then 'MODERATE' else 'CONFLICT' end as state from r)"""
-
-
-@query("leakage_priority", f"""{_TIER} select id_a, id_b, tier, state, case when tier='EXTREME' and state in ('EXACT','STRONG') then 'VERY_HIGH' when tier='EXTREME' then 'HIGH' when tier='ULTRA' and state in ('EXACT','STRONG') then 'HIGH' when tier='ULTRA' and state='MODERATE' then 'MEDIUM' else 'REVIEW' end as priority from t""")
-def leakage_priority(spark, sf_dir):
-    m = _metrics(spark, sf_dir).withColumnsRenamed({"vec_id_a": "id_a", "vec_id_b": "id_b"})
-    k, same = (F.col("id_a") + F.col("id_b")) % 4, F.col("label_a") == F.col("label_b")
-    tier = F.when(F.col("corr") >= 0.55, "EXTREME").when(F.col("corr") >= 0.40, "ULTRA").otherwise("OTHER")
-    state = F.when(same & (k == 0), "EXACT").when(same & (k == 1), "STRONG").when(k == 2, "MODERATE").otherwise("CONFLICT")
-    return m.select("id_a", "id_b", tier.alias("tier"), state.alias("state")).withColumn("priority", s.leakage_priority("tier", "state"))
-
-
-_EDGES = f"""{SQL_DOCS}, pre as (select doc_id, split, text as k from docs union all select doc_id, split, left(text, 60) from docs), first as (select *, min(doc_id) over (partition by k) as f from pre),
-    e as (select distinct f as a, doc_id as b from first where f <> doc_id), und as (select a, b from e union select b, a from e)"""
-_COMP = f"""with recursive {_EDGES}, walk(node, seen) as (select a, a from und union select w.node, b.b from walk w join und b on b.a = w.seen), comp as (select node, least(node, min(seen)) as component from walk group by node)"""
-
-
-def _edges(spark, sf_dir):
-    """Documents linked to the first one with their text, or with their first 60 characters."""
-    d = docs(spark, sf_dir, "doc_id", "text")
-    keyed = d.select("doc_id", F.explode(F.array(F.sha2("text", 256), F.sha2(F.concat(F.lit("60:"), F.left("text", F.lit(60))), 256))).alias("k"))
-    first = keyed.groupBy("k").agg(F.min("doc_id").alias("a"))
-    return keyed.join(first, "k").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-
-
-@query("leakage_components", f"""{_COMP}, m as (select c.component, c.node, d.split, (select count(*) from und where a = c.node) as degree from comp c join docs d on d.doc_id = c.node),
-    g as (select component, count(*) as nodes, cast(sum(degree)//2 as bigint) as edges, min(degree) as min_degree, max(degree) as max_degree, string_agg(distinct split, '+' order by split) as splits from m group by component)
-    select *, round(edges / (nodes * (nodes - 1) / 2.0), 6) as density from g""")
-def leakage_components(spark, sf_dir):
-    names = docs(spark, sf_dir, F.col("doc_id").alias("node"), "split")
-    st = leakage.component_stats(leakage.members(_edges(spark, sf_dir), names))
-    return st.select("component", "nodes", "edges", "min_degree", "max_degree", F.array_join("splits", "+").alias("splits"), F.round("density", 6).alias("density"))
-
-
-@query("component_members", f"""{_COMP} select c.component, c.node, d.split, (select count(*) from und where a = c.node) as degree, (select count(*) from und x join docs t on t.doc_id = x.b where x.a = c.node and t.split = 'test') as test_neighbors from comp c join docs d on d.doc_id = c.node""")
-def component_members(spark, sf_dir):
-    names = docs(spark, sf_dir, F.col("doc_id").alias("node"), "split")
-    return leakage.members(_edges(spark, sf_dir), names).select("component", "node", "split", "degree", "test_neighbors")
-
-
-@query("component_sizes", f"{_COMP}, g as (select component, count(*) as nodes from comp group by 1) select nodes, count(*) as n from g group by nodes")
-def component_sizes(spark, sf_dir):
-    c = graph.connected_components(_edges(spark, sf_dir), "a", "b").groupBy("component").agg(F.count("*").alias("nodes"))
-    return c.groupBy("nodes").agg(F.count("*").alias("n"))
-
-
-_DIRECT = f"""with {_EDGES}, s as (select e.a, e.b, x.split as sa, y.split as sb from e join docs x on x.doc_id = e.a join docs y on y.doc_id = e.b), t1 as (select sb as split, b as doc_id from s where sa='test' and sb<>'test' union select sa, a from s where sb='test' and sa<>'test'),
-    alive as (select * from s where a not in (select doc_id from t1) and b not in (select doc_id from t1)), t2 as (select b as doc_id, sb as split from alive where sa='val' and sb not in ('val','test') union select a, sa from alive where sb='val' and sa not in ('val','test'))"""
-
-
-def _direct(spark, sf_dir):
-    names = docs(spark, sf_dir, "doc_id", "split")
-    e = _edges(spark, sf_dir)
-    for x in "ab":
-        e = e.join(names.select(F.col("doc_id").alias(x), F.col("split").alias(f"split_{x}")), x)
-    gone = leakage.direct_exclusion(e, "test")
-    layer = manifest.without(names.withColumnRenamed("doc_id", "key"), gone, ("key",))
-    left = leakage.alive(e, layer)
-    second = leakage.direct_exclusion(left, "val").where("split <> 'test'")
-    return e, gone, manifest.without(layer, second, ("key",)), second
-
-
-@query("direct_exclusion", f"{_DIRECT} select 'test_protected' as layer, split, doc_id from t1 union all select 'cross_split', split, doc_id from t2")
-def direct_exclusion(spark, sf_dir):
-    _, gone, _, second = _direct(spark, sf_dir)
-    return manifest.stack({"test_protected": gone, "cross_split": second}).select("layer", "split", F.col("key").alias("doc_id"))
-
-
-@query("surviving_edges", f"{_DIRECT}, f as (select list_sort([sa, sb]) as k from s where a not in (select doc_id from t1 union all select doc_id from t2) and b not in (select doc_id from t1 union all select doc_id from t2)) select count(*) filter (where k = ['test','train']) as test_train, count(*) filter (where k = ['test','val']) as test_val, count(*) filter (where k = ['train','val']) as val_train from f")
-def surviving_edges(spark, sf_dir):
-    e, _, clean, _ = _direct(spark, sf_dir)
-    out = leakage.alive(e, clean)
-    pair = lambda x, y: F.count_if(F.array_sort(F.array("split_a", "split_b")) == F.array_sort(F.array(F.lit(x), F.lit(y))))
-    return out.agg(pair("test", "train").alias("test_train"), pair("test", "val").alias("test_val"), pair("val", "train").alias("val_train"))
-
-
-@query("layered_manifests", f"{_DIRECT}, c1 as (select doc_id, split from docs where doc_id not in (select doc_id from t1)), c2 as (select * from c1 where doc_id not in (select doc_id from t2)) select 'original' as layer, split, count(*) as n from docs group by 2 union all select 'clean_test_protected', split, count(*) from c1 group by 2 union all select 'frozen', split, count(*) from c2 group by 2")
-def layered_manifests(spark, sf_dir):
-    _, gone, clean, _ = _direct(spark, sf_dir)
-    names = docs(spark, sf_dir, F.col("doc_id").alias("key"), "split")
-    layers = {"original": names, "clean_test_protected": manifest.without(names, gone, ("key",)), "frozen": clean}
-    return manifest.stack({k: v.select("split", "key") for k, v in layers.items()}).groupBy("layer", "split").agg(F.count("*").alias("n"))
-
-
 @query("manifest_content_hash", f"with {SQL_DOCS}, n as (select distinct split, printf('%08d', doc_id) as name from docs) select split, sha256(string_agg(name, chr(10) order by name) || chr(10)) as sha256, count(*) as n from n group by split")
 def manifest_content_hash(spark, sf_dir):
     d = docs(spark, sf_dir, "split", F.format_string("%08d", "doc_id").alias("name"))
@@ -280,23 +196,3 @@ def adjudicate(spark, sf_dir):
     c = c.withColumns({"a": (F.col("id_a") % 10) / 10, "b": (F.col("id_b") % 10) / 10, "consensus": (F.col("id_a") + F.col("id_b")) % 5})
     c = c.withColumn("decision", s.adjudicate("relation", "result", "a", "b", "consensus"))
     return c.select("id_a", "id_b", "decision", s.recovery_eligible("relation", "decision").alias("eligible"))
-
-
-_LAYERS = f"""{_DECIDED.replace("with docs", "with docs", 1)}, gone as (select doc_id, split, max(role) as role from (select e.role, e.doc_id, x.split from e join docs x on x.doc_id = e.doc_id where role <> 'keep') group by 1, 2), clean as (select doc_id, split from docs where doc_id not in (select doc_id from gone)),
-    pre as (select doc_id, split, text as k from docs union all select doc_id, split, left(text, 60) from docs), fst as (select *, min(doc_id) over (partition by k) as f from pre), ed as (select distinct f as a, doc_id as b from fst where f <> doc_id),
-    s as (select ed.a, ed.b, x.split as sa, y.split as sb from ed join clean x on x.doc_id = ed.a join clean y on y.doc_id = ed.b), t1 as (select sb as split, b as doc_id from s where sa='test' and sb<>'test' union select sa, a from s where sb='test' and sa<>'test'),
-    alive as (select * from s where a not in (select doc_id from t1) and b not in (select doc_id from t1)), t2 as (select b as doc_id from alive where sa='val' and sb not in ('val','test') union select a from alive where sb='val' and sa not in ('val','test')),
-    c1 as (select * from clean where doc_id not in (select doc_id from t1)), c2 as (select * from c1 where doc_id not in (select doc_id from t2)),
-    u as (select 'original' as layer, split from docs union all select 'exclude_exact', split from gone where role='exclude' union all select 'quarantine_exact', split from gone where role='quarantine' union all select 'clean_exact', split from clean union all select 'clean_test_protected', split from c1 union all select 'frozen', split from c2)"""
-
-
-@query("curated_layers", f"{_LAYERS} select layer, split, count(*) as n from u group by 1, 2")
-def curated_layers(spark, sf_dir):
-    """The whole curation: exact duplicates by annotation, then leakage against test and val."""
-    from .curation import layered_manifest
-
-    d = docs(spark, sf_dir, "doc_id", "split")
-    e = _edges(spark, sf_dir)
-    for x in "ab":
-        e = e.join(d.select(F.col("doc_id").alias(x), F.col("split").alias(f"split_{x}")), x)
-    return layered_manifest(d, _compared(spark, sf_dir), e, "doc_id").groupBy("layer", "split").agg(F.count("*").alias("n"))

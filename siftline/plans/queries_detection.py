@@ -120,18 +120,19 @@ def annotation_scores(spark, sf_dir):
     return ensemble.score_annotations(gts.join(agreed, "image"), "truths", "found").select("image", "annotation.*")
 
 
-_RUN = f"with {SQL_BOX}, x as (select bid, img, cls, conf, case when bid % 50 = 0 then 0 else 1 end as same from box where w > 0 and h > 0 and bid % 5 = 0)"
+_RUN = _GREEDY.replace("with box", "with recursive box", 1).replace("a as (select * from box where side = 'F'), b as (select * from box where side = 'O')", """b as (select * from box where w > 0 and h > 0), a as (select bid, img, cls, conf + (bid % 3) / 1000000.0 as conf, x1 + gap as x1, y1, x2 + gap as x2, y2 from (select *, case when bid % 50 = 0 then 9.0 else w * 0.002 end as gap from b))""").replace("iou >= 0.5", "iou >= 0.95")
 
 
-@query("run_agreement", f"""{_RUN} select count(*) as n_a, count(*) as n_b, cast(sum(same) as bigint) as matched, round(sum(same) / count(*), 8) as match_rate, 1.0::double as mean_iou, round(max(case when same = 1 then bid % 3 / 1000000.0 end), 8) as max_conf_delta from x""")
+@query("run_agreement", f"""{_RUN}, hit as (select w.iou, abs(b.conf - a.conf) as gap from walk w join b on b.bid = w.pred_id join a on a.bid = w.gt_id where w.gt_id is not null), n as (select count(*) as n from b)
+    select n as n_a, n as n_b, count(*) as matched, round(count(*) / n, 8) as match_rate, round(avg(iou), 8) as mean_iou, round(avg(gap), 8) as mean_conf_delta, round(max(gap), 8) as max_conf_delta from hit, n group by n""")
 def run_agreement(spark, sf_dir):
-    a = boxes(spark, sf_dir).where("w > 0 and h > 0 and bid % 5 = 0").withColumnRenamed("bid", "id")
-    # run b: the same boxes, every tenth moved away, confidences a little off; each box is an image of its own
-    away = F.struct(*((F.col(f"box.{c}") + 9).alias(c) for c in ("x1", "y1", "x2", "y2")))
-    b = a.withColumns({"box": F.when(F.col("id") % 50 == 0, away).otherwise(F.col("box")), "conf": F.col("conf") + (F.col("id") % 3) / 1_000_000})
-    keyed = lambda d: d.withColumn("one", F.col("id"))
-    out = evaluate.agreement(keyed(a), keyed(b), ["one"])
-    return out.select("n_a", "n_b", "matched", F.round("match_rate", 8).alias("match_rate"), F.round("mean_iou", 8).alias("mean_iou"), F.round("max_conf_delta", 8).alias("max_conf_delta"))
+    a = boxes(spark, sf_dir).where("w > 0 and h > 0").withColumnRenamed("bid", "id")
+    # run b: the same boxes a little aside, every fiftieth moved away, confidences a little off
+    gap = F.when(F.col("id") % 50 == 0, 9.0).otherwise(F.col("w") * 0.002)
+    aside = F.struct(*((F.col(f"box.{c}") + gap if c[0] == "x" else F.col(f"box.{c}")).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    b = a.withColumns({"box": aside, "conf": F.col("conf") + (F.col("id") % 3) / 1_000_000})
+    out = evaluate.agreement(a, b, ["img", "cls"])
+    return out.select("n_a", "n_b", "matched", *(F.round(c, 8).alias(c) for c in ("match_rate", "mean_iou", "mean_conf_delta", "max_conf_delta")))
 
 
 @query("equivalence_gate", "select true as counts_equal, true as delta_small, 'PASS' as verdict, 0.0::double as max_delta")
@@ -202,7 +203,7 @@ def ensemble_votes(spark, sf_dir):
     return v.select("image", *(F.col(c).cast("long").alias(c) for c in long), F.col("fire_votes").cast("long").alias("fire_votes"), F.col("smoke_votes").cast("long").alias("smoke_votes"), "consensus_class", "severity", F.round("hardness", 8).alias("hardness"))
 
 
-_SAMPLES = """x as (select d.doc_id, n_chars, l.quality = 0 as positive, (n_chars % 1000) / 50.0 as score, case d.lang when 'en' then 'stable' when 'fr' then 'fire_only' else 'smoke_only' end as grp, d.doc_id % 3 as votes, (n_chars % 300) / 100.0 as support, d.doc_id % 2 = 0 as present from documents d join labels l using (doc_id))"""
+_SAMPLES = """x as (select d.doc_id, n_chars, l.quality = 0 as positive, (n_chars % 1000) / 50.0 as score, case d.lang when 'en' then 'stable' when 'fr' then 'fire_only' else 'smoke_only' end as grp from documents d join labels l using (doc_id))"""
 _RATIOS = "case when tp+fp=0 then 0 else tp/(tp+fp) end as precision, case when tp+fn=0 then 0 else tp/(tp+fn) end as recall, (tp+tn)/(tp+fp+tn+fn) as accuracy"
 _F2 = "case when 4*precision+recall=0 then 0 else 5*precision*recall/(4*precision+recall) end as f_beta"
 
@@ -210,7 +211,7 @@ _F2 = "case when 4*precision+recall=0 then 0 else 5*precision*recall/(4*precisio
 def _samples(spark, sf_dir):
     d = docs(spark, sf_dir, "doc_id", "n_chars", "lang").join(read(spark, sf_dir, "labels"), "doc_id")
     grp = F.when(F.col("lang") == "en", "stable").when(F.col("lang") == "fr", "fire_only").otherwise("smoke_only")
-    return d.select("doc_id", (F.col("quality") == 0).alias("positive"), ((F.col("n_chars") % 1000) / 50).alias("score"), grp.alias("grp"), (F.col("doc_id") % 3).alias("votes"), ((F.col("n_chars") % 300) / 100).alias("support"), (F.col("doc_id") % 2 == 0).alias("present"))
+    return d.select("doc_id", (F.col("quality") == 0).alias("positive"), ((F.col("n_chars") % 1000) / 50).alias("score"), grp.alias("grp"))
 
 
 _CONF = "count(*) filter (where {f} and positive) as tp, count(*) filter (where {f} and not positive) as fp, count(*) filter (where not {f} and not positive) as tn, count(*) filter (where not {f} and positive) as fn"
@@ -232,11 +233,25 @@ def threshold_calibration(spark, sf_dir):
     return best.select("grid_index", "threshold", "tp", "fp", "tn", "fn", F.round("f_beta", 8).alias("f_beta"))
 
 
-@query("ensemble_rule_grid", f"with {_SAMPLES}, g as (select i * 6 + j as grid_index, i * 0.4::double as add, j * 0.3::double as keep from range(0, 6) a(i), range(0, 6) b(j)), c as (select grid_index, add, keep, {_CONF.format(f='(case when present then support < keep else votes >= 2 and support >= add end)')} from x, g group by 1, 2, 3), m as (select *, {_RATIOS} from c), f as (select *, {_F2} from m) select grid_index, round(add, 6) as add, round(keep, 6) as keep, tp, fp, tn, fn, round(f_beta, 8) as f_beta from f")
+_GRID = {"vote_conf": [0.10, 0.15, 0.20, 0.25, 0.30, 0.35], "missing": [0.25, 0.30, 0.35, 0.40, 0.45, 0.50], "unsupported": [0.05, 0.10, 0.15, 0.20, 0.25]}
+_AXIS = "{0}_axis as (select unnest({1}::double[]) as {0}, unnest(range({2})) as {0}_i)"
+_WEIGHED = " + ".join(f"{w} * {{0}}[{i + 1}]" for i, w in enumerate(s.MODEL_WEIGHTS.values()))
+_FLAG = "(case when {p} then {w} < unsupported else len(list_filter({c}, lambda y: y >= vote_conf)) >= 2 and {w} >= missing end)"
+
+
+@query("ensemble_rule_grid", f"""with c as (select user_id as image, event_type, least(1.0, value / 300.0) as conf, event_id % 2 as cls from events), q as (select image, {", ".join(f"[{', '.join(f"coalesce(max(conf) filter (where cls = {k} and event_type = '{t}'), 0)" for t in _MODELS.values())}] as c{k}" for k in (0, 1))} from c group by 1),
+    z as (select image, image % 3 = 0 as p0, image % 3 = 1 as p1, image % 4 = 0 as positive, c0, c1, {_WEIGHED.format("c0")} as w0, {_WEIGHED.format("c1")} as w1 from q), {", ".join(_AXIS.format(n, v, len(v)) for n, v in _GRID.items())},
+    g as (select (vote_conf_i * 6 + missing_i) * 5 + unsupported_i as grid_index, vote_conf, missing, unsupported from vote_conf_axis, missing_axis, unsupported_axis), x as (select g.*, positive, {_FLAG.format(p="p0", w="w0", c="c0")} or {_FLAG.format(p="p1", w="w1", c="c1")} as flagged from z, g),
+    k as (select grid_index, vote_conf, missing, unsupported, {_CONF.format(f="flagged")} from x group by 1, 2, 3, 4), m as (select *, {_RATIOS} from k), f as (select *, {_F2} from m) select grid_index, vote_conf, missing, unsupported, tp, fp, tn, fn, round(f_beta, 8) as f_beta from f""")
 def ensemble_rule_grid(spark, sf_dir):
-    grid = calibrate.grid(spark, add=[i * 0.4 for i in range(6)], keep=[j * 0.3 for j in range(6)])
-    out = calibrate.ensemble_rule(_samples(spark, sf_dir), grid)
-    return out.select("grid_index", F.round("add", 6).alias("add"), F.round("keep", 6).alias("keep"), "tp", "fp", "tn", "fn", F.round("f_beta", 8).alias("f_beta"))
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("image"), "event_type", F.least(F.lit(1.0), F.col("value") / 300).alias("conf"), (F.col("event_id") % 2).alias("cls"))
+    most = lambda k, t: F.coalesce(F.max(F.when((F.col("cls") == k) & (F.col("event_type") == t), F.col("conf"))), F.lit(0.0))
+    per = e.groupBy("image").agg(F.array(*(F.array(*(most(k, t) for t in _MODELS.values())) for k in (0, 1))).alias("confs"))
+    weighted = F.transform("confs", lambda c: sum((w * c[i] for i, w in enumerate(list(s.MODEL_WEIGHTS.values())[1:], 1)), s.MODEL_WEIGHTS["n"] * c[0]))
+    image = F.col("image")
+    samples = per.select("confs", weighted.alias("weighted"), F.array(image % 3 == 0, image % 3 == 1).alias("present"), (image % 4 == 0).alias("positive"))
+    out = calibrate.ensemble_rule(samples, calibrate.grid(spark, **_GRID))
+    return out.select("grid_index", *_GRID, "tp", "fp", "tn", "fn", F.round("f_beta", 8).alias("f_beta"))
 
 
 _GROUPED = f"""with {_SAMPLES}, t as (select i, i * 0.5::double as threshold from range(0, 42) r(i)), p as (select grp, i, threshold, {_CONF.format(f='(score >= threshold)')} from x, t group by 1, 2, 3),
@@ -320,9 +335,9 @@ def split_lookup(spark, sf_dir):
     return lookup.with_default(read(spark, sf_dir, "labels"), known, "doc_id", "lang").groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("pair_lookup_failures", "with p as (select doc_id as a, doc_id + 7 as b from documents where doc_id % 3 = 0) select count(*) as pairs, count(*) filter (where x.doc_id is null or y.doc_id is null) as failures from p left join labels x on x.doc_id = a left join labels y on y.doc_id = b")
+@query("pair_lookup_failures", "with p as (select doc_id as a, doc_id + 7 as b from documents) select count(*) as pairs, count(*) filter (where x.doc_id is null or y.doc_id is null) as failures from p left join labels x on x.doc_id = a left join labels y on y.doc_id = b")
 def pair_lookup_failures(spark, sf_dir):
-    pairs = docs(spark, sf_dir, "doc_id").where("doc_id % 3 = 0").select(F.col("doc_id").alias("doc_id_a"), (F.col("doc_id") + 7).alias("doc_id_b"))
+    pairs = docs(spark, sf_dir, "doc_id").select(F.col("doc_id").alias("doc_id_a"), (F.col("doc_id") + 7).alias("doc_id_b"))
     return lookup.failures(lookup.both_sides(pairs, read(spark, sf_dir, "labels"), "doc_id", ["quality"]))
 
 
