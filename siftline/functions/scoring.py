@@ -243,5 +243,19 @@ def path_extension(path) -> Column:
     return F.lower(F.regexp_extract(col(path), r"(\.[^./\\]*)$", 1))
 
 
+def path_key(path, root: str = "/") -> Column:
+    """An absolute path with forward slashes, without ``.`` and empty parts; ``..`` takes back the part before it."""
+    plain = F.regexp_replace(col(path), r"\\", "/")
+    whole = F.when(plain.startswith("/"), plain).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), plain))
+    parts = F.filter(F.split(whole, "/"), lambda p: ~p.isin("", "."))
+    up = lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/"))
+
+
+def iso_time(time) -> Column:
+    """A timestamp as ISO text to the second, in the session's time zone."""
+    return F.date_format(col(time), "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def parent_path(path) -> Column:
     return F.regexp_extract(col(path), r"^(.*)[/\\][^/\\]*$", 1)

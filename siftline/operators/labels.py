@@ -130,6 +130,17 @@ def inventory(boxes: DataFrame, key: str = "stem") -> DataFrame:
     return rows.withColumn("has_fire_smoke", ((F.col("fire_total") > 0) & (F.col("smoke_total") > 0)).cast("int"))
 
 
+def empty_labels(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Rows whose label text holds nothing but white space: images without objects."""
+    return texts.where(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")) == "")
+
+
+def with_hashes(rows: DataFrame, hashes: DataFrame, columns=("phash", "dhash"), key: str = "stem") -> DataFrame:
+    """Inventory rows with their hashes; an image without any has empty ones."""
+    joined = rows.join(hashes.select(key, *columns), key, "left")
+    return joined.fillna("", list(columns))
+
+
 def large_boxes(boxes: DataFrame, least: float = g.HUGE_AREA, digits: int = 4) -> DataFrame:
     """Boxes whose area share is above a bound, with half-even rounding."""
     return boxes.where(F.col("share") > least).withColumn("share_rounded", F.bround("share", digits))

@@ -80,6 +80,16 @@ def review_decisions(rows: DataFrame, decisions: DataFrame, key: str = "image")
     return rows.join(known, key, "left")
 
 
+def update_queue(queue: DataFrame, changes: DataFrame, key: str = "image", columns=("status", "note"), order: str = "at") -> DataFrame:
+    """A review queue after its changes: the latest change of a row sets its columns; changes of unknown rows are ignored.
+
+    The queue is a table: write the result beside it and put it in its place.
+    """
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_c"))
+    joined = queue.join(last, key, "left")
+    return joined.select(*(F.coalesce(F.col("_c")[c], F.col(c)).alias(c) if c in columns else c for c in queue.columns))
+
+
 def included(rows: DataFrame, plain: list[str], category: str = "category", status: str = "status") -> DataFrame:
     """``rows`` with include and why: by category, or by approval."""
     by_kind, by_hand = F.col(category).isin(*plain), F.coalesce(F.col(status) == "approve", F.lit(False))

@@ -186,13 +186,28 @@ def pixel_metrics(pairs: DataFrame, thumbs: DataFrame) -> DataFrame:
     return out.drop("_ga", "_gb", "_ca", "_cb")
 
 
+def linear_resize(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear resizing with pixel centres at one half, edges repeated; an image of bytes gives rounded bytes."""
+
+    def ends(n: int, m: int):
+        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    (t, b, fy), (le, r, fx) = ends(x.shape[0], height), ends(x.shape[1], width)
+    wide = (slice(None),) + (None,) * (x.ndim - 2)
+    y = x.astype(np.float64)
+    y = y[t] * (1 - fy)[(slice(None),) + (None,) * (x.ndim - 1)] + y[b] * fy[(slice(None),) + (None,) * (x.ndim - 1)]
+    y = y[:, le] * (1 - fx)[wide] + y[:, r] * fx[wide]
+    return np.floor(y + 0.5).astype(x.dtype) if x.dtype == np.uint8 else y
+
+
 def letterbox(image: np.ndarray, side: int = 768, fill: int = 114) -> tuple[np.ndarray, float, tuple[int, int]]:
     """A square float image (channels first, RGB, [0, 1]), its scale and its left and top padding."""
     h, w = image.shape[:2]
     scale = min(side / h, side / w)
     nh, nw = round(h * scale), round(w * scale)
-    y, x = (np.clip(((np.arange(m) + 0.5) / scale - 0.5).round().astype(int), 0, n - 1) for m, n in ((nh, h), (nw, w)))
-    small = image[y][:, x]
+    small = image if (nh, nw) == (h, w) else linear_resize(image, nh, nw)
     top, left = round((side - nh) / 2 - 0.1), round((side - nw) / 2 - 0.1)
     out = np.full((side, side, 3), fill, np.uint8)
     out[top : top + nh, left : left + nw] = small

@@ -17,6 +17,8 @@ from ..functions.scoring import path_extension, path_stem
 from . import schemas
 
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
+#: Of these the built-in image source decodes all but the last.
+DECODED_EXTENSIONS = IMAGE_EXTENSIONS[:-1]
 
 
 def _paths(path) -> list[str]:

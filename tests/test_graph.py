@@ -28,6 +28,13 @@ def test_components_match_union_find(spark):
     assert {r.node: r.component for r in got} == brute(edges)
 
 
+def test_components_of_names(spark):
+    random.seed(4)
+    edges = [(f"n{random.randrange(80):03d}", f"n{random.randrange(80):03d}") for _ in range(60)] + [("a1", "b2"), ("b2", "ü"), (None, "x")]
+    got = connected_components(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()
+    assert {r.node: r.component for r in got} == brute(edges)
+
+
 def test_components_of_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 

@@ -98,6 +98,15 @@ def test_image_hashes_and_letterbox():
     low = [[sum(small[i, j] * np.cos(np.pi * (2 * i + 1) * u / 64) * np.cos(np.pi * (2 * j + 1) * v / 64) for i in n for j in n) * (2**-0.5 if u == 0 else 1) * (2**-0.5 if v == 0 else 1) / 16 for v in range(8)] for u in range(8)]
     flat = np.array(low).ravel()
     assert f"{similarity.phash64(x):064b}" == "".join("1" if v > np.median(flat[1:]) else "0" for v in flat)
+    for shape, to in (((7, 5, 3), (4, 9)), ((6, 8), (6, 3)), ((3, 3), (10, 10))):
+        img = rng.integers(0, 255, shape, dtype=np.uint8)
+        hat = lambda n, m: np.array([[max(0, 1 - abs(min(max((i + 0.5) * n / m - 0.5, 0), n - 1) - k)) for k in range(n)] for i in range(m)])
+        want = np.einsum("ia,jb,ab...->ij...", hat(shape[0], to[0]), hat(shape[1], to[1]), img.astype(float))
+        assert np.abs(similarity.linear_resize(img.astype(float), *to) - want).max() < 1e-9
+        assert np.abs(similarity.linear_resize(img, *to).astype(float) - want).max() <= 0.5 + 1e-9
+    raw = np.array([[5, 5, 2, 2, 0.9, 0.1], [1, 1, 2, 2, 0.2, 0.2], [3, 4, 1, 1, 0.1, 0.6]]).T
+    boxes, conf, cls = similarity.decode_head(raw, 0.3)
+    assert boxes.tolist() == [[4, 4, 6, 6], [2.5, 3.5, 3.5, 4.5]] and conf.tolist() == [0.9, 0.6] and cls.tolist() == [0, 1]
     out, scale, (left, top) = similarity.letterbox(rng.integers(0, 255, (100, 200, 3), dtype=np.uint8), 64)
     assert out.shape == (3, 64, 64) and scale == 0.32 and (left, top) == (0, 16)
 
@@ -194,3 +203,27 @@ def test_geometry(spark):
     df = spark.createDataFrame([(0.1, 0.5, 0.4, 0.2)], "xc double, yc double, w double, h double").withColumn("b", g.corners("xc", "yc", "w", "h"))
     r = df.select(g.overflow("b").alias("o"), g.centre(g.clipped("b")).alias("c"), g.iou("b", "b").alias("i"), g.size_bucket(F.lit(0.005)).alias("z"), g.aspect_difference(F.lit(2.0), F.lit(1.0)).alias("a"), s.relation(F.lit("test"), F.lit("train")).alias("r"), s.component_type(F.array(F.lit("val"), F.lit("train"))).alias("t")).first()
     assert (round(r.o, 9), round(r.c.w, 9), r.i, r.z, r.a, r.r, r.t) == (0.1, 0.3, 1.0, "medium", 0.5, "train_test", "train_val")
+
+
+def test_filters_reach_the_scan_of_a_table(spark, tmp_path):
+    from siftline.sources import readers, schemas, sinks
+
+    rows = spark.createDataFrame([("a", "train", 4, 3, 1.25, "0f", "f0"), ("b", "val", 4, 3, 1.5, "01", "10")], schemas.HASHES)
+    sinks.write_csv(rows, str(tmp_path / "h"), digits={"aspect": 3})
+    plan = readers.csv(spark, str(tmp_path / "h"), schemas.HASHES).where("split = 'val'").select("stem")._jdf.queryExecution().toString()
+    assert "EqualTo(split,val)" in plan and "ReadSchema: struct<stem:string,split:string>" in plan
+    assert readers.hashes(spark, str(tmp_path / "h")).where("split = 'val'").first().p == 1
+
+
+def test_agreement_chooses_among_several(spark):
+    from siftline.operators import evaluate
+
+    box = lambda x: (x, 0.0, x + 1, 1.0)
+    kind = "img int, id int, conf double, box struct<x1:double,y1:double,x2:double,y2:double>"
+    a = spark.createDataFrame([(1, 1, 0.9, box(0.0)), (1, 2, 0.8, box(0.01)), (1, 3, 0.7, box(5.0)), (2, 4, 0.5, box(0.0))], kind)
+    b = spark.createDataFrame([(1, 11, 0.85, box(0.01)), (1, 12, 0.6, box(0.02)), (1, 13, 0.7, box(9.0))], kind)
+    r = evaluate.agreement(a, b, ["img"]).first()
+    # the surest takes the nearest, the second what is left
+    assert (r.n_a, r.n_b, r.matched, r.match_rate) == (4, 3, 2, 0.5)
+    assert abs(r.max_conf_delta - 0.2) < 1e-9 and abs(r.mean_conf_delta - 0.125) < 1e-9
+    assert evaluate.agreement(a.where("img = 2"), b, ["img"]).first().max_conf_delta == float("inf")
