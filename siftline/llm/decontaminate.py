@@ -7,8 +7,8 @@ words as hit; an item shorter than the window is hit where all of it occurs.
 
 Items are split into blocks of at most ``block_words`` words, each with its own
 automaton: what a task holds is bounded however many items there are.  One block
-is one pass over the documents; the marks of several blocks are merged per
-document.  Within a document only runs of benchmark words that are long enough to
+is one pass over the texts, which writes only the marks of texts with a hit; the
+marks of several blocks are merged by the text's hash.  Within a document only runs of benchmark words that are long enough to
 hold a window reach the automaton, which is exact: a window has no other words.
 
 Normalisation: A-Z lower-cased; words are runs of ``0-9 a-z`` and of characters
@@ -29,9 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from ..plans.storage import stored
+from .columns import free_name
 
 _WORD = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or c in _WORD else 32 for c in range(256))
@@ -178,48 +178,63 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _passes(docs: DataFrame, text_col: str, benchmark: DataFrame, item_id: str, item_text: str, window: int, block_words: int, finish, schema) -> DataFrame:
     """Stream ``docs`` through one automaton after another.
 
-    Each pass but the last adds the marks so far and writes the table, so a task
-    never holds more than one automaton; ``finish(batch, texts, n_words, spans,
-    items)`` makes the result's batch of the last.
+    Each pass but the last reads the texts alone and writes the marks of those with
+    a hit, by two hashes of the text, since equal texts have equal marks; the last
+    pass joins them, so a task never holds more than one automaton and texts are never
+    written.  ``finish(batch, texts, n_words, spans, items)`` makes the result's batch.
     """
     spark, names = docs.sparkSession, docs.columns
-    carried = "_marks"
-    while carried in names:
-        carried += "_"
     blocks = _blocks(benchmark, item_id, item_text, block_words)
-    block, source = next(blocks, []), docs
-    at = names.index(text_col)
-    while True:
-        following = next(blocks, None)
+    block, earlier = next(blocks, []), []
+    key = lambda text: [F.xxhash64(text).alias("_h"), F.xxhash64(text, F.lit(1)).alias("_g")]
+    for following in blocks:
         shipped = spark.sparkContext.broadcast(Automaton(block, window))
 
-        def run(batches, shipped=shipped, last=following is None):
+        def mark(batches, shipped=shipped):
             automaton = shipped.value
             for b in batches:
-                before = b.column(len(names)).to_pylist() if b.num_columns > len(names) else repeat(None)
-                texts, n_words, spans, items = [], [], [], []
-                for t, old in zip(b.column(at), before, strict=False):
-                    texts.append(t.as_py())
-                    words = words_of(texts[-1])
-                    n_words.append(len(words))
-                    hit, found = automaton.scan(words)
-                    if old:
-                        hit = _merged(hit + [(x["start"], x["end"]) for x in old["spans"]])
-                        found |= set(old["items"])
-                    spans.append(hit)
-                    items.append(sorted(x for x in found if x is not None))
-                b = b.select(range(len(names)))
-                if last:
-                    yield finish(b, texts, n_words, spans, items)
-                else:
-                    marks = pa.StructArray.from_arrays([pa.array([_structs(x) for x in spans], _SPANS), pa.array(items, pa.list_(pa.string()))], ["spans", "items"])
-                    yield pa.record_batch([*b.columns, marks], names=[*names, carried])
-
-        if following is None:
-            return source.mapInArrow(run, schema)
-        marks = StructField(carried, StructType.fromDDL(f"spans {_SPANS_SQL}, items array<string>"))
-        source = stored(source.mapInArrow(run, StructType([*docs.schema.fields, marks])), "marks")
+                out = []
+                for h, g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                    spans, found = automaton.scan(words_of(t.as_py()))
+                    if spans or found:
+                        out.append({"_h": h, "_g": g, "spans": _structs(spans), "items": sorted(x for x in found if x is not None)})
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, pa.schema([("_h", pa.int64()), ("_g", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string()))]))
+
+        marks = docs.where(F.col(text_col).isNotNull()).select(*key(text_col), F.col(text_col)).mapInArrow(mark, f"_h long, _g long, spans {_SPANS_SQL}, items array<string>")
+        earlier.append(stored(marks.dropDuplicates(["_h", "_g"]), "marks"))
         block = following
+    shipped = spark.sparkContext.broadcast(Automaton(block, window))
+    at, source = names.index(text_col), docs
+    if earlier:
+        every = earlier[0]
+        for m in earlier[1:]:
+            every = every.unionByName(m)
+        # at most one entry for each block
+        every = every.groupBy("_h", "_g").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        rows = docs.select(F.struct(*names).alias("_row"), *key(text_col))
+        source = rows.join(every, ["_h", "_g"], "left").select(*(F.col("_row")[c].alias(c) for c in names), F.struct("spans", "items").alias(free_name(docs, "marks")))
+
+    marked = bool(earlier)
+
+    def run(batches):
+        automaton = shipped.value
+        for b in batches:
+            before = b.column(len(names)).to_pylist() if marked else repeat(None)
+            texts, n_words, spans, items = [], [], [], []
+            for t, old in zip(b.column(at), before, strict=False):
+                texts.append(t.as_py())
+                words = words_of(texts[-1])
+                n_words.append(len(words))
+                hit, found = automaton.scan(words)
+                if old and old["spans"] is not None:
+                    hit = _merged(hit + [(x["start"], x["end"]) for x in old["spans"]])
+                    found |= set(old["items"])
+                spans.append(hit)
+                items.append(sorted(x for x in found if x is not None))
+            yield finish(pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names), texts, n_words, spans, items)
+
+    return source.mapInArrow(run, schema)
 
 
 def _structs(spans) -> list[dict]:

@@ -68,6 +68,8 @@ def test_removal(spark):
     bench = spark.createDataFrame([("q", item)], "item_id string, text string")
     got = {r.doc_id: r.text for r in dc.remove_spans(docs, bench, window=4).collect()}
     assert got == {2: "clean text", 3: None, 4: "Aa, ! " + "w " * 100}
+    both = bench.union(spark.createDataFrame([("r", "six seven eight nine ten eleven")], bench.schema))
+    assert {r.doc_id: r.text for r in dc.remove_spans(docs, both, window=4, block_words=5).collect()} == got
     assert dc.remove_spans(docs, bench.limit(0)).count() == 4
     assert dc.remove_spans(docs.limit(0), bench).count() == 0
 
@@ -81,3 +83,15 @@ def test_query_matches_brute_force(spark):
         assert (r.n_words, r.n_hit, r.n_items) == (n, len(hit), len(names))
         assert r.items_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
         assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= n)
+
+
+def test_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(40))
+    words = [f"w{i % 997}" for i in range(60_000)]
+    words[50_000:50_040] = item.split()
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words)), (2, "q1 q2")], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", item), ("b", "w1 w2 w3 w4")], "item_id string, text string")
+    for block in (500_000, 10):
+        rows = sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in dc.contamination(docs, bench, block_words=block).collect())
+        n, hit, _ = brute(" ".join(words), [("a", item), ("b", "w1 w2 w3 w4")], 13)
+        assert rows == [(1, n, len(hit), ["a", "b"]), (2, 2, 0, []), (2, n, len(hit), ["a", "b"])]
