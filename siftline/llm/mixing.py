@@ -91,16 +91,24 @@ def posteriors(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "
     return known.unionByName(blank)
 
 
-def fit_rates(points: DataFrame, targets: list[float], budget: float | None = None, ceiling: float | None = None, floor="0", steps: int = 60, tolerance: float = 1e-4) -> DataFrame:
+def fit_rates(points: DataFrame, targets: list[float], budget: float | None = None, ceiling: float | None = None, floor="0", steps: int = 60, tolerance: float = 1e-4, grain: int = 256) -> DataFrame:
     """``points`` (n_tokens, p) with ``rate``.
 
     ``targets``: weights by place in p.  ``ceiling`` bounds the rates (1 where no
     budget is given), ``floor`` is an SQL expression for the smallest rate of a row.  Stops when the residual is below ``tolerance`` of the total
     or has not shrunk for some steps.
+
+    A rate follows from p and the residuals of all steps, so the steps are taken on
+    bins of alike p (``grain`` to each share, with the exact sums of what they hold), and
+    every row's own p then follows them in one pass.  Should that miss the targets by more than
+    the bins did, further steps are taken on all rows.
     """
     k = range(len(targets))
     share = lambda r: [F.coalesce(F.sum(r * F.col("n_tokens") * F.col("p")[i]), F.lit(0.0)).alias(f"t{i}") for i in k]
-    natural = list(points.agg(*share(F.lit(1.0))).first())
+    binned = points.where("n_tokens > 0").groupBy(F.transform("p", lambda x: F.round(x * grain).cast("int")).alias("bin"))
+    total = F.sum("n_tokens")
+    bins = stored(binned.agg(F.array(*(F.sum(F.col("n_tokens") * F.col("p")[i]) / total for i in k)).alias("p"), total.alias("n_tokens")).drop("bin"), "bins")
+    natural = list(bins.agg(*share(F.lit(1.0))).first())
     scale = sum(targets[i] for i in k if natural[i] > 0)
     if not sum(natural) or not scale:
         return points.withColumn("rate", F.lit(1.0))
@@ -112,25 +120,47 @@ def fit_rates(points: DataFrame, targets: list[float], budget: float | None = No
     # a document's own step: the reciprocal of its expected share of the natural totals
     own = sum((F.col("p")[i] * natural[i] for i in k), F.lit(0.0)) + F.lit(1e-9)
     start = F.lit(min(1.0, ceiling) if ceiling is not None else 1.0)
-    current = points.withColumns({"rate": start, "ahead": start})
-    best, stalled, momentum = float("inf"), 0, 1.0
-    for step in range(steps):
-        at = list(current.agg(*share(F.col("ahead"))).first())
-        gap = [a - b for a, b in zip(at, goal, strict=True)]
-        size = math.sqrt(sum(g * g for g in gap)) / budget
-        stalled = 0 if size < best * 0.999 else stalled + 1
-        best = min(best, size)
-        if size < tolerance or stalled >= 8:
-            break
-        moved = F.greatest(F.expr(floor).cast("double"), F.col("ahead") - sum((F.col("p")[i] * gap[i] for i in k), F.lit(0.0)) / own)
-        moved = moved if ceiling is None else F.least(F.lit(float(ceiling)), moved)
-        # accelerated: the next gradient is taken ahead of the step
-        following = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
-        pull, momentum = (momentum - 1) / following, following
-        current = current.withColumn("next", moved).withColumn("ahead", F.col("next") + pull * (F.col("next") - F.col("rate"))).withColumn("rate", F.col("next")).drop("next")
-        if step % 6 == 5:
-            current = stored(current, "rates")  # else the expression grows with the steps
-    return current.drop("ahead")
+
+    def residual(rows: DataFrame, rate: str) -> tuple[list[float], float]:
+        gap = [a - b for a, b in zip(rows.agg(*share(F.col(rate))).first(), goal, strict=True)]
+        return gap, math.sqrt(sum(g * g for g in gap)) / budget
+
+    def moved(ahead, gap):
+        out = F.greatest(F.expr(floor).cast("double"), ahead - sum((F.col("p")[i] * gap[i] for i in k), F.lit(0.0)) / own)
+        return out if ceiling is None else F.least(F.lit(float(ceiling)), out)
+
+    def descend(current: DataFrame) -> tuple[DataFrame, list, float]:
+        """Accelerated steps from the rates given: the next gradient is taken ahead of the step."""
+        current, path = current.withColumn("ahead", F.col("rate")), []
+        best, stalled, momentum = float("inf"), 0, 1.0
+        for step in range(steps):
+            gap, size = residual(current, "ahead")
+            stalled = 0 if size < best * 0.999 else stalled + 1
+            best = min(best, size)
+            if size < tolerance or stalled >= 8:
+                break
+            following = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
+            pull, momentum = (momentum - 1) / following, following
+            path.append((gap, pull))
+            current = current.withColumn("next", moved(F.col("ahead"), gap)).withColumn("ahead", F.col("next") + pull * (F.col("next") - F.col("rate"))).withColumn("rate", F.col("next")).drop("next")
+            if step % 6 == 5:
+                current = stored(current, "rates")  # else the expression grows with the steps
+        return current.drop("ahead"), path, best
+
+    fitted, path, _ = descend(bins.withColumn("rate", start))
+    if not path:
+        return points.withColumn("rate", start)
+    _, reached = residual(fitted, "rate")
+    taken = F.array(*(F.struct(F.array(*map(F.lit, gap)).alias("gap"), F.lit(pull).alias("pull")) for gap, pull in path))
+
+    def follow(state, x):
+        to = moved(state["ahead"], x["gap"])
+        return F.struct(to.alias("rate"), (to + x["pull"] * (to - state["rate"])).alias("ahead"))
+
+    zero = F.struct(start.cast("double").alias("rate"), start.cast("double").alias("ahead"))
+    out = stored(points.withColumn("rate", F.aggregate(taken, zero, follow, lambda state: state["rate"])), "rates")
+    _, missed = residual(out, "rate")
+    return descend(out)[0] if missed > reached + 10 * tolerance else out
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, domain_col: str = "domain", id_col: str = "doc_id", text_col: str = "text", budget: float | None = None, ceiling: float | None = None, max_examples: int = 20_000, protect: str | None = None, seed: int = 7) -> DataFrame:
