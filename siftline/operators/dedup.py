@@ -135,6 +135,44 @@ def removals(decisions: DataFrame, key: str = "stem") -> DataFrame:
     return out
 
 
+def _class_pairs(items: DataFrame, group: str, key: str, split: str, boxes: str, safe=SAFE) -> tuple[DataFrame, DataFrame]:
+    """Members by class (group, split and annotation), and the ordered pairs of classes of a group, a class with itself included.
+
+    How two members compare follows from their classes, so copies are counted and
+    never paired: the work grows with the members and with the kinds of
+    annotation in a group.
+    """
+    classes = items.groupBy(group, split, boxes).agg(F.count("*").alias("n"), F.min(key).alias("lo"))
+    side = lambda x: classes.select(group, *(F.col(c).alias(f"{c}_{x}") for c in (split, boxes, "n", "lo")))
+    pairs = side("a").join(side("b"), group)
+    one = F.col("lo_a") == F.col("lo_b")  # the smallest key tells classes apart
+    pairs = pairs.where(~one | (F.col("n_a") > 1)).withColumn("_one", one)
+    return classes, pairs.withColumn("result", compare_annotations(F.col(f"{boxes}_a"), F.col(f"{boxes}_b"))).withColumn("_safe", F.col("result").isin(*safe))
+
+
+def relation_matrix(items: DataFrame, group: str, key: str, split: str = "split", boxes: str = "boxes") -> DataFrame:
+    """``relation, result, n``: how many pairs of members of a group there are of each kind."""
+    _, pairs = _class_pairs(items, group, key, split, boxes)
+    n = F.when(F.col("_one"), F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b"))
+    once = pairs.where(F.col("lo_a") <= F.col("lo_b"))
+    return once.groupBy(relation(f"{split}_a", f"{split}_b").alias("relation"), "result").agg(F.sum(n.cast("long")).alias("n"))
+
+
+def member_removals(items: DataFrame, group: str, key: str, split: str = "split", boxes: str = "boxes", safe=SAFE) -> DataFrame:
+    """``removals(decide(pairs))`` without the pairs: ``key, split, role`` of the members that leave the clean layer."""
+    _, pairs = _class_pairs(items, group, key, split, boxes, safe)
+    same = F.col(f"{split}_a") == F.col(f"{split}_b")
+    lower = split_rank(f"{split}_a") < split_rank(f"{split}_b")
+    told = pairs.groupBy(group, F.col(f"{split}_a").alias(split), F.col("lo_a").alias("_lo")).agg(
+        F.bool_or(~F.col("_safe") & (same | ~lower)).alias("_held"), F.bool_or(~same & lower).alias("_out"), F.min(F.when(same & F.col("_safe"), F.col("lo_b"))).alias("_first"),
+    )
+    own = items.groupBy(F.col(group).alias("_g"), F.col(split).alias("_s"), F.col(boxes).alias("_b")).agg(F.min(key).alias("_lo"))
+    match = (F.col(group) == F.col("_g")) & (F.col(split) == F.col("_s")) & F.col(boxes).eqNullSafe(F.col("_b"))
+    members = items.join(own, match).select(group, key, split, "_lo").join(told, [group, split, "_lo"])
+    role = F.when(F.col("_held"), "quarantine").when(F.col("_out") | (F.col(key) > F.col("_first")), "exclude")
+    return members.select(key, split, role.alias("role")).where("role is not null")
+
+
 def first_per_hash(items: DataFrame, digest: str, order: list) -> DataFrame:
     """The first item of each content in the given order."""
     return items.withColumn("_r", F.row_number().over(Window.partitionBy(digest).orderBy(*order))).where("_r = 1").drop("_r")

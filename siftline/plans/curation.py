@@ -13,12 +13,12 @@ from .storage import stored
 def layered_manifest(items: DataFrame, pairs: DataFrame, edges: DataFrame, key: str = "stem") -> DataFrame:
     """``layer, split, key``: from all items to the frozen layer.
 
-    ``pairs``: compared duplicates (key_a, split_a, key_b, split_b, result);
+    ``pairs``: compared duplicates (key_a, split_a, key_b, split_b, result), or what leaves because of them (key, split, role);
     ``edges``: leakage edges (a, b, split_a, split_b).  Exact duplicates go first, then
     what touches test, then what touches val among the edges still alive.
     """
     base = items.select("split", key)
-    gone = stored(dedup.removals(dedup.decide(pairs, key), key), "removals")
+    gone = stored(pairs if "role" in pairs.columns else dedup.removals(dedup.decide(pairs, key), key), "removals")
     clean = manifest.without(base, gone, ("split", key))
     named = clean.withColumnRenamed(key, "key")
     first = stored(leakage.direct_exclusion(leakage.alive(edges, named), "test"), "test_leaks")

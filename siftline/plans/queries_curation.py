@@ -44,9 +44,16 @@ _COMPARE = f"""with {SQL_DOCS}, {SQL_ANN}, {SQL_DUP}, c as (select id_a, id_b, s
     from dup join ann x on x.doc_id = id_a join ann y on y.doc_id = id_b)"""
 
 
+def _annotated(spark, sf_dir):
+    return annotations(docs(spark, sf_dir)).withColumn("sha", F.sha2("text", 256)).select("sha", "doc_id", "split", "boxes")
+
+
+def _gone(spark, sf_dir):
+    return dedup.member_removals(_annotated(spark, sf_dir), "sha", "doc_id")
+
+
 def _compared(spark, sf_dir):
-    d = annotations(docs(spark, sf_dir)).withColumn("sha", F.sha2("text", 256)).select("sha", "doc_id", "split", "boxes")
-    pairs = dedup.member_pairs(d, "sha", "doc_id", ["split", "boxes"])
+    pairs = dedup.member_pairs(_annotated(spark, sf_dir), "sha", "doc_id", ["split", "boxes"])
     return pairs.withColumn("result", dedup.compare_annotations(F.col("boxes_a"), F.col("boxes_b"))).withColumn("relation", s.relation("split_a", "split_b"))
 
 
@@ -57,7 +64,7 @@ def dup_pair_label_compare(spark, sf_dir):
 
 @query("relation_result_matrix", f"{_COMPARE} select relation, result, count(*) as n from c group by 1, 2")
 def relation_result_matrix(spark, sf_dir):
-    return _compared(spark, sf_dir).groupBy("relation", "result").agg(F.count("*").alias("n"))
+    return dedup.relation_matrix(_annotated(spark, sf_dir), "sha", "doc_id")
 
 
 _DECIDED = f"""{_COMPARE}, r as (select *, case split_a when 'train' then 0 when 'val' then 1 else 2 end as ra, case split_b when 'train' then 0 when 'val' then 1 else 2 end as rb, result in ('exact_annotation','equivalent_annotation') as safe, split_a = split_b as same from c),
@@ -80,7 +87,7 @@ def dedup_decisions(spark, sf_dir):
     select (select count(*) from documents) as n_original, (select count(*) from documents where doc_id not in (select doc_id from gone)) as n_clean, (select count(*) from gone where role='exclude') as n_exclude, (select count(*) from gone where role='quarantine') as n_quarantine, 0 as n_lost, 0 as n_overlap, 1 as holds""")
 def manifest_accounting(spark, sf_dir):
     d = docs(spark, sf_dir, "doc_id", "split")
-    gone = dedup.removals(_decided(spark, sf_dir), "doc_id")
+    gone = _gone(spark, sf_dir)
     parts = {"clean": manifest.without(d, gone, ("doc_id",)), "exclude": gone.where("role = 'exclude'"), "quarantine": gone.where("role = 'quarantine'")}
     sizes = manifest.stack({k: v.select("doc_id") for k, v in parts.items()}).agg(*(F.count_if(F.col("layer") == k).alias(f"n_{k}") for k in parts))
     out = manifest.accounting(d, parts, "doc_id").crossJoin(F.broadcast(sizes))

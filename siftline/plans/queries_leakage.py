@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as s
 from ..operators import graph, leakage, manifest, similarity
 from .base import SQL_DOCS, docs, query, relation_sql
-from .queries_curation import _DECIDED, _compared
+from .queries_curation import _DECIDED, _gone
 from .storage import stored
 
 _H = "('0x' || substr(md5('{0}' || cast({1} as varchar)), 1, 16))::ubigint"
@@ -176,4 +176,4 @@ def curated_layers(spark, sf_dir):
 
     d = docs(spark, sf_dir, "doc_id", "split")
     e = stored(_edges(spark, sf_dir).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "split_a", "split_b"), "edges")
-    return layered_manifest(d, _compared(spark, sf_dir), e, "doc_id").groupBy("layer", "split").agg(F.count("*").alias("n"))
+    return layered_manifest(d, _gone(spark, sf_dir), e, "doc_id").groupBy("layer", "split").agg(F.count("*").alias("n"))
