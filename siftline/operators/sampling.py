@@ -21,13 +21,14 @@ def soft_diverse_top_k(rows: DataFrame, by: str, order: list, key: list[str], qu
     """First k of each group, in which repeats of a key wait behind all first ones, unless rare or without a key.
 
     Two windows do what two passes over a sorted list would: a row is deferred if
-    an earlier row has its key.
+    an earlier row has its key.  Rows without a key are spread, not ranked together.
     """
     known = F.lit(True)
     for c in key:
         known = known & F.coalesce(F.col(c) != "", F.lit(False))
-    nth = F.row_number().over(Window.partitionBy(by, *key).orderBy(*order))
-    rows = rows.withColumn("deferred", (nth > 1) & known & ~rare)
+    rows = rows.withColumn("_alone", F.monotonically_increasing_id()).withColumn("_alone", F.when(~known, F.col("_alone")))
+    nth = F.row_number().over(Window.partitionBy(by, *key, "_alone").orderBy(*order))
+    rows = rows.withColumn("deferred", (nth > 1) & known & ~rare).drop("_alone")
     return top_k(rows, [by], [F.col("deferred"), *order], quota)
 
 
@@ -50,7 +51,7 @@ def hamilton_split(rows: DataFrame, strata: list[str], share: float, key: str, s
     total = F.bround(F.col("_all") * share)
     targets = hamilton_targets(sizes, total, strata).drop("n")
     ranked = rank_within(rows, strata, [stable_rank(key, salt=salt), F.col(key)], "_rank")
-    return ranked.join(F.broadcast(targets), strata).withColumn("held_out", F.col("_rank") <= F.col("target")).drop("_rank", "target")
+    return ranked.join(targets, strata).withColumn("held_out", F.col("_rank") <= F.col("target")).drop("_rank", "target")
 
 
 def evenly_spaced(rows: DataFrame, by: str, order: list, count: int, truncate: bool = False) -> DataFrame:
@@ -74,14 +75,23 @@ def evenly_spaced(rows: DataFrame, by: str, order: list, count: int, truncate: b
 def water_fill(capacities: DataFrame, key: str, base: int, total: int, capacity: str = "capacity", order: str = "ord") -> DataFrame:
     """``key, quota``: base for each, cut to its capacity, and what is missing dealt out one by one in rounds.
 
-    The tables are as long as there are keys, and as the total.
+    The level that whole rounds reach follows from the sums over keys sorted by what
+    they can still take; the rest goes to the first keys that are not full.  The windows hold a row a key.
     """
-    start = capacities.withColumns({"_base": F.least(F.col(capacity), F.lit(base)), "_spare": F.col(capacity) - F.least(F.col(capacity), F.lit(base))})
-    missing = F.greatest(F.lit(0), F.lit(total) - F.sum("_base").over(Window.partitionBy()))
-    start = start.withColumn("_missing", missing)
-    extra = start.where("_spare > 0").select(key, order, "_missing", F.explode(F.sequence(F.lit(1), F.least(F.col("_spare"), F.lit(total)).cast("int"))).alias("k"))
-    dealt = extra.withColumn("_r", F.row_number().over(Window.orderBy("k", order))).where("_r <= _missing").groupBy(key).agg(F.count("*").alias("_extra"))
-    return start.join(dealt, key, "left").select(key, (F.col("_base") + F.coalesce("_extra", F.lit(0))).cast("long").alias("quota"))
+    start = capacities.withColumn("_base", F.least(F.col(capacity), F.lit(base))).withColumn("_spare", F.col(capacity) - F.col("_base"))
+    everything = Window.partitionBy()
+    missing = F.greatest(F.lit(0), F.lit(total) - F.sum("_base").over(everything))
+    up = Window.orderBy("_spare").rowsBetween(Window.unboundedPreceding, 0)
+    # what is dealt by the time a key is full
+    full = F.sum("_spare").over(up) + (F.count("*").over(everything) - F.count("*").over(up)) * F.col("_spare")
+    x = start.withColumns({"_missing": missing, "_full": full}).withColumn("_met", F.col("_full") <= F.col("_missing"))
+    x = x.withColumns({"_low": F.coalesce(F.max(F.when(F.col("_met"), F.col("_spare"))).over(everything), F.lit(0)), "_used": F.coalesce(F.max(F.when(F.col("_met"), F.col("_full"))).over(everything), F.lit(0))})
+    x = x.withColumn("_open", F.count_if(F.col("_spare") > F.col("_low")).over(everything))
+    x = x.withColumn("_rounds", F.coalesce(F.floor(F.try_divide(F.col("_missing") - F.col("_used"), F.col("_open"))), F.lit(0)))
+    x = x.withColumns({"_level": F.col("_low") + F.col("_rounds"), "_left": F.col("_missing") - F.col("_used") - F.col("_rounds") * F.col("_open")})
+    turn = F.row_number().over(Window.orderBy((F.col("_spare") <= F.col("_level")), order))
+    one = F.when((F.col("_spare") > F.col("_level")) & (turn <= F.col("_left")), 1).otherwise(0)
+    return x.select(key, (F.col("_base") + F.least("_spare", "_level") + one).cast("long").alias("quota"))
 
 
 def top_up(rows: DataFrame, chosen: DataFrame, by: str, digest: str, order: list, by_order: str, needed: int) -> DataFrame:
