@@ -53,3 +53,51 @@ def test_odd_rows(spark):
     assert got == [(0, "fr"), (1, "und"), (2, "und"), (3, "en"), (3, "en"), (5, "en")]
     assert {r.lang_pred for r in lg.identify(docs, lg.fit(ex.limit(0))).collect()} == {"und"}
     assert lg.identify(docs.limit(0), model).count() == 0
+
+
+def brute_select(model, text):
+    """The chosen set by trying every language at every step, each mixture by plain loops."""
+    import math
+
+    n = brute_grams(text)
+    if not n or not any(c.isalpha() for c in text):
+        return []
+
+    def fit(chosen):
+        share = [1 / len(chosen)] * len(chosen)
+        for _ in range(400):
+            new = [0.0] * len(chosen)
+            for b, c in n.items():
+                at = [s * model.likely[b, i] for s, i in zip(share, chosen, strict=True)]
+                for j, x in enumerate(at):
+                    new[j] += c * x / sum(at)
+            share = [x / sum(n.values()) for x in new]
+        return share, sum(c * math.log(sum(s * model.likely[b, i] for s, i in zip(share, chosen, strict=True))) for b, c in n.items())
+
+    bar = 3 * model.penalty * math.log(sum(n.values()) / 3 + 2)
+    every, chosen, best = range(len(model.languages)), [], -math.inf
+    while len(chosen) < len(model.languages):
+        gain, i = max((fit([*chosen, i])[1], -i) for i in every if i not in chosen)
+        if chosen and gain - best <= bar:
+            break
+        chosen, best = [*chosen, -i], gain
+    return sorted(((model.languages[i], s) for i, s in zip(chosen, fit(chosen)[0], strict=True)), key=lambda x: (-x[1], x[0]))
+
+
+def test_selection_matches_brute_force(spark):
+    import random
+
+    d = "/root/testdata/sf0.001"
+    rows = [(r.lang, r.text) for r in spark.read.parquet(d + "/documents.parquet").collect() if r.text]
+    model = lg.fit(spark.read.parquet(d + "/documents.parquet"))
+    rng = random.Random(5)
+    by = {x: [t for y, t in rows if y == x and len(t) > 400] for x in model.languages}
+    texts = [rng.choice(rows)[1][:600] for _ in range(12)]
+    texts += [rng.choice(by[a])[: rng.randrange(100, 400)] + " " + rng.choice(by[b])[: rng.randrange(100, 400)] for a in model.languages for b in model.languages if a < b]
+    several = 0
+    for t in [*texts, "a", "12 !", "é"]:
+        got, want = model.select(t), brute_select(model, t)
+        several += len(want) > 1
+        assert {x for x, _ in got} == {x for x, _ in want}, t[:80]
+        assert np.allclose([s for _, s in sorted(got)], [s for _, s in sorted(want)], atol=0.02)
+    assert several >= 3

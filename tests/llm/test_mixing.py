@@ -63,3 +63,47 @@ def test_query(spark):
     print(share, {d: np.mean([r[f"p_{d}"] for r in rows]) for d in names}, np.mean([r.copies for r in rows]))
     assert len(rows) == 1000
     assert np.allclose(share, [0.9, 0.08, 0.02], atol=0.02)
+
+
+def test_posteriors_match_brute_force(spark):
+    import math
+
+    import xxhash
+
+    t = table(spark, 200)
+    extra = spark.createDataFrame([(900, "red ox zebra", None), (901, None, None), (902, "  ", None), (903, "tan " * 50 + "cow", None)], t.schema)
+    model = mx.fit_domains(t)
+    rows = {r.doc_id: r for r in mx.posteriors(t.union(extra), model).collect()}
+    bucket = lambda w: xxhash.xxh64_intdigest(w.encode(), 42) % 2**64 % mx.BUCKETS
+    counts, docs = {d: {} for d in "ab"}, t.collect()
+    for r in docs:
+        for w in r.text.split():
+            counts[r.domain][bucket(w)] = counts[r.domain].get(bucket(w), 0) + 1
+    total = {d: sum(c.values()) for d, c in counts.items()}
+    prior = {d: math.log(sum(r.domain == d for r in docs) / len(docs)) for d in "ab"}
+    for r in [*docs, *extra.collect()]:
+        words, score = (r.text or "").lower().split(), {}
+        for d in "ab":
+            score[d] = 0.0
+            for w in words:
+                x = bucket(w)
+                if any(x in c for c in counts.values()):
+                    mean = sum(c.get(x, 0) / total[e] for e, c in counts.items()) / 2
+                    score[d] += math.log((counts[d].get(x, 0) + mx.STRENGTH * mean) / (total[d] + mx.STRENGTH))
+        top = max(score.values())
+        odds = {d: math.exp((s - top) / max(1, len(words)) ** 0.5 + prior[d]) for d, s in score.items()}
+        want = [odds[d] / sum(odds.values()) for d in "ab"]
+        assert rows[r.doc_id].n_tokens == len(words) and np.allclose(rows[r.doc_id].p, want, atol=1e-9), r
+
+
+def test_binned_rates_follow_plain_steps(spark):
+    """On bins so fine that each row has one, the result is that of steps on all rows."""
+    rng = np.random.default_rng(3)
+    n, p = rng.integers(0, 50, 80), rng.dirichlet([0.4, 0.4, 0.4], 80)
+    points = spark.createDataFrame([(i, int(a), [float(x) for x in b]) for i, (a, b) in enumerate(zip(n, p, strict=True))], "id int, n_tokens long, p array<double>")
+    runs = [{r.id: r.rate for r in mx.fit_rates(points, [0.6, 0.3, 0.1], grain=g).collect()} for g in (10**6, 256, 8)]
+    natural = (n[:, None] * p).sum(0)
+    goal = np.array([0.6, 0.3, 0.1]) * min(natural / [0.6, 0.3, 0.1])
+    miss = [np.linalg.norm((np.array([x[i] for i in range(80)]) * n) @ p - goal) / goal.sum() for x in runs]
+    assert max(abs(runs[0][i] - runs[1][i]) for i in range(80)) < 0.05
+    assert all(m <= miss[0] + 0.002 for m in miss)  # coarse bins are made good on all rows
