@@ -75,19 +75,23 @@ def fit_domains(labelled: DataFrame, domain_col: str = "domain", text_col: str =
     return stored(weights, "weights"), domains, prior
 
 
+def _key(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def posteriors(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", power: float = 0.5) -> DataFrame:
-    """``row, doc_id, n_tokens, p``: tokens and domain posteriors of every row."""
+    """``row, doc_id, key, n_tokens, p``: tokens and domain posteriors of every row; ``key`` tells rows of one id apart by their texts."""
     weights, domains, prior = model
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    words = _words(rows, "row", "doc_id")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    words = _words(rows, "row", "doc_id", "key")
     scored = words.join(F.broadcast(weights), "bucket", "left")  # BUCKETS rows at most
     k = range(len(domains))
-    sums = scored.groupBy("row", "doc_id").agg(F.count("*").alias("n_tokens"), *(F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in k))
+    sums = scored.groupBy("row", "doc_id", "key").agg(F.count("*").alias("n_tokens"), *(F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in k))
     best = F.greatest(*(F.col(f"s{i}") for i in k)) if len(domains) > 1 else F.col("s0")
     odds = [F.exp((F.col(f"s{i}") - best) / F.pow(F.col("n_tokens").cast("double"), F.lit(power)) + F.lit(prior[i])) for i in k]
     total = sum(odds[1:], odds[0])
-    known = sums.select("row", "doc_id", "n_tokens", F.array(*(o / total for o in odds)).alias("p"))
-    blank = rows.where("text is null or not text rlike '[^ \\\\n\\\\t\\\\r]'").select("row", "doc_id", F.lit(0).cast("long").alias("n_tokens"), F.array(*(F.lit(math.exp(x)) for x in prior)).alias("p"))
+    known = sums.select("row", "doc_id", "key", "n_tokens", F.array(*(o / total for o in odds)).alias("p"))
+    blank = rows.where("text is null or not text rlike '[^ \\\\n\\\\t\\\\r]'").select("row", "doc_id", "key", F.lit(0).cast("long").alias("n_tokens"), F.array(*(F.lit(math.exp(x)) for x in prior)).alias("p"))
     return known.unionByName(blank)
 
 
@@ -164,7 +168,7 @@ def fit_rates(points: DataFrame, targets: list[float], budget: float | None = No
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, domain_col: str = "domain", id_col: str = "doc_id", text_col: str = "text", budget: float | None = None, ceiling: float | None = None, max_examples: int = 20_000, protect: str | None = None, seed: int = 7) -> DataFrame:
-    """``doc_id, n_tokens, p_<domain>.., rate, copies`` for every row of ``docs``.
+    """``doc_id, n_tokens, p_<domain>.., rate, copies, key`` for every row of ``docs``.
 
     Documents whose likeliest domain is ``protect`` are never thinned.
     """
@@ -172,25 +176,24 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     model = fit_domains(labelled, domain_col, text_col, id_col, max_examples)
     if not model[1]:
         words = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[ \n\t\r]+"), lambda w: w != ""))
-        return docs.select(F.col(id_col).alias("doc_id"), words.cast("long").alias("n_tokens"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+        return docs.select(F.col(id_col).alias("doc_id"), words.cast("long").alias("n_tokens"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), _key(id_col, text_col).alias("key"))
     points = stored(posteriors(docs, model, id_col, text_col), "posteriors")
     floor = f"if(p[{model[1].index(protect)}] >= array_max(p), 1, 0)" if protect in model[1] else "0"
     fitted = fit_rates(points, [targets.get(d, 0.0) for d in model[1]], budget, ceiling, floor)
     rate = F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.col("rate"))
     copies = F.floor("rate") + (_uniform("doc_id", seed=seed) < F.col("rate") - F.floor("rate")).cast("int")
     out = fitted.withColumn("rate", rate)
-    return out.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model[1])), "rate", copies.cast("int").alias("copies"))
+    return out.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model[1])), "rate", copies.cast("int").alias("copies"), "key")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every row repeated as often as its rate came to; rate 0 goes.
 
-    Rows that share an id share the smallest number of copies.
+    Rows that share an id are told apart by their texts; rows equal in both are rated alike.
     """
-    taken = rates(docs, labelled, id_col=id_col, **options).groupBy("doc_id").agg(F.min("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(taken, docs[id_col].eqNullSafe(taken["_id"]))
-    row = joined.select(F.struct(docs["*"]).alias("row"), F.explode(F.sequence(F.lit(1), taken["_copies"])).alias("copy"))
-    return row.select("row.*")
+    taken = rates(docs, labelled, id_col=id_col, text_col=text_col, **options).groupBy("key").agg(F.min("copies").alias("_copies")).where("_copies > 0").select(F.col("key").alias("_taken"), "_copies")
+    joined = docs.select(F.struct("*").alias("row"), _key(id_col, text_col).alias("_of")).join(taken, F.col("_of") == F.col("_taken"))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy")).select("row.*")
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

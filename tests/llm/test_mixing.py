@@ -51,6 +51,9 @@ def test_odd_rows(spark):
     assert {r.rate for r in rows if r.n_tokens == 0} == {1.0}
     assert mx.rates(docs, t.limit(0)).count() == 6
     assert mx.rates(docs.limit(0), t).count() == 0
+    one = spark.createDataFrame([(1, "red " * 400), (1, "ox cow hen " * 30), (None, "tan " * 300), (None, "ox hen " * 20)], "doc_id long, text string")
+    mixed = mx.mix(one, t, targets={"a": 0.1, "b": 0.9}, protect="b").collect()  # what is thinned takes nothing of its id along
+    assert {r.text for r in mixed if "ox" in r.text} == {"ox cow hen " * 30, "ox hen " * 20} and len(mixed) < 4
     kept = mx.mix(docs, t, targets={"a": 0.5, "b": 0.5})
     assert kept.columns == docs.columns and {1, 2} <= {r.doc_id for r in kept.collect()}
 
