@@ -5,6 +5,12 @@ simhash         of each group of near duplicates one document stays
 decontaminate   contaminated documents go, smaller benchmark passages are cut out
 mixing          junk is thinned to its target share; prose stays
 shard           every document gets a shard and a slot
+
+Edge cases: null and empty texts are clean, form one group of near duplicates (of
+which the row with the smallest id stays) and are never thinned; rows that repeat an id are
+told apart by their texts, and of rows equal in both one stays; null ids come last in
+their group; an empty table passes through; other columns are carried, and those
+named ``shard`` or ``slot`` get underscores at their end in the last stage.
 """
 
 from __future__ import annotations
