@@ -117,8 +117,8 @@ def _spaced(pattern):
 def _totals(texts, patterns: DataFrame) -> DataFrame:
     """``pattern, total``: how often the patterns occur in all texts."""
     every = texts.select(F.explode(F.regexp_extract_all("text", F.lit(_PATTERN), F.lit(0))).alias("p")).select(_spaced(F.col("p")).alias("pattern"))
-    # counted before they move: patterns repeat far more often than they differ
-    return every.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern", "left_semi")
+    # counted before they move, as patterns repeat far more often than they differ; a semi join would be pushed below the count
+    return every.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns.distinct(), "pattern")
 
 
 def _pattern_scores(seen: DataFrame, texts: DataFrame, rounds: int, support: int) -> DataFrame:
