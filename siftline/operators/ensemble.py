@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
 from ..functions.scoring import MODEL_WEIGHTS, annotation_score, risk_score
 
-CLUSTERS = "cls int, votes int, models array<string>, score double, mean_conf double, max_conf double, x1 double, y1 double, x2 double, y2 double"
-
-
-def _iou(a, b) -> float:
-    wide, high = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    both = max(0.0, wide) * max(0.0, high)
-    union = sum(max(0.0, q[2] - q[0]) * max(0.0, q[3] - q[1]) for q in (a, b)) - both
-    return both / union if union > 0 else 0.0
+_BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
+_STATE = f"array<struct<cls:int,models:array<string>,score:double,sum_conf:double,max_conf:double,weighted:{_BOX},plain:{_BOX},box:{_BOX}>>"
+_CORNERS = ("x1", "y1", "x2", "y2")
 
 
 def clusters(detections: DataFrame, key: str = "image", least_iou: float = 0.25, least_conf: float = 0.10, weighted_order: bool = False, weights: dict[str, float] = MODEL_WEIGHTS) -> DataFrame:
@@ -24,46 +18,44 @@ def clusters(detections: DataFrame, key: str = "image", least_iou: float = 0.25,
 
     Detections come by confidence (or confidence times weight), ties by model and
     corners; each joins the cluster of largest IoU with its weighted mean box, the
-    earliest on ties, among those without its model, or starts one.
+    earliest on ties, among those without its model, or starts one.  One fold over the
+    array of an image's detections; a cluster carries the sums its mean box is made of.
     """
-    w = dict(weights)
-    fields = ["model", "cls", "conf", "box"]
-    rows = detections.where((F.col("conf") >= least_conf) & F.col("model").isin(*w)).groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("d"))
-
-    def mean_box(members):
-        total = sum(c * w[m] for m, c, _ in members)
-        if total <= 0:
-            return [sum(b[i] for *_, b in members) / len(members) for i in range(4)]
-        return [sum(b[i] * c * w[m] for m, c, b in members) / total for i in range(4)]
-
-    def build(found):
-        items = [(d["model"], d["cls"], d["conf"], tuple(d["box"][c] for c in ("x1", "y1", "x2", "y2"))) for d in found]
-        items.sort(key=lambda d: (-(d[2] * w[d[0]] if weighted_order else d[2]), d[0], d[3]))
-        out: list[tuple[int, list]] = []
-        for model, cls, conf, box in items:
-            best, best_iou = None, 0.0
-            for c, members in out:
-                if c == cls and all(m != model for m, *_ in members):
-                    overlap = _iou(box, mean_box(members))
-                    if overlap >= least_iou and overlap > best_iou:
-                        best, best_iou = members, overlap
-            if best is None:
-                out.append((cls, [(model, conf, box)]))
-            else:
-                best.append((model, conf, box))
-        return out
-
-    def run(frames):
-        for f in frames:
-            out = []
-            for k, found in zip(f[key], f["d"], strict=True):
-                for cls, members in build(found):
-                    confs = [c for _, c, _ in members]
-                    out.append((k, cls, len(members), sorted(m for m, *_ in members), sum(c * w[m] for m, c, _ in members), sum(confs) / len(confs), max(confs), *mean_box(members)))
-            yield pd.DataFrame(out, columns=[key, "cls", "votes", "models", "score", "mean_conf", "max_conf", "x1", "y1", "x2", "y2"])
-
-    df = rows.mapInPandas(run, f"{key} {detections.schema[key].dataType.simpleString()}, {CLUSTERS}")
-    return df.select(key, "cls", "votes", "models", "score", "mean_conf", "max_conf", F.struct("x1", "y1", "x2", "y2").alias("box"))
+    weight = F
+    for m, v in weights.items():
+        weight = weight.when(F.col("model") == m, F.lit(float(v)))
+    rows = detections.where((F.col("conf") >= least_conf) & F.col("model").isin(*weights)).withColumn("_w", weight.otherwise(0.0))
+    order = -(F.col("conf") * F.col("_w")) if weighted_order else -F.col("conf")
+    item = F.struct(order.alias("order"), "model", F.struct(*(F.col(f"box.{c}").cast("double").alias(c) for c in _CORNERS)).alias("box"), F.col("cls").cast("int").alias("cls"), F.col("conf").cast("double").alias("conf"), F.col("_w").alias("w"))
+    arrays = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_d"))
+
+    def corners(f):
+        return F.struct(*(f(c).alias(c) for c in _CORNERS))
+
+    def joined(c, d):
+        """The cluster ``c`` (null: none yet) with the detection ``d``."""
+        models = F.array(d["model"]) if c is None else F.concat(c["models"], F.array(d["model"]))
+        power = d["conf"] * d["w"]
+        score = F.lit(0.0) + power if c is None else c["score"] + power
+        weighted = corners(lambda k: (F.lit(0.0) if c is None else c["weighted"][k]) + d["box"][k] * d["conf"] * d["w"])
+        plain = corners(lambda k: (F.lit(0.0) if c is None else c["plain"][k]) + d["box"][k])
+        box = corners(lambda k: F.when(score > 0, weighted[k] / score).otherwise(plain[k] / F.size(models)))
+        return F.struct(
+            d["cls"].alias("cls"), models.alias("models"), score.alias("score"), (d["conf"] if c is None else c["sum_conf"] + d["conf"]).alias("sum_conf"), (d["conf"] if c is None else F.greatest(c["max_conf"], d["conf"])).alias("max_conf"),
+            weighted.alias("weighted"), plain.alias("plain"), box.alias("box"),
+        )
+
+    def step(state, d):
+        near = F.transform(state, lambda c: F.when((c["cls"] == d["cls"]) & ~F.array_contains(c["models"], d["model"]), iou(d["box"], c["box"])).otherwise(-1.0))
+        # bound once by a lambda over one struct
+        found = F.transform(F.array(F.struct(near.alias("near"))), lambda x: F.struct(F.array_max(x["near"]).alias("best"), F.array_position(x["near"], F.array_max(x["near"])).alias("at")))
+        grown = lambda x: F.transform(state, lambda c, i: F.when(i + 1 == x["at"], joined(c, d)).otherwise(c))
+        fits = lambda x: F.coalesce((x["best"] >= least_iou) & (x["best"] > 0), F.lit(False))
+        return F.transform(found, lambda x: F.when(fits(x), grown(x)).otherwise(F.concat(state, F.array(joined(None, d)))))[0].cast(_STATE)
+
+    made = arrays.select(key, F.explode(F.aggregate("_d", F.array().cast(_STATE), step)).alias("c"))
+    n = F.size("c.models")
+    return made.select(key, F.col("c.cls").alias("cls"), n.alias("votes"), F.array_sort("c.models").alias("models"), F.col("c.score").alias("score"), (F.col("c.sum_conf") / n).alias("mean_conf"), F.col("c.max_conf").alias("max_conf"), F.col("c.box").alias("box"))
 
 
 def consensus(detections: DataFrame, key: str = "image", least_models: int = 2, least_mean: float = 0.10) -> DataFrame:
