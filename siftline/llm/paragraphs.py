@@ -15,7 +15,7 @@ word stream of every text is cut into windows of ``WINDOW`` words that begin at
 anchors: an anchor is the shingle with the least hash of ``REACH`` shingles in a row
 (a MinHash of one row, slid along the text).  Two texts that share ``WINDOW + REACH -
 1`` words in a row (50) share an anchor and the window behind it, wherever the
-passage stands; windows are verified as equal.  (Of two windows of one anchor that
+passage stands; windows are verified as equal, and count where several documents hold them.  (Of two windows of one anchor that
 differ, nearly all are under the similarity limit: one changed word takes five of
 their shingles.)
 
@@ -26,7 +26,7 @@ words that a window which stays shares with them.
 Words and shingles are taken as 64-bit hashes.
 
 Edge cases: a null text has neither paragraphs nor passages; texts of fewer than ``REACH
-+ 4`` words have no windows; a repeat within one document counts; rows that share a
++ 4`` words have no windows; a line that repeats within one document counts; rows that share a
 document id are told apart by their texts; rows equal in id and text act as one
 document; null ids come last; an empty table gives an empty result; other columns
 are ignored by ``paragraph_classes`` and kept by ``remove_repeats``.
@@ -347,8 +347,8 @@ def paragraph_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         named = stored(distinct.select("h", "n", "first").join(linked, "h", "left").select("h", "n", "first", F.coalesce("component", "h").alias("component")), "named")
         classes = named.groupBy("component").agg(F.sum("n").alias("n_members"), F.min("first").alias("keeper")).where("n_members > 1")
         classes = keep(stored(named.select("h", "component").join(classes, "component"), "classes"))
-        equal = windows.groupBy("h").agg(F.count("*").alias("n_members"), F.min(place).alias("keeper")).where("n_members > 1")
-        equal = keep(stored(equal.withColumn("component", F.col("h")), "passages"))
+        equal = windows.groupBy("h").agg(F.count("*").alias("n_members"), F.min(place).alias("keeper"), F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi")
+        equal = keep(stored(equal.select("h", F.col("h").alias("component"), "n_members", "keeper"), "passages"))
         out = lines.drop("keys").join(classes, "h").withColumn("kind", F.lit("line")).unionByName(windows.join(equal, "h").withColumn("kind", F.lit("passage")))
         stays = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("row") == F.col("keeper.row")) & (F.col("para") == F.col("keeper.para"))
         return out.select("doc_id", "row", "kind", "para", "start", "end", "n_words", F.col("component").alias("component_id"), F.col("keeper.doc_id").alias("keeper_doc"), F.col("keeper.para").alias("keeper_para"), "n_members", (~stays).alias("removed"))
@@ -411,6 +411,6 @@ OP6_SQL = f"""with recursive l as (select doc_id, unnest(string_split(text, chr(
     v as (select doc_id, j, n, ({_SQL_ANCHOR}) % {_PRIME} as v from o window x as (partition by doc_id order by j)),
     a as (select distinct doc_id, 4294967295 - (low & 4294967295) as j from (select doc_id, n, j, min((v << 32) + 4294967295 - j) over (partition by doc_id order by j rows between current row and {REACH - 1} following) as low from v where v is not null) where j + {REACH + SHINGLE - 2} <= n),
     p as (select doc_id, a.j, x.stop - length(x.word) as start, y.stop, array_to_string(w[a.j:a.j+{WINDOW - 1}], ' ') as norm from a join o x using (doc_id, j) join o y using (doc_id) join d using (doc_id) where y.j = a.j + {WINDOW - 1}),
-    r as (select norm, count(*) as n_members, min(struct_pack(doc_id := doc_id, j := j)) as keeper from p group by 1 having count(*) > 1)
+    r as (select norm, count(*) as n_members, min(struct_pack(doc_id := doc_id, j := j)) as keeper from p group by 1 having count(distinct doc_id) > 1)
     select z.doc_id, 'line' as kind, z.para, cast(z.start as bigint) as start, cast(z.start + length(z.line) as bigint) as "end", cast(len(z.w) as int) as n_words, k.doc_id as keeper_doc, k.para as keeper_para, n_members, z.id <> k.id as removed from z join t using (comp) join q k on k.id = z.comp
     union all select doc_id, 'passage', cast(j - 1 as int), cast(start as bigint), cast(stop as bigint), {WINDOW}, keeper.doc_id, cast(keeper.j - 1 as int), n_members, doc_id <> keeper.doc_id or j <> keeper.j from p join r using (norm)"""

@@ -47,7 +47,7 @@ def brute_windows(docs):
         for j in sorted(anchors):
             if j + pg.WINDOW <= len(words):
                 found.setdefault(tuple(words[j : j + pg.WINDOW]), []).append(((i is None, i or 0, j), (spans[j][0], spans[j + pg.WINDOW - 1][1])))
-    groups = [(min(same)[0], same) for same in found.values() if len(same) > 1]
+    groups = [(min(same)[0], same) for same in found.values() if len({p[:2] for p, _ in same}) > 1]
     return sorted((place, span, first, place != first) for first, same in groups for place, span in same)
 
 
