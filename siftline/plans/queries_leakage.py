@@ -42,7 +42,7 @@ def hashed_items(spark, sf_dir):
 
 
 def _near(spark, sf_dir):
-    return similarity.near_duplicate_candidates(hashed_items(spark, sf_dir), "stem", columns=["doc_id", "split"])
+    return similarity.near_duplicate_candidates(hashed_items(spark, sf_dir), "doc_id", columns=["stem", "split"])
 
 
 @query("near_duplicate_candidates", f"with {_NEAR} select stem_a, stem_b, relation, p_distance, d_distance, round(gap, 8) as aspect_difference from near")
