@@ -137,8 +137,8 @@ def hamming_pairs(spark, sf_dir):
 
 @query("hamming_histogram", f"with {_HASHES} select label_a = label_b as same_label, distance, count(*) as n from p where distance <= 20 group by 1, 2")
 def hamming_histogram(spark, sf_dir):
-    p = similarity.hamming_join(sign_hashes(spark, sf_dir), "h", 20, "vec_id", ["label"])
-    return p.groupBy((F.col("label_a") == F.col("label_b")).alias("same_label"), F.col("distance").cast("int").alias("distance")).agg(F.count("*").alias("n"))
+    n = similarity.distance_counts(sign_hashes(spark, sf_dir), "h", 20, "vec_id", "label")
+    return n.select(F.col("same").alias("same_label"), "distance", "n")
 
 
 @query("hamming_threshold_counts", f"with {_HASHES} select count(*) filter (where distance <= 16) as le_16, count(*) filter (where distance <= 18) as le_18, count(*) filter (where distance <= 20) as le_20 from p where distance <= 20")
