@@ -143,7 +143,7 @@ def hamming_histogram(spark, sf_dir):
 
 @query("hamming_threshold_counts", f"with {_HASHES} select count(*) filter (where distance <= 16) as le_16, count(*) filter (where distance <= 18) as le_18, count(*) filter (where distance <= 20) as le_20 from p where distance <= 20")
 def hamming_threshold_counts(spark, sf_dir):
-    return similarity.threshold_counts(similarity.hamming_join(sign_hashes(spark, sf_dir), "h", 20, "vec_id"), "distance", [16, 18, 20])
+    return similarity.threshold_counts(similarity.distance_counts(sign_hashes(spark, sf_dir), "h", 20, "vec_id"), "distance", [16, 18, 20], "n")
 
 
 _METRICS = f"""with {_HASHES}, near as (select * from p where distance <= 20), m as (select n.*, a.embedding as ea, b.embedding as eb from near n join embeddings a on a.vec_id = id_a join embeddings b on b.vec_id = id_b),
