@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..plans.storage import stored
 
@@ -143,19 +143,66 @@ def _hits(t, first: np.ndarray, second: np.ndarray, h: str, key: str, radius: in
             yield a, b, np.bitwise_count(hashes[a] ^ hashes[b]).astype(np.int32)
 
 
-def pairs_of_rows(rows: DataFrame, h: str, radius: int, key: str, columns: list[str] = ()) -> DataFrame:
-    """Pairs ``key_a < key_b`` of rows whose hashes differ in at most ``radius`` bits, with the columns of both and ``distance``."""
+class Arrays:
+    """Arrays of numbers of a unit's rows, and corr, mae and psnr of pairs of them as ``similarity.pair_metrics`` defines them.
+
+    Sums run over the elements in order, as Spark's do.  Where an element is null or lengths differ, corr is 0 and the rest is null.
+    """
+
+    def __init__(self, column):
+        column = column.combine_chunks()
+        self.size = pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = column.flatten()
+        whose = pc.list_parent_indices(column).to_numpy()
+        first = np.r_[0, np.cumsum(np.maximum(self.size, 0))][:-1]
+        self.by_place = np.zeros((max(0, int(self.size.max())), len(self.size)))
+        null = values.is_null().to_numpy(zero_copy_only=False)
+        self.by_place[np.arange(len(whose)) - first[whose], whose] = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+        self.size[whose[null]] = -1
+        self.sum, self.square = np.zeros(len(self.size)), np.zeros(len(self.size))
+        for x in self.by_place:
+            self.sum += x
+            self.square += x * x
+
+    def metrics(self, a: np.ndarray, b: np.ndarray) -> list:
+        n = self.size[a].astype(np.float64)
+        odd = (self.size[a] <= 0) | (self.size[a] != self.size[b])
+        both, away, square = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+        with np.errstate(all="ignore"):
+            for v in self.by_place:
+                x, y = v[a], v[b]
+                both += x * y
+                d = x - y
+                away += np.abs(d)
+                square += d * d
+            sa, sb = self.sum[a], self.sum[b]
+            cov = both - sa * sb / n
+            under = np.sqrt(np.maximum((self.square[a] - sa * sa / n) * (self.square[b] - sb * sb / n), 0.0))
+            corr = np.where(odd | (under == 0), 0.0, cov / under)
+            mse = square / n
+            psnr = np.where(mse <= 0, 999.0, 10 * np.log10(1 / mse))
+            return [pa.array(corr), pa.array(away / n, mask=odd), pa.array(psnr, mask=odd | (1 / mse <= 0))]
+
+
+def pairs_of_rows(rows: DataFrame, h: str, radius: int, key: str, columns: list[str] = (), arrays: str | None = None) -> DataFrame:
+    """Pairs ``key_a < key_b`` of rows whose hashes differ in at most ``radius`` bits, with the columns of both and ``distance``.
+
+    With a column of ``arrays`` also ``corr, mae, psnr`` of the two.
+    """
     names = [key, *columns]
-    kept = stored(rows.where(F.col(h).isNotNull()).select(F.col(h).alias("_hash"), *names), "hashes")
+    more = [F.col(arrays).alias("_arrays")] if arrays else []
+    kept = stored(rows.where(F.col(h).isNotNull()).select(F.col(h).alias("_hash"), *names, *more), "hashes")
     dealt, blocks = _dealt(kept, "_hash", key)
     types = {f.name: f.dataType for f in kept.schema.fields}
-    schema = StructType([*(StructField(f"{c}_{x}", types[c]) for c in names for x in "ab"), StructField("distance", IntegerType())])
+    measured = ["corr", "mae", "psnr"] if arrays else []
+    schema = StructType([*(StructField(f"{c}_{x}", types[c]) for c in names for x in "ab"), StructField("distance", IntegerType()), *(StructField(c, DoubleType()) for c in measured)])
 
     def run(batches):
         for t, first, second in _units(batches, blocks):
+            held = Arrays(t.column("_arrays")) if arrays else None
             for a, b, distance in _hits(t, first, second, "_hash", key, radius):
                 sides = [t.column(c).combine_chunks().take(pa.array(x)) for c in names for x in (a, b)]
-                yield pa.record_batch([*sides, pa.array(distance)], names=schema.names)
+                yield pa.record_batch([*sides, pa.array(distance), *(held.metrics(a, b) if arrays else [])], names=schema.names)
 
     return dealt.mapInArrow(run, schema)
 

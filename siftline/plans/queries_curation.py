@@ -114,14 +114,14 @@ _HASHES = """h as (select vec_id, label, list_transform(embedding, lambda v: cas
     p as (select a.vec_id as id_a, b.vec_id as id_b, a.label as label_a, b.label as label_b, cast(list_sum(list_transform(list_zip(a.bits, b.bits), lambda x: abs(x[1]-x[2]))) as int) as distance from h a join h b on a.vec_id < b.vec_id)"""
 
 
-def sign_hashes(spark, sf_dir):
+def sign_hashes(spark, sf_dir, *columns: str):
     """64-bit hashes of embeddings: bit i is set where the i-th value exceeds the median of all but the first."""
     e = read(spark, sf_dir, "embeddings")
     median = F.array_sort(F.slice("embedding", 2, 63))[31]
     # inside a lambda over one struct, so that the median is taken once a row and not once a value
     one = F.array(F.struct(F.col("embedding").alias("e"), median.alias("m")))
     packed = F.transform(one, lambda x: _pack(F.transform(x["e"], lambda v: (v > x["m"]).cast("int"))))
-    return e.select("vec_id", "label", packed[0].alias("h"))
+    return e.select("vec_id", "label", *columns, packed[0].alias("h"))
 
 
 def _pack(bits):
@@ -154,10 +154,7 @@ _METRICS = f"""with {_HASHES}, near as (select * from p where distance <= 20), m
 
 
 def _metrics(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    p = similarity.hamming_join(sign_hashes(spark, sf_dir), "h", 20, "vec_id", ["label"])
-    side = lambda x: e.select(F.col("vec_id").alias(f"vec_id_{x}"), F.col("embedding").alias(f"e{x}"))
-    return similarity.pair_metrics(p.join(side("a"), "vec_id_a").join(side("b"), "vec_id_b"), "ea", "eb")
+    return similarity.hamming_metrics(sign_hashes(spark, sf_dir, "embedding"), "h", 20, "vec_id", "embedding", ["label"])
 
 
 @query("pair_metrics", f"{_METRICS} select id_a, id_b, round(corr, 6) as corr, round(mae, 6) as mae, round(psnr, 5) as psnr from r")

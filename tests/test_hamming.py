@@ -62,3 +62,20 @@ def test_wide_radius_past_the_former_nested_loop(spark):
     want = sum(int((np.bitwise_count(h[i] ^ h[i + 1 :]) <= 20).sum()) for i in range(len(h)))
     assert similarity.threshold_counts(similarity.distance_counts(df, "h", 20, "id"), "distance", [20], "n").first().le_20 == want
     assert similarity.hamming_join(df, "h", 20, "id").count() == want
+
+
+def test_metrics_are_those_of_the_column_expressions(spark):
+    nan, inf = float("nan"), float("inf")
+    arrays = [[1.0, 2.0, 4.0], [1.0, 2.0, 4.0], [0.5, -2.0, 3.0], [2.0, 2.0, 2.0], [1.0, nan, 3.0], [1.0, None, 3.0], [1.0, 2.0], [inf, 1.0, 2.0], [0.0, 0.0, 0.0], None]
+    arrays += [r.tolist() for r in np.random.default_rng(8).normal(size=(40, 3))]
+    df = spark.createDataFrame([(i, 7, x) for i, x in enumerate(arrays)], "id int, h long, e array<double>")
+    got = {(r.id_a, r.id_b): (r.corr, r.mae, r.psnr) for r in similarity.hamming_metrics(df, "h", 20, "id", "e").collect()}
+    listed = similarity.pair_metrics(similarity.hamming_join(df, "h", 20, "id", ["e"]).where("e_a is not null and e_b is not null"), "e_a", "e_b")
+    want = {(r.id_a, r.id_b): (r.corr, r.mae, r.psnr) for r in listed.collect()}
+    assert len(got) == 50 * 49 // 2 and len(want) == 49 * 48 // 2
+    for pair, values in want.items():
+        for x, y in zip(got[pair], values, strict=True):
+            assert (x is None) == (y is None), (pair, got[pair], values)
+            assert x is None or np.isclose(x, y, rtol=1e-13, atol=1e-13, equal_nan=True), (pair, got[pair], values)
+    # the arrays of pairs stay where they are: nothing of the array leaves
+    assert similarity.hamming_metrics(df, "h", 20, "id", "e").columns == ["id_a", "id_b", "distance", "corr", "mae", "psnr"]
