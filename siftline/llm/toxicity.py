@@ -92,9 +92,11 @@ class BlockMaxIndex:
         self.blocks = -(-self.n // self.BLOCK)
         #: The vector at each place of the blocks; -1 fills the last one.
         self.vector = np.r_[order, np.full(self.blocks * self.BLOCK - self.n, -1)].astype(np.int64)
-        self.table = np.zeros((self.blocks, self.BLOCK, len(often)))
-        self.table.reshape(self.blocks * self.BLOCK, len(often))[: self.n] = table[order]
-        self.most = self.table.max(1) if self.n else np.zeros((0, len(often)))
+        whole = np.zeros((self.blocks * self.BLOCK, len(often)))
+        whole[: self.n] = table[order]
+        #: Of each block the weights by frequent term, so that a query reads its own terms only.
+        self.table = np.ascontiguousarray(whole.reshape(self.blocks, self.BLOCK, len(often)).transpose(0, 2, 1))
+        self.most = self.table.max(2) if self.n else np.zeros((0, len(often)))
         place = np.empty(self.n, np.int64)
         place[order] = np.arange(self.n)
         rare = np.flatnonzero(column < 0)
@@ -116,20 +118,24 @@ class BlockMaxIndex:
         if not len(terms) or not self.n:
             return []
         column = self.column[terms]
-        q = np.zeros(self.table.shape[2])
-        q[column[column >= 0]] = weights[column >= 0]
+        often, heavy = column[column >= 0], weights[column >= 0]
+        q = np.zeros(self.table.shape[1])
+        q[often] = heavy
         rare, w = terms[column < 0], weights[column < 0]
         start = self.starts[rare]
         n = self.starts[rare + 1] - start
         at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-        base = np.bincount(self.where[at], np.repeat(w, n) * self.weight[at], self.blocks * self.BLOCK).reshape(self.blocks, self.BLOCK)
+        parts = np.repeat(w, n)
+        parts *= self.weight.take(at)
+        # without postings the counts are whole numbers
+        base = np.bincount(self.where.take(at), parts, self.blocks * self.BLOCK).astype(np.float64, copy=False).reshape(self.blocks, self.BLOCK)
         bound = base.max(1) + self.most @ q + 1e-9
         order = np.argsort(-bound)
-        scores, found, least, done, width = np.zeros(0), np.zeros(0, np.int64), 0.0, 0, 4
+        scores, found, least, done, width = np.zeros(0), np.zeros(0, np.int64), 0.0, 0, 6
         while done < self.blocks and bound[order[done]] >= least:
             live = order[done : done + width]
             live = live[bound[live] >= least]
-            new = np.round((base[live].ravel() + self.table[live].reshape(len(live) * self.BLOCK, len(q)) @ q), 12)
+            new = np.round((base[live] + heavy @ self.table[live[:, None], often]).ravel(), 12)
             near = np.flatnonzero((new > 0) & (new >= least))
             scores = np.concatenate([scores, new[near]])
             found = np.concatenate([found, self.vector.reshape(self.blocks, self.BLOCK)[live].ravel()[near]])
@@ -137,7 +143,7 @@ class BlockMaxIndex:
                 least = np.partition(scores, -k)[-k]
                 scores, found = scores[scores >= least], found[scores >= least]
             done += width
-            width *= 2
+            width += width // 2
         best = np.lexsort((found, -scores))[:k]
         return list(zip(scores[best].tolist(), found[best].tolist(), strict=True))
 
@@ -172,10 +178,13 @@ class Model:
         words = words_of(text)
         if not words:
             return np.zeros(0, np.int64), np.zeros(0)
-        ids = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        ids, n = np.unique(ids, return_counts=True)
-        unseen = Counter(w for w in words if w not in self.known) if ids[0] < 0 else {}
-        ids, n = ids[ids >= 0], n[ids >= 0]
+        # counted first: a look-up among all words of the examples costs more than one among the text's
+        counts = Counter(words)
+        ids = np.fromiter(map(self.known.get, counts, repeat(-1)), np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.int64, len(counts))
+        unseen = {w: c for (w, c), i in zip(counts.items(), ids.tolist(), strict=True) if i < 0} if ids.min() < 0 else {}
+        order = np.argsort(ids)[len(unseen) :]
+        ids, n = ids[order], n[order]
         whole = self.known_idf[ids] * (1 + np.log(n))
         out: Counter = Counter()
         for i, c in zip(ids[self.marked[ids]].tolist(), n[self.marked[ids]].tolist(), strict=True):
@@ -269,8 +278,10 @@ def fit(examples: DataFrame, text_col: str = "text", label_col: str = "toxic", n
     vocab = {bytes(r.term): i for i, r in enumerate(chosen)}
     idf = np.array([math.log((1 + n) / (1 + r.n)) + 1 for r in chosen])
     words = every.where("substring(term, 1, 1) <> X'5E'").select("term", "n").orderBy("term").toArrow()
-    known = {w: i for i, w in enumerate(words["term"].to_pylist())}
-    known_idf = (np.log((1 + n) / (1 + words["n"].to_numpy())) + 1).tolist()
+    # frequent words first, so that most look-ups fall on a small part of the table; their numbers follow the terms' order
+    named, held = words["term"].to_pylist(), words["n"].to_numpy()
+    known = {named[i]: i for i in np.argsort(-held, kind="stable").tolist()}
+    known_idf = (np.log((1 + n) / (1 + held)) + 1).tolist()
     model = Model(vocab, idf, known, known_idf, math.log(1 + n) + 1, prior, k, prior_weight, rest)
 
     def embed(batches):

@@ -116,3 +116,19 @@ def test_every_word_counts(spark):
     for i, _, _ in rare:
         assert got[i][0].example == str(i) and abs(got[i][0].similarity - 1) < 1e-9 and got[i][0].label == 1
     assert got[2000][0].example == "1003"
+
+
+def test_repeated_words_are_looked_up_once():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    known = Counting({b"one": 2, b"two": 0, b"red": 1})
+    model = tx.Model({b"red": 0}, [1.5], known, [1.0, 2.0, 3.0], 4.0, 0.5, 5, 0.1, 1.5)
+    terms, weights = model.vector("red two " * 50 + "one new new")
+    assert known.asked == 4 and terms.tolist() == [0, 1, 2, 3, 4] and abs(weights @ weights) <= 1
+    whole = np.array([2.0 * 0 + 1 + math.log(50), 2 * (1 + math.log(50)), 3.0])
+    assert np.allclose(weights[1:4] / weights[3], whole / whole[2])
