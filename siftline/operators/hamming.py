@@ -147,34 +147,56 @@ class Arrays:
     """Arrays of numbers of a unit's rows, and corr, mae and psnr of pairs of them as ``similarity.pair_metrics`` defines them.
 
     Sums run over the elements in order, as Spark's do.  Where an element is null or lengths differ, corr is 0 and the rest is null.
+    The values stay as they came, one after another: neither copies nor room for the longest array in every row.
     """
 
     def __init__(self, column):
         column = column.combine_chunks()
         self.size = pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         values = column.flatten()
-        whose = pc.list_parent_indices(column).to_numpy()
-        first = np.r_[0, np.cumsum(np.maximum(self.size, 0))][:-1]
-        self.by_place = np.zeros((max(0, int(self.size.max())), len(self.size)))
-        null = values.is_null().to_numpy(zero_copy_only=False)
-        self.by_place[np.arange(len(whose)) - first[whose], whose] = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
-        self.size[whose[null]] = -1
+        self.first = np.cumsum(np.maximum(self.size, 0)) - np.maximum(self.size, 0)
+        if values.null_count:
+            holes = np.flatnonzero(values.is_null().to_numpy(zero_copy_only=False))
+            full = np.flatnonzero(self.size > 0)
+            self.size[full[np.searchsorted(self.first[full], holes, "right") - 1]] = -1
+            values = values.fill_null(0)
+        self.values = values.to_numpy(zero_copy_only=False)
         self.sum, self.square = np.zeros(len(self.size)), np.zeros(len(self.size))
-        for x in self.by_place:
-            self.sum += x
-            self.square += x * x
+        for rows, n in self._alike(self.size):
+            for k in range(n):
+                x = self._at(self.first[rows] + k)
+                self.sum[rows] += x
+                self.square[rows] += x * x
+
+    @staticmethod
+    def _alike(sizes: np.ndarray):
+        """Places of equal sizes over 0, in batches, and the size."""
+        order = np.argsort(sizes, kind="stable")
+        ranked = sizes[order]
+        cuts = [0, *(np.flatnonzero(np.diff(ranked)) + 1).tolist(), len(ranked)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi > lo and ranked[lo] > 0:
+                for s in range(lo, hi, BATCH):
+                    yield order[s : min(s + BATCH, hi)], int(ranked[lo])
+
+    def _at(self, places: np.ndarray) -> np.ndarray:
+        return self.values[places].astype(np.float64)
 
     def metrics(self, a: np.ndarray, b: np.ndarray) -> list:
         n = self.size[a].astype(np.float64)
         odd = (self.size[a] <= 0) | (self.size[a] != self.size[b])
         both, away, square = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
         with np.errstate(all="ignore"):
-            for v in self.by_place:
-                x, y = v[a], v[b]
-                both += x * y
-                d = x - y
-                away += np.abs(d)
-                square += d * d
+            for at, size in self._alike(np.where(odd, 0, self.size[a])):
+                one, two = self.first[a[at]], self.first[b[at]]
+                xy, ad, dd = np.zeros(len(at)), np.zeros(len(at)), np.zeros(len(at))
+                for k in range(size):
+                    x, y = self._at(one + k), self._at(two + k)
+                    xy += x * y
+                    d = x - y
+                    ad += np.abs(d)
+                    dd += d * d
+                both[at], away[at], square[at] = xy, ad, dd
             sa, sb = self.sum[a], self.sum[b]
             cov = both - sa * sb / n
             under = np.sqrt(np.maximum((self.square[a] - sa * sa / n) * (self.square[b] - sb * sb / n), 0.0))
@@ -207,6 +229,11 @@ def pairs_of_rows(rows: DataFrame, h: str, radius: int, key: str, columns: list[
     return dealt.mapInArrow(run, schema)
 
 
+def _alike(values, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """1 where the values of a pair are equal, 0 where not, 2 where one is null."""
+    return pc.equal(values.take(pa.array(a)), values.take(pa.array(b))).cast(pa.int8()).fill_null(2).to_numpy(zero_copy_only=False)
+
+
 def counts_of_pairs(rows: DataFrame, h: str, radius: int, key: str, column: str | None = None) -> DataFrame:
     """``same, distance, n`` of the pairs that ``pairs_of_rows`` lists, counted where they are found; ``same`` is null without a column or where one is null."""
     value = F.col(column) if column else F.lit(None).cast("int")
@@ -218,10 +245,36 @@ def counts_of_pairs(rows: DataFrame, h: str, radius: int, key: str, column: str
             counts = np.zeros((3, radius + 1), np.int64)
             values = t.column("_v").combine_chunks()
             for a, b, distance in _hits(t, first, second, "_hash", key, radius):
-                alike = pc.equal(values.take(pa.array(a)), values.take(pa.array(b))).cast(pa.int8()).fill_null(2)
-                np.add.at(counts, (alike.to_numpy(zero_copy_only=False), distance), 1)
+                np.add.at(counts, (_alike(values, a, b), distance), 1)
             kind, distance = np.nonzero(counts)
             yield pa.record_batch([pa.array([(False, True, None)[k] for k in kind], pa.bool_()), pa.array(distance.astype(np.int32)), pa.array(counts[kind, distance])], names=["same", "distance", "n"])
 
     found = dealt.mapInArrow(run, "same boolean, distance int, n long")
     return found.groupBy("same", "distance").agg(F.sum("n").alias("n"))
+
+
+def _passed(metrics: list, gate: dict) -> np.ndarray:
+    """Where corr, mae and psnr pass a gate; as Spark orders them, nan is above all numbers and null passes none."""
+    corr, mae, psnr = (m.fill_null(np.nan).to_numpy(zero_copy_only=False) for m in metrics)
+    known = metrics[1].is_valid().to_numpy(zero_copy_only=False) & metrics[2].is_valid().to_numpy(zero_copy_only=False)
+    return known & ~(corr < gate["corr"]) & (mae <= gate["mae"]) & ~(psnr < gate["color"])
+
+
+def gates_of_pairs(rows: DataFrame, h: str, radius: int, key: str, arrays: str, gates: dict, column: str) -> DataFrame:
+    """``gate, same, n``: how many of the pairs that ``pairs_of_rows`` lists pass each gate, counted where they are found; ``same`` as in ``counts_of_pairs``."""
+    kept = stored(rows.where(F.col(h).isNotNull()).select(F.col(h).alias("_hash"), key, F.col(column).alias("_v"), F.col(arrays).alias("_arrays")), "hashes")
+    dealt, blocks = _dealt(kept, "_hash", key)
+
+    def run(batches):
+        for t, first, second in _units(batches, blocks):
+            counts = np.zeros((len(gates), 3), np.int64)
+            values, held = t.column("_v").combine_chunks(), Arrays(t.column("_arrays"))
+            for a, b, _ in _hits(t, first, second, "_hash", key, radius):
+                metrics, alike = held.metrics(a, b), _alike(values, a, b)
+                for i, gate in enumerate(gates.values()):
+                    counts[i] += np.bincount(alike[_passed(metrics, gate)], minlength=3)
+            gate, kind = np.nonzero(counts)
+            yield pa.record_batch([pa.array([list(gates)[g] for g in gate], pa.string()), pa.array([(False, True, None)[k] for k in kind], pa.bool_()), pa.array(counts[gate, kind])], names=["gate", "same", "n"])
+
+    found = dealt.mapInArrow(run, "gate string, same boolean, n long")
+    return found.groupBy("gate", "same").agg(F.sum("n").alias("n"))

@@ -169,8 +169,9 @@ _LOOSE = {"tight": {"corr": 0.45, "mae": 0.12, "color": 20.0}, "middle": {"corr"
     c as (select *, relation not like 'same_%' as crosses from g)
     select gate, null as relation, null as crosses, count(*) as n from c group by gate union all select gate, relation, null, count(*) from c group by gate, relation union all select gate, null, crosses, count(*) from c group by gate, crosses""")
 def gate_profile(spark, sf_dir):
-    rows = _metrics(spark, sf_dir).withColumn("gates", s.passed_gates("corr", "mae", "psnr", _LOOSE)).withColumn("relation", F.when(F.col("label_a") == F.col("label_b"), "same_label").otherwise("cross_label"))
-    return similarity.gate_profile(rows).select("gate", "relation", F.col("cross").alias("crosses"), "n")
+    n = similarity.gate_counts(sign_hashes(spark, sf_dir, "embedding"), "h", 20, "vec_id", "embedding", _LOOSE, "label")
+    rows = n.select(F.array("gate").alias("gates"), F.when(F.col("same"), "same_label").otherwise("cross_label").alias("relation"), "n")
+    return similarity.gate_profile(rows, weight="n").select("gate", "relation", F.col("cross").alias("crosses"), "n")
 
 
 _SEQ = """n as (select c_custkey as k, c_name as name, c_custkey % 3 as b, c_acctbal as a from customer), q as (select x.k as k_a, y.k as k_b, x.name as na, y.name as nb, regexp_extract(x.name, '^(.*?)([0-9]+)$', 1) as pa, regexp_extract(y.name, '^(.*?)([0-9]+)$', 1) as pb, cast(regexp_extract(x.name, '^(.*?)([0-9]+)$', 2) as bigint) as ia, cast(regexp_extract(y.name, '^(.*?)([0-9]+)$', 2) as bigint) as ib, x.b as ba, y.b as bb, x.a as aa, y.a as ab from n x join n y on y.k = x.k + 1 + (x.k % 9))"""

@@ -1,5 +1,10 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from siftline.functions import scoring
 from siftline.operators import hamming, similarity
 
 
@@ -79,3 +84,38 @@ def test_metrics_are_those_of_the_column_expressions(spark):
             assert x is None or np.isclose(x, y, rtol=1e-13, atol=1e-13, equal_nan=True), (pair, got[pair], values)
     # the arrays of pairs stay where they are: nothing of the array leaves
     assert similarity.hamming_metrics(df, "h", 20, "id", "e").columns == ["id_a", "id_b", "distance", "corr", "mae", "psnr"]
+
+
+def peak_of_arrays(lengths):
+    """Bytes that arrays of these lengths take besides the table, at most."""
+    values = pa.array(np.random.default_rng(9).random(sum(lengths), dtype=np.float32))
+    column = pa.chunked_array([pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), values)])
+    tracemalloc.start()
+    held = hamming.Arrays(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak, held, values.to_numpy()
+
+
+def test_arrays_of_a_unit_take_no_more_than_they_hold():
+    peak, _, values = peak_of_arrays([64] * 50_000)
+    assert peak < values.nbytes
+    peak, held, values = peak_of_arrays([4] * 2000 + [100_000])  # one long array does not widen the others
+    assert peak < 1 << 20
+    assert np.allclose(held.sum, np.r_[values[:8000].reshape(-1, 4).astype(float).sum(1), values[8000:].astype(float).sum()])
+
+
+def test_gates_are_counted_as_listed(spark):
+    nan, inf = float("nan"), float("inf")
+    arrays = [[1.0, 2.0, 4.0], [1.0, 2.0, 4.0], [2.0, 2.0, 2.0], [1.0, nan, 3.0], [1.0, None, 3.0], [1.0, 2.0], [], [], [inf, 1.0, 2.0], None, [1e200, 1.0, 1e200], [1e200, 1.0, 1e200]]
+    arrays += [r.tolist() for r in np.random.default_rng(8).normal(size=(40, 3))]
+    df = spark.createDataFrame([(i, 7, x, i % 3 or None) for i, x in enumerate(arrays)], "id int, h long, e array<double>, label int")
+    gates = {"open": {"corr": -2.0, "mae": 9e300, "color": -900.0}, "middle": {"corr": 0.0, "mae": 1.0, "color": -3.0}, "tight": {"corr": 0.9, "mae": 0.5, "color": 0.0}}
+    listed = similarity.hamming_metrics(df, "h", 20, "id", "e", ["label"]).withColumns({"gates": scoring.passed_gates("corr", "mae", "psnr", gates), "same": F.col("label_a") == F.col("label_b")})
+    want = sorted(map(str, listed.select(F.explode("gates").alias("gate"), "same").groupBy("gate", "same").count().collect()))
+    counted = similarity.gate_counts(df, "h", 20, "id", "e", gates, "label")
+    assert sorted(map(str, counted.withColumnRenamed("n", "count").collect())) == want and len(want) > 6
+    relation = F.when(F.col("same"), "same_label").otherwise("cross_label")
+    one = similarity.gate_profile(listed.withColumn("relation", relation))
+    two = similarity.gate_profile(counted.select(F.array("gate").alias("gates"), relation.alias("relation"), "n"), weight="n")
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
