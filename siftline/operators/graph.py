@@ -26,14 +26,16 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         label = stored(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
         for _ in range(max_rounds):
             # the smallest label next to each node
-            near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
-            offers = near.join(label.withColumnRenamed("node", "u"), "u").where("m < label")
+            own = label.select("node", "label")
+            near = both.join(own.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
+            offers = near.join(own.withColumnRenamed("node", "u"), "u").where("m < label")
             # a better label is offered to the node and to the root it hangs on
             offers = offers.select(F.explode(F.array("u", "label")).alias("node"), F.col("m").alias("label"))
-            hooked = stored(label.unionByName(offers).groupBy("node").agg(F.min("label").alias("label")), "labels")
+            offered = own.withColumn("was", F.col("label")).unionByName(offers, allowMissingColumns=True)
+            hooked = stored(offered.groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was")), "labels")
             up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-            short = stored(hooked.join(up, "label", "left").select("node", F.least("label", "up").alias("label")), "labels")
-            done = short.join(label.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count() == 0
+            short = stored(hooked.join(up, "label", "left").select("node", F.least("label", "up").alias("label"), "was"), "labels")
+            done = short.where("label <> was").limit(1).count() == 0  # the label before travels along: no join
             drop_stored(hooked)
             drop_stored(label)
             label = short

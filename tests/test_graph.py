@@ -1,5 +1,6 @@
 import random
 
+from siftline.operators import graph
 from siftline.operators.graph import connected_components
 
 
@@ -54,3 +55,15 @@ def test_scratch_drops_what_is_not_kept(spark):
     for gone in (a, c):
         with pytest.raises(Exception):  # noqa: B017
             gone.collect()
+
+
+def test_a_round_takes_three_joins(spark, monkeypatch):
+    """The end of the rounds is seen on the labels before, which travel along; it took a join of its own."""
+    frame, joins, tables = type(spark.range(1)), [], []
+    join, write = frame.join, graph.stored
+    monkeypatch.setattr(frame, "join", lambda self, *a, **b: joins.append(1) or join(self, *a, **b))
+    monkeypatch.setattr(graph, "stored", lambda df, name: tables.append(name) or write(df, name))
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (100, 100), (None, 7)], "a long, b long")
+    found = {(r.node, r.component) for r in graph.connected_components(path, "a", "b").collect()}
+    assert found == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+    assert len(joins) == 3 * (tables.count("labels") - 1) / 2
