@@ -88,9 +88,9 @@ def component_stats(member_rows: DataFrame) -> DataFrame:
 
 def direct_exclusion(edges: DataFrame, protected: str, a: str = "a", b: str = "b", split_a: str = "split_a", split_b: str = "split_b") -> DataFrame:
     """``split, key``: the other ends of edges that touch the protected split; similarity isn't taken as transitive."""
-    one = edges.where((F.col(split_a) == protected) & (F.col(split_b) != protected)).select(F.col(split_b).alias("split"), F.col(b).alias("key"))
-    two = edges.where((F.col(split_b) == protected) & (F.col(split_a) != protected)).select(F.col(split_a).alias("split"), F.col(a).alias("key"))
-    return one.unionByName(two).distinct()
+    end = lambda this, other, key: F.when((F.col(this) == protected) & (F.col(other) != protected), F.struct(F.col(other).alias("split"), F.col(key).alias("key")))
+    ends = edges.select(F.coalesce(end(split_a, split_b, b), end(split_b, split_a, a)).alias("end"))
+    return ends.where("end is not null").select("end.split", "end.key").distinct()
 
 
 def alive(edges: DataFrame, layer: DataFrame, a: str = "a", b: str = "b", key: str = "key") -> DataFrame:
@@ -103,3 +103,10 @@ def surviving(edges: DataFrame, layer: DataFrame, first: str, second: str, a: st
     """Edges between two splits that are still in a layer: empty after a correct removal."""
     left = alive(edges, layer, a, b, key)
     return left.where(F.array(F.col("split_a"), F.col("split_b")) == F.array(F.lit(first), F.lit(second))).unionByName(left.where(F.array(F.col("split_b"), F.col("split_a")) == F.array(F.lit(first), F.lit(second))))
+
+
+def surviving_counts(edges: DataFrame, layer: DataFrame, between: list[tuple[str, str]], a: str = "a", b: str = "b", key: str = "key") -> DataFrame:
+    """One row: how many edges ``surviving`` lists for each two splits (``first_second``), from one pass over those alive."""
+    ends = F.array_sort(F.array("split_a", "split_b"))
+    counts = [F.count_if(ends == F.array(*(F.lit(x) for x in sorted(two)))).alias("_".join(two)) for two in between]
+    return alive(edges, layer, a, b, key).agg(*counts)

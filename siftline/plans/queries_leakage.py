@@ -133,11 +133,11 @@ _DIRECT = f"""with {_EDGES}, s as (select stem_a as a, stem_b as b, split_a as s
 def _direct(spark, sf_dir):
     names = hashed_items(spark, sf_dir).select(F.col("stem").alias("key"), "split")
     e = stored(_edges(spark, sf_dir), "edges")
-    gone = leakage.direct_exclusion(e, "test")
+    gone = stored(leakage.direct_exclusion(e, "test"), "test_leaks")
     layer = manifest.without(names, gone, ("key",))
     left = leakage.alive(e, layer)
     second = leakage.direct_exclusion(left, "val").where("split <> 'test'")
-    return names, e, gone, manifest.without(layer, second, ("key",)), second
+    return names, e, gone, layer, second
 
 
 @query("direct_exclusion", f"{_DIRECT} select 'test_protected' as layer, split, stem from t1 union all select 'cross_split', split, stem from t2")
@@ -149,16 +149,14 @@ def direct_exclusion(spark, sf_dir):
 @query("surviving_edges", f"{_DIRECT}, f as (select list_sort([sa, sb]) as k from s where a not in (select stem from t1) and b not in (select stem from t1)) select count(*) filter (where k = ['test','train']) as test_train, count(*) filter (where k = ['test','val']) as test_val, count(*) filter (where k = ['train','val']) as val_train from f")
 def surviving_edges(spark, sf_dir):
     """Edges between splits that the first removal leaves: none to the test split."""
-    names, e, gone, _, _ = _direct(spark, sf_dir)
-    layer = manifest.without(names, gone, ("key",))
-    n = lambda x, y: leakage.surviving(e, layer, x, y).agg(F.count("*").alias(f"{x}_{y}"))
-    return n("test", "train").crossJoin(n("test", "val")).crossJoin(n("val", "train"))  # one row each
+    _, e, _, layer, _ = _direct(spark, sf_dir)
+    return leakage.surviving_counts(e, layer, [("test", "train"), ("test", "val"), ("val", "train")])
 
 
 @query("layered_manifests", f"{_DIRECT}, c1 as (select stem, split from img where stem not in (select stem from t1)), c2 as (select * from c1 where stem not in (select stem from t2)) select 'original' as layer, split, count(*) as n from docs group by 2 union all select 'clean_test_protected', split, count(*) from c1 group by 2 union all select 'frozen', split, count(*) from c2 group by 2")
 def layered_manifests(spark, sf_dir):
-    names, _, gone, clean, _ = _direct(spark, sf_dir)
-    layers = {"original": names, "clean_test_protected": manifest.without(names, gone, ("key",)), "frozen": clean}
+    names, _, _, layer, second = _direct(spark, sf_dir)
+    layers = {"original": names, "clean_test_protected": layer, "frozen": manifest.without(layer, stored(second, "val_leaks"), ("key",))}
     return manifest.stack({k: v.select("split", "key") for k, v in layers.items()}).groupBy("layer", "split").agg(F.count("*").alias("n"))
 
 
